@@ -35,13 +35,13 @@ def volume_id_parts(volume_id: Column) -> dict[str, Column]:
     return {
         "patient_id": F.concat_ws("_", pool, number),
         "scan_id": F.regexp_extract(volume_id, VOLUME_ID, 3),
-        "reconstruction_id": F.regexp_extract(volume_id, VOLUME_ID, 4).cast("bigint"),
+        "reconstruction_id": F.regexp_extract(volume_id, VOLUME_ID, 4).try_cast("bigint"),
         "source_split": pool,
     }
 
 
 def patient_number(patient_id: Column) -> Column:
-    return F.regexp_extract(patient_id, r"_(\d+)$", 1).cast("bigint")
+    return F.regexp_extract(patient_id, r"_(\d+)$", 1).try_cast("bigint")
 
 
 def volume_repo_path(volume_id: Column, pool: Column) -> Column:
@@ -78,7 +78,7 @@ def draft_kernel_class(manufacturer: Column, kernel: Column, description: Column
     plain_number = F.regexp_extract(name, r"^B(\d+)s", 1)
 
     def by_number(number, sharp_from):
-        return F.when(number.cast("int") >= sharp_from, "sharp").otherwise("soft")
+        return F.when(number.try_cast("int") >= sharp_from, "sharp").otherwise("soft")
 
     return (F.when(any_word(LUNG_WORDS), "sharp")
             .when(any_word(SOFT_WORDS), "soft")

@@ -7,3 +7,15 @@ from pyspark.sql import DataFrame
 def attach_status(table: DataFrame, status: DataFrame) -> DataFrame:
     """Per-label table with the gate status of its label."""
     return table.join(status.select("label", "status"), "label", "left")
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def combined_hash(parts: DataFrame, key: str) -> DataFrame:
+    """sha256 over the ``name:hash`` lines of a combination's parts, in part order.
+
+    A combination is a handful of runs named in one setting, so its parts fit one row.
+    """
+    lines = F.array_sort(F.collect_list(F.struct("position", F.concat_ws(":", "name", "hash").alias("line"))))
+    return parts.groupBy(key).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("combined"))
