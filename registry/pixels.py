@@ -7,6 +7,7 @@ from scanledger.functions import numeric as N, pixels as P
 from scanledger.operators import grid as G, headers as Hd, kernels as K, quality as Q
 from scanledger.plans import preprocessing as PP
 from scanledger.sources import readers as SR
+from scanledger.staging import staged
 
 from . import Registry, fixtures as X
 from .common import r, rs, tidy
@@ -282,13 +283,13 @@ def chain_volumes(spark, sf):
 
 @reg.add("px18_preprocess_chain")
 def _(spark, sf):
-    report = PP.preprocess(damaged(spark, sf), chain_volumes(spark, sf), CHAIN)["report"]
+    report = PP.preprocess(damaged(spark, sf), chain_volumes(spark, sf), CHAIN, staged)["report"]
     return report.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("flags", F.array_join("flags", "; "))
 
 
 @reg.add("px19_inference_batch")
 def _(spark, sf):
-    parts = PP.infer(px(spark, sf), chain_volumes(spark, sf), CHAIN, fingerprint="abc", cache_fingerprint="abc")
+    parts = PP.infer(px(spark, sf), chain_volumes(spark, sf), CHAIN, fingerprint="abc", cache_fingerprint="abc", stage=staged)
     n = parts["slices"].groupBy("volume_id").agg(F.count(F.lit(1)).alias("ready_slices"))
     return parts["report"].join(n, "volume_id", "left").select("volume_id", "status", "crop_shape", "ready_slices")
 
