@@ -63,11 +63,11 @@ def _(spark, sf):
     return IN.all_failed(IN.chunk_records(log))
 
 
-@reg.add("wn8_failure_streak", """WITH c AS (SELECT chunk, bool_or(failed) AS failed, min(event_id) AS at FROM (SELECT (event_id//3)::VARCHAR AS chunk, failed, event_id FROM chunk_log) GROUP BY 1), i AS (SELECT *, count(*) FILTER (NOT failed) OVER (ORDER BY at) AS island FROM c)
-  SELECT chunk, at, row_number() OVER (PARTITION BY island ORDER BY at) AS streak, row_number() OVER (PARTITION BY island ORDER BY at)>=3 AS alert FROM i WHERE failed""")
+@reg.add("wn8_failure_streak", """WITH c AS (SELECT chunk, bool_or(failed) AS failed, min(event_id) AS seq FROM (SELECT (event_id//3)::VARCHAR AS chunk, failed, event_id FROM chunk_log) GROUP BY 1), i AS (SELECT *, count(*) FILTER (NOT failed) OVER (ORDER BY seq) AS island FROM c)
+  SELECT chunk, seq, row_number() OVER (PARTITION BY island ORDER BY seq) AS streak, row_number() OVER (PARTITION BY island ORDER BY seq)>=3 AS alert FROM i WHERE failed""")
 def _(spark, sf):
-    log = X.chunk_log(spark, sf).groupBy(F.floor(F.col("event_id") / 3).cast("string").alias("chunk")).agg(F.bool_or("failed").alias("failed"), F.min("event_id").alias("at"))
-    return X2.failure_streaks(log, "at", 3)
+    log = X.chunk_log(spark, sf).groupBy(F.floor(F.col("event_id") / 3).cast("string").alias("chunk")).agg(F.bool_or("failed").alias("failed"), F.min("event_id").alias("seq"))
+    return X2.failure_streaks(log, "seq", 3)
 
 
 def streamed(spark, sf, max_chunks=None, runs=1):

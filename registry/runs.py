@@ -27,10 +27,9 @@ def _(spark, sf):
     return tidy(X2.mean_std(runs(spark, sf), ["grp", "config"], ["best", "avg_train"]))
 
 
-@reg.add("fn24_mean_std_text", f"SELECT config, seeds, CASE WHEN s IS NULL THEN printf('%.4f',m) ELSE printf('%.4f',m)||' ± '||printf('%.4f',s) END AS avg_train FROM (SELECT config, count(*) AS seeds, round(avg(avg_train),6) AS m, round(stddev_samp(avg_train),6) AS s FROM {RUNS} GROUP BY 1)")
+@reg.add("fn24_mean_std_text", f"SELECT config, seeds, CASE WHEN s IS NULL THEN printf('%.4f',m) ELSE printf('%.4f',m)||' ± '||printf('%.4f',s) END AS avg_train FROM (SELECT config, count(*) AS seeds, avg(avg_train) AS m, stddev_samp(avg_train) AS s FROM {RUNS} GROUP BY 1)")
 def _(spark, sf):
     t = X2.mean_std(runs(spark, sf), ["config"], ["avg_train"])
-    t = t.withColumn("avg_train", F.round("avg_train", 6)).withColumn("avg_train_std", F.round("avg_train_std", 6))
     return X2.mean_std_texts(t, ["config"], ["avg_train"])
 
 

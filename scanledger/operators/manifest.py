@@ -200,3 +200,8 @@ def work_status(planned: DataFrame, chunk_state: DataFrame, manifest: DataFrame,
     return ingest.unionByName(checked).unionByName(split).withColumn("state", state)
 
 
+
+
+def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of two sets holds, with the side; empty when the sets are equal."""
+    return a.exceptAll(b).withColumn("only_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("second")))

@@ -1,6 +1,7 @@
 """Experiment folders and clinical reports as tables, found by file name below one root."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 RUN_INFO = ("run_id string, config_hash string, status string, started string, ended string, stopped string, best_epoch bigint, epochs_run bigint, "
@@ -30,8 +31,6 @@ def read_csv_files(spark: SparkSession, root: str, name: str, schema: str) -> Da
 
 def read_configs(spark: SparkSession, root: str) -> DataFrame:
     """Config files as JSON text; YAML is converted file by file in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def as_json(text: pd.Series) -> pd.Series:
         import json

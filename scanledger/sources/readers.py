@@ -58,11 +58,18 @@ def read_chunk_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path).withColumn("ingest_chunk", F.col("ingest_chunk").cast("string"))
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """One row per readable sidecar; an unreadable file counts as missing."""
-    df = spark.read.schema(SIDECAR_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.meta\.json$", 1)
-    return df.select(name.alias("volume_id"), "*").filter(F.col("_corrupt_record").isNull() & F.col("fingerprint").isNotNull()).drop("_corrupt_record")
+def read_sidecars(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """One row per readable sidecar; an unreadable one counts as missing.
+
+    Either one JSON document per file named ``<volume id>.meta.json``, or JSON lines that carry ``volume_id``.
+    """
+    if one_per_file:
+        df = spark.read.schema(SIDECAR_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        df = df.withColumn("volume_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.meta\.json$", 1))
+    else:
+        df = spark.read.schema("volume_id string, " + SIDECAR_SCHEMA).option("mode", "PERMISSIVE").json(path)
+    readable = F.col("_corrupt_record").isNull() & F.col("fingerprint").isNotNull()
+    return df.filter(readable).select("volume_id", *[c for c in df.columns if c not in ("volume_id", "_corrupt_record")])
 
 
 def read_inventory(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
