@@ -29,6 +29,10 @@ def points(spark, sf):
     return E.operating_points(spark, val(spark, sf), PLAIN)[1]
 
 
+def blocks(spark, sf, groups=GROUPS):
+    return S.spread(S.label_blocks(test(spark, sf), groups), groups)
+
+
 def decided(spark, sf):
     return S.decide(test(spark, sf), points(spark, sf))
 
@@ -91,7 +95,7 @@ def _(spark, sf):
     {r('2*tp/nullif(2*tp+fp+fn,0)', 'f1')}, {r('tp/nullif(tp+fn,0)', 'sensitivity')}, {r('tn/nullif(tn+fp,0)', 'specificity')}, {r('tp/nullif(tp+fp,0)', 'ppv')}
   FROM ({PER_LABEL_RATES}) WHERE group_by='all'""")
 def _(spark, sf):
-    return tidy(S.thresholded(test(spark, sf), E.max_f1_thresholds(val(spark, sf)), ["label"]))
+    return tidy(S.thresholded(S.label_blocks(test(spark, sf), []), E.max_f1_thresholds(val(spark, sf)), ["label"]))
 
 
 def boot_sql(n_boot: int, macro: bool) -> str:
@@ -233,7 +237,7 @@ RATES_SQL, RATES_RAW = rates_sql(9), rates_sql(None)
 
 @reg.add("cl7_confusion_rates", RATES_SQL)
 def _(spark, sf):
-    return tidy(S.grouped_rates(decided(spark, sf), GROUPS, S.decision_rules(["spec90", "spec95"])))
+    return tidy(S.grouped_rates(S.decide(blocks(spark, sf), points(spark, sf)), S.decision_rules(["spec90", "spec95"])))
 
 
 ECE_SQL = """SELECT group_by,"group",label,sum(abs(sy-sp))/sum(n) AS ece FROM (SELECT group_by,"group",label,least(floor(p*10),9) AS bin,count(*) AS n,sum(y) AS sy,sum(p) AS sp
@@ -242,12 +246,12 @@ ECE_SQL = """SELECT group_by,"group",label,sum(abs(sy-sp))/sum(n) AS ece FROM (S
 
 @reg.add("cl8_calibration_error", f'SELECT group_by,"group",label,{rs("ece")} FROM ({ECE_SQL})')
 def _(spark, sf):
-    return tidy(S.calibration_error(test(spark, sf), GROUPS))
+    return tidy(S.calibration_error(blocks(spark, sf)))
 
 
 @reg.add("cl9_brier", f'SELECT group_by,"group",label,{r("avg((p-y)*(p-y))", "brier")} FROM test_grouped WHERE y IS NOT NULL GROUP BY 1,2,3')
 def _(spark, sf):
-    return tidy(S.brier(test(spark, sf), GROUPS))
+    return tidy(S.brier(blocks(spark, sf)))
 
 
 def benefit_sql(cuts: str, source: str) -> str:
@@ -257,7 +261,7 @@ def benefit_sql(cuts: str, source: str) -> str:
 
 @reg.add("cl10_net_benefit", benefit_sql("[0.05::DOUBLE,0.1::DOUBLE,0.2::DOUBLE]", "test_grouped"))
 def _(spark, sf):
-    return tidy(S.net_benefit(test(spark, sf), GROUPS, (0.05, 0.1, 0.2)))
+    return tidy(S.net_benefit(blocks(spark, sf), (0.05, 0.1, 0.2)))
 
 
 @reg.add("cl11_per_label_scorecard", f"""SELECT t.*, {r('auroc', 'auroc')}, {r('auprc', 'auprc')}, {rs('report', 'ruleout', 'max_f1', 'spec90', 'spec95')}, {r('ece', 'ece_raw')}, {r('ece', 'ece')}, brier,
@@ -319,7 +323,7 @@ GAP_SQL = f"""SELECT label, max(CASE WHEN "group"='soft' THEN report_sens END)-m
 
 @reg.add("cl15_kernel_gap", f"SELECT label, {r('gap', 'kernel_sens_gap')} FROM ({GAP_SQL})")
 def _(spark, sf):
-    rates = S.grouped_rates(decided(spark, sf), ["kernel_class"], {"report": S.decision_rules()["report"]})
+    rates = S.grouped_rates(S.decide(blocks(spark, sf, ["kernel_class"]), points(spark, sf)), {"report": S.decision_rules()["report"]})
     return tidy(S.kernel_gap(rates))
 
 
@@ -378,7 +382,7 @@ def _(spark, sf):
     long = test(spark, sf)
     best = E.per_label_metrics(long, []).orderBy(F.col("auroc").desc_nulls_last(), "label").limit(6).select("label")
     grid = [0.02 + i * ((0.5 - 0.02) / 39) for i in range(40)]
-    return tidy(S.net_benefit(long.join(best, "label", "left_semi"), [], grid).select("label", "pt", "net_benefit", "net_benefit_all"))
+    return tidy(S.net_benefit(S.spread(S.label_blocks(long.join(best, "label", "left_semi"), []), []), grid).select("label", "pt", "net_benefit", "net_benefit_all"))
 
 
 @reg.add("cl23_false_label_distribution", f"SELECT report_fp AS false_labels, count(*) AS n, {r('count(*)/(SELECT count(*) FROM scans)', 'share')} FROM scans GROUP BY 1")

@@ -39,28 +39,29 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], cell: Column, order: Sequenc
     """Adds ``<c>_before`` (sum over rows of the same keys strictly before this one in ``order``) and
     ``<c>_total`` (sum over all rows of the keys) for every column in ``sums``.
 
-    ``cell`` must be monotone in ``order`` and ``order`` total within the keys.
+    ``cell`` must be monotone in ``order`` and ``order`` total within the keys. Rows with a NULL key are left out.
     """
     keys = list(keys)
-    df = df.withColumn("_cell", cell)
-    cells = df.groupBy(*keys, "_cell").agg(*[F.sum(c).alias(c) for c in sums])
-    across, whole = W.partitionBy(*keys), W.partitionBy(*keys)
+    # a cell is never NULL, so that no null filter is inferred for one of the two uses of df and Spark computes
+    # (and shuffles) df once for both
+    blank = F.lit("") if cell_is_text(df, cell) else F.lit(0).cast("bigint")
+    df = df.withColumn("_cell", F.coalesce(cell, blank))
+    across = W.partitionBy(*keys)
     earlier = across.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"),
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}_cells") for c in sums],
-        *[F.sum(c).over(whole).alias(f"{c}_total") for c in sums])
-    match = F.col("_cell") == F.col("_c")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    cells = df.groupBy(*keys, "_cell").agg(*[F.sum(c).alias(c) for c in sums]).select(
+        *keys, "_cell", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}_cells") for c in sums],
+        *[F.sum(c).over(across).alias(f"{c}_total") for c in sums])
     inside = W.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    joined = df.join(cells, match)
-    return joined.select(
+    return df.join(cells, [*keys, "_cell"]).select(
         *[c for c in df.columns if c != "_cell"],
         *[(F.col(f"_{c}_cells") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sums],
         *[f"{c}_total" for c in sums])
 
 
+def cell_is_text(df: DataFrame, cell: Column) -> bool:
+    return df.select(cell.alias("_c")).schema[0].dataType.typeName() == "string"
+
+
 def positions(df: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[str | Column],
               name: str = "position") -> DataFrame:
     """Adds the 0-based position of every row within its keys."""

@@ -25,12 +25,37 @@ def decide(long: DataFrame, points: DataFrame) -> DataFrame:
     return joined.withColumn("state", state).withColumn("flag_f1", F.coalesce(F.col("p") >= F.col("max_f1"), F.lit(False)))
 
 
-def confusion_counts(keys: Sequence[str], rules: dict[str, Column]) -> list[Column]:
-    pos, neg = F.col("y") == 1, F.col("y") == 0
+def label_blocks(long: DataFrame, group_columns: Sequence[str], scores: Sequence[str] = ("p",)) -> DataFrame:
+    """The one pass over predictions that per-label numbers need: distinct scores with counts.
+
+    State, flag, bin and error of a volume depend on its label, score and group only, so volumes with equal ones are
+    counted together before anything else happens.
+    """
+    known = long.filter(F.col("y").isNotNull())
+    return known.groupBy("label", *group_columns, *scores).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("y").cast("bigint").alias("n_pos"))
+
+
+def spread(blocks: DataFrame, group_columns: Sequence[str]) -> DataFrame:
+    """Blocks once per group they belong to, counted together per (group, label, score)."""
+    scores = [c for c in blocks.columns if c not in ("label", "n", "n_pos", *group_columns)]
+    rows = by_group(blocks, group_columns, ["label", *scores, "n", "n_pos"])
+    return rows.groupBy("group_by", "group", "label", *scores).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
+
+
+KEYS = ["group_by", "group", "label"]
+
+
+def confusion_sums(rules: dict[str, Column]) -> list[Column]:
+    """tp / fp / fn / tn of every rule over blocks."""
+    pos, neg = F.col("n_pos"), F.col("n") - F.col("n_pos")
+
+    def total(flag: Column, count: Column) -> Column:
+        return F.coalesce(F.sum(F.when(flag, count)), F.lit(0)).cast("bigint")
     out = []
     for name, flag in rules.items():
-        out += [count_if(flag & pos).alias(f"{name}_tp"), count_if(flag & neg).alias(f"{name}_fp"),
-                count_if(~flag & pos).alias(f"{name}_fn"), count_if(~flag & neg).alias(f"{name}_tn")]
+        out += [total(flag, pos).alias(f"{name}_tp"), total(flag, neg).alias(f"{name}_fp"),
+                total(~flag, pos).alias(f"{name}_fn"), total(~flag, neg).alias(f"{name}_tn")]
     return out
 
 
@@ -45,26 +70,22 @@ def decision_rules(fixed: Sequence[str] = ()) -> dict[str, Column]:
     return rules | {s: F.coalesce(F.col("p") >= F.col(s), F.lit(False)) for s in fixed}
 
 
-def grouped_rates(decided: DataFrame, group_columns: Sequence[str], rules: dict[str, Column],
-                  kinds: Sequence[str] = ("sens", "spec", "ppv", "npv")) -> DataFrame:
-    """Rates of each rule per group and label. Counts are combined before they are spread over the groups."""
-    known = decided.filter(F.col("y").isNotNull())
-    base = known.groupBy("label", *group_columns).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("y").cast("bigint").alias("n_pos"),
-        count_if(F.col("state") == "uncertain").alias("n_uncertain"), *confusion_counts([], rules))
-    counts = [c for c in base.columns if c not in ("label", *group_columns)]
-    total = by_group(base, group_columns, ["label", *counts]).groupBy("group_by", "group", "label").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in counts])
-    return total.select("group_by", "group", "label", "n", "n_pos", ratio(F.col("n_pos"), F.col("n")).alias("prevalence"),
-                        ratio(F.col("n_uncertain"), F.col("n")).alias("uncertain_rate"),
-                        *[rate(r, k).alias(f"{r}_{k}") for r in rules for k in kinds])
+def grouped_rates(decided: DataFrame, rules: dict[str, Column], kinds: Sequence[str] = ("sens", "spec", "ppv", "npv"),
+                  more: Sequence[Column] = (), finish: dict[str, Column] | None = None) -> DataFrame:
+    """Rates of each rule per group and label from decided blocks; ``more`` sums ride along in the same aggregate."""
+    counts = decided.groupBy(*KEYS).agg(
+        F.sum("n").cast("bigint").alias("all_n"), F.sum("n_pos").cast("bigint").alias("all_pos"),
+        F.coalesce(F.sum(F.when(F.col("state") == "uncertain", F.col("n"))), F.lit(0)).alias("n_uncertain"), *confusion_sums(rules), *more)
+    return counts.select(*KEYS, F.col("all_n").alias("n"), F.col("all_pos").alias("n_pos"), ratio(F.col("all_pos"), F.col("all_n")).alias("prevalence"),
+                         ratio(F.col("n_uncertain"), F.col("all_n")).alias("uncertain_rate"),
+                         *[rate(r, k).alias(f"{r}_{k}") for r in rules for k in kinds], *[c.alias(k) for k, c in (finish or {}).items()])
 
 
-def thresholded(long: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
+def thresholded(blocks: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts, F1, sensitivity, specificity and PPV at each label's threshold (positive when p >= t)."""
-    scored = long.filter(F.col("y").isNotNull()).join(thresholds.select("label", "threshold"), "label")
+    scored = blocks.join(thresholds.select("label", "threshold"), "label")
     flag = F.coalesce(F.col("p") >= F.col("threshold"), F.lit(False))
-    counts = scored.groupBy(*keys).agg(F.max("threshold").alias("threshold"), *confusion_counts(keys, {"at": flag}))
+    counts = scored.groupBy(*keys).agg(F.max("threshold").alias("threshold"), *confusion_sums({"at": flag}))
 
     def known(c: Column) -> Column:
         return F.when(F.col("threshold").isNotNull(), c)
@@ -77,37 +98,53 @@ def bins_of(p: Column, bins: int) -> Column:
     return F.least(F.floor(p * bins), F.lit(bins - 1)).cast("bigint")
 
 
-def calibration_error(long: DataFrame, group_columns: Sequence[str], score: str = "p", bins: int = 10, name: str = "ece") -> DataFrame:
-    """Expected calibration error per group and label over equal-width bins."""
-    binned = long.filter(F.col("y").isNotNull()).groupBy("label", *group_columns, bins_of(F.col(score), bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(score).alias("sp"))
-    per_bin = by_group(binned, group_columns, ["label", "bin", "n", "sy", "sp"]).groupBy("group_by", "group", "label", "bin").agg(
-        F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("sp").alias("sp"))
-    return per_bin.groupBy("group_by", "group", "label").agg(
-        ratio(F.sum(F.abs(F.col("sy") - F.col("sp"))), F.sum("n")).alias(name))
-
-
-def brier(long: DataFrame, group_columns: Sequence[str]) -> DataFrame:
-    sq = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-    base = long.filter(F.col("y").isNotNull()).groupBy("label", *group_columns).agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("s"))
-    return by_group(base, group_columns, ["label", "n", "s"]).groupBy("group_by", "group", "label").agg(
-        ratio(F.sum("s"), F.sum("n")).alias("brier"))
-
-
-def net_benefit(long: DataFrame, group_columns: Sequence[str], cuts: Sequence[float]) -> DataFrame:
-    """Net benefit of the model and of flagging everyone, per threshold probability."""
-    at = F.array(*[F.lit(float(c)) for c in cuts])
-    base = long.filter(F.col("y").isNotNull()).groupBy("label", *group_columns, "p").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).withColumn("pt", F.explode(at))
-    flag = F.col("p") >= F.col("pt")
-    counts = base.groupBy("label", *group_columns, "pt").agg(
-        F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.when(flag, F.col("pos")).otherwise(0.0)).alias("tp"),
-        F.sum(F.when(flag, F.col("n") - F.col("pos")).otherwise(0.0)).alias("fp"))
-    out = by_group(counts, group_columns, ["label", "pt", "n", "pos", "tp", "fp"]).groupBy("group_by", "group", "label", "pt").agg(
-        *[F.sum(c).alias(c) for c in ("n", "pos", "tp", "fp")])
+def calibration_error(grouped: DataFrame, score: str = "p", bins: int = 10, name: str = "ece") -> DataFrame:
+    """Expected calibration error per group and label over equal-width bins, from grouped blocks."""
+    per_bin = grouped.groupBy(*KEYS, bins_of(F.col(score), bins).alias("bin")).agg(
+        F.sum("n").alias("n"), F.sum("n_pos").alias("sy"), F.sum(F.col("n") * F.col(score)).alias("sp"))
+    return per_bin.groupBy(*KEYS).agg(ratio(F.sum(F.abs(F.col("sy") - F.col("sp"))), F.sum("n")).alias(name))
+
+
+def squared_error() -> Column:
+    """Sum of squared errors over blocks."""
+    p = F.col("p")
+    return F.sum(F.col("n_pos") * (F.lit(1.0) - p) * (F.lit(1.0) - p) + (F.col("n") - F.col("n_pos")) * p * p)
+
+
+def brier(grouped: DataFrame) -> DataFrame:
+    return grouped.groupBy(*KEYS).agg(ratio(squared_error(), F.sum("n")).alias("brier"))
+
+
+def net_benefit_sums(cuts: Sequence[float]) -> list[Column]:
+    """Sum of true minus weighted false positives at every threshold probability."""
+    out = []
+    for i, c in enumerate(cuts):
+        gain = F.col("n_pos") - F.lit(float(c)) / (F.lit(1.0) - F.lit(float(c))) * (F.col("n") - F.col("n_pos"))
+        out.append(F.sum(F.when(F.col("p") >= F.lit(float(c)), gain).otherwise(0.0)).alias(f"_nb{i}"))
+    return out
+
+
+def net_benefit(grouped: DataFrame, cuts: Sequence[float]) -> DataFrame:
+    """Net benefit of the model and of flagging everyone, per threshold probability: one aggregate for all of them."""
+    sums = grouped.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("pos"), *net_benefit_sums(cuts))
+    rows = F.array(*[F.struct(F.lit(float(c)).alias("pt"), F.col(f"_nb{i}").alias("gain")) for i, c in enumerate(cuts)])
+    prev = ratio(F.col("pos"), F.col("n"))
+    long = sums.select(*KEYS, "n", prev.alias("prev"), F.inline(rows))
     odds = F.col("pt") / (F.lit(1.0) - F.col("pt"))
-    return out.select("group_by", "group", "label", "pt", ratio(F.col("tp") - odds * F.col("fp"), F.col("n")).alias("net_benefit"),
-                      (ratio(F.col("pos"), F.col("n")) - odds * (F.lit(1.0) - ratio(F.col("pos"), F.col("n")))).alias("net_benefit_all"))
+    return long.select(*KEYS, "pt", ratio(F.col("gain"), F.col("n")).alias("net_benefit"),
+                       (F.col("prev") - odds * (F.lit(1.0) - F.col("prev"))).alias("net_benefit_all"))
+
+
+def per_label_table(decided: DataFrame, fixed: Sequence[str], cuts: Sequence[float]) -> DataFrame:
+    """Rates of all rules, Brier score and net benefits per group and label in one aggregate over decided blocks."""
+    def odds(c: float) -> Column:
+        return F.lit(float(c)) / (F.lit(1.0) - F.lit(float(c)))
+    prev = ratio(F.col("all_pos"), F.col("all_n"))
+    finish: dict[str, Column] = {"brier": ratio(F.col("_sq"), F.col("all_n"))}
+    for i, c in enumerate(cuts):
+        finish[f"net_benefit@{c:g}"] = ratio(F.col(f"_nb{i}"), F.col("all_n"))
+        finish[f"net_benefit_all@{c:g}"] = prev - odds(c) * (F.lit(1.0) - prev)
+    return grouped_rates(decided, decision_rules(fixed), more=[squared_error().alias("_sq"), *net_benefit_sums(cuts)], finish=finish)
 
 
 def per_scan(decided: DataFrame, ids: Sequence[str]) -> DataFrame:

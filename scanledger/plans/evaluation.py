@@ -36,13 +36,17 @@ def per_label_metrics(long: DataFrame, group_columns: Sequence[str]) -> DataFram
     return ranking_metrics(rank_blocks(grouped_blocks(long, group_columns), keys), keys)
 
 
-def micro_auroc(long: DataFrame, group_columns: Sequence[str]) -> DataFrame:
-    """AUROC over all (volume, label) pairs per group."""
-    blocks = grouped_blocks(long, group_columns).groupBy("group_by", "group", "p").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
+def micro_of(grouped: DataFrame) -> DataFrame:
+    """AUROC over all (volume, label) pairs per group, from grouped blocks."""
     keys = ["group_by", "group"]
+    blocks = grouped.groupBy(*keys, "p").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
     return rank_blocks(blocks, keys).groupBy(*keys).agg(auroc_expr().alias("micro_auroc"))
 
 
+def micro_auroc(long: DataFrame, group_columns: Sequence[str]) -> DataFrame:
+    return micro_of(grouped_blocks(long, group_columns))
+
+
 def max_f1_thresholds(val_long: DataFrame) -> DataFrame:
     ranked = rank_blocks(score_blocks(val_long, ["label"]), ["label"])
     return thresholds(ranked, ["label"]).select("label", F.col("max_f1").alias("threshold"))
@@ -53,20 +57,13 @@ def evaluate(wide: DataFrame, frozen: DataFrame, group_columns: Sequence[str] =
     """Group summary and per-label table of a prediction frame under frozen validation thresholds."""
     group_columns = [c for c in group_columns if c in wide.columns]
     long = to_long(wide)
-    keys = ["group_by", "group", "label"]
-    table = per_label_metrics(long, group_columns)
-    base = long.join(frozen, "label")
-    flag = F.coalesce(F.col("p") >= F.col("threshold"), F.lit(False))
-    counts = base.filter(F.col("y").isNotNull()).groupBy("label", "threshold", *group_columns).agg(*S.confusion_counts([], {"at": flag}))
-    cols = [c for c in counts.columns if c.startswith("at_")]
-    rates = S.by_group(counts, group_columns, ["label", "threshold", *cols]).groupBy(*keys, "threshold").agg(*[F.sum(c).alias(c) for c in cols])
-    rates = rates.select(*keys, "threshold", S.rate("at", "f1").alias("f1"), S.rate("at", "sens").alias("sensitivity"),
-                         S.rate("at", "spec").alias("specificity"), S.rate("at", "ppv").alias("ppv"))
-    per_label = table.join(rates, keys, "left")
+    grouped = S.spread(S.label_blocks(long, group_columns), group_columns)
+    rates = S.thresholded(grouped, frozen, S.KEYS).drop("tp", "fp", "fn", "tn")
+    per_label = ranking_metrics(rank_blocks(grouped, S.KEYS), S.KEYS).join(rates, S.KEYS, "left")
     group = ["group_by", "group"]
     summary = (group_sizes(wide, group_columns, min_group)
                .join(macro(per_label, group, ["auroc", "auprc", "f1", "sensitivity", "specificity", "ppv"]), group, "left")
-               .join(micro_auroc(long, group_columns), group, "left"))
+               .join(micro_of(grouped), group, "left"))
     if n_boot:
         for metric in ("auroc", "auprc"):
             ci = bootstrap_auroc(long, n_boot, seed, group_columns=group_columns, macro_mean=True, metric=metric)
@@ -102,14 +99,15 @@ def score(spark: SparkSession, val: DataFrame, test: DataFrame, settings: Report
         long = long.withColumn("p_raw", F.col("p"))
     else:
         long = C.apply(long, params).withColumnRenamed("p", "p_raw").withColumnRenamed("p_cal", "p")
-    decided = S.decide(long, points)
     fixed = [f"spec{round(s * 100)}" for s in settings.fixed_specificities]
-    rates = S.grouped_rates(decided, groups, S.decision_rules(fixed))
-    ranked = per_label_metrics(long, groups).select(*keys, "auroc", "auprc")
-    per_label = rates.join(ranked, keys, "left").join(points, "label", "left")
+    grouped = S.spread(S.label_blocks(long, groups, ("p_raw", "p")), groups)
+    per_label = S.per_label_table(S.decide(grouped, points), fixed, settings.net_benefit_thresholds)
+    by_score = grouped.groupBy(*keys, "p").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
+    per_label = per_label.join(ranking_metrics(rank_blocks(by_score, keys), keys).select(*keys, "auroc", "auprc"), keys, "left")
     for name, col in (("ece_raw", "p_raw"), ("ece", "p")):
-        per_label = per_label.join(S.calibration_error(long, groups, col, settings.calibration_bins, name), keys, "left")
-    per_label = per_label.join(S.brier(long, groups), keys, "left")
+        per_label = per_label.join(S.calibration_error(grouped, col, settings.calibration_bins, name), keys, "left")
+    per_label = per_label.join(points, "label", "left")
+    decided = S.decide(long, points)
     if settings.bootstrap:
         ci_columns = [c for c in groups if c in settings.ci_groups]
         sizes = group_sizes(test, ci_columns, settings.min_group).filter("NOT too_small").select(*group_keys)
@@ -119,11 +117,6 @@ def score(spark: SparkSession, val: DataFrame, test: DataFrame, settings: Report
         per_label = per_label.join(ci.select(*keys, F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high")), keys, "left")
     else:
         per_label = per_label.withColumn("auroc_ci_low", F.lit(None).cast("double")).withColumn("auroc_ci_high", F.lit(None).cast("double"))
-    benefit = S.net_benefit(long, groups, settings.net_benefit_thresholds)
-    for i, cut in enumerate(settings.net_benefit_thresholds):
-        at = benefit.filter(F.col("pt") == cut)
-        per_label = per_label.join(at.select(*keys, F.col("net_benefit").alias(f"net_benefit@{cut:g}"),
-                                             F.col("net_benefit_all").alias(f"net_benefit_all@{cut:g}")), keys, "left")
     ids = [c for c in ("volume_id", "patient_id", "split", "scan_id", "kernel_class", "manufacturer") if c in test.columns]
     scans = S.per_scan(decided, ids)
     means = ["auroc", "auprc", "report_sens", "report_spec", "report_ppv", "maxf1_sens", "maxf1_spec", "ece_raw", "ece"]
