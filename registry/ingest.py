@@ -22,15 +22,20 @@ def records(spark, sf):
     return IN.chunk_records(X.chunk_log(spark, sf))
 
 
-@reg.add("ing7_chunk_records", f"SELECT *, (SELECT string_agg(volume_id||'='||error, ';' ORDER BY volume_id) FROM {ONE} o WHERE o.chunk=r.chunk AND f) AS failed FROM {RECORDS} r")
+@reg.add("ing7_chunk_records", f"SELECT * FROM {RECORDS}")
+def _(spark, sf):
+    return records(spark, sf)
+
+
+@reg.add("ing7_failed_maps", f"SELECT chunk, count(*) AS n_failed, string_agg(volume_id||'='||error, ';' ORDER BY volume_id) AS failed FROM {ONE} WHERE f GROUP BY 1")
 def _(spark, sf):
     text = F.array_join(F.transform(F.map_entries("failed"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return records(spark, sf).withColumn("failed", F.when(F.size("failed") > 0, text))
+    return IN.failed_maps(X.chunk_log(spark, sf)).withColumn("failed", text)
 
 
 @reg.add("cu17_failure_list", f"SELECT chunk, volume_id, error FROM {ONE} WHERE f")
 def _(spark, sf):
-    return IN.failure_list(records(spark, sf))
+    return IN.failure_list(X.chunk_log(spark, sf))
 
 
 @reg.add("ing4_failed_attempts", "SELECT chunk, count(*) FILTER (failed) AS attempts FROM chunk_log GROUP BY 1 HAVING count(*) FILTER (failed)>0")
@@ -54,7 +59,7 @@ def _(spark, sf):
 
 @reg.add("ing6_first_failures", f"SELECT chunk, volume_id, substr(error,1,120) AS error FROM {ONE} WHERE f ORDER BY chunk, volume_id LIMIT 5")
 def _(spark, sf):
-    return IN.first_failures(records(spark, sf))
+    return IN.first_failures(X.chunk_log(spark, sf))
 
 
 @reg.add("ing8_all_failed", f"SELECT chunk, n_failed FROM (SELECT *, n_volumes-n_cached AS needed FROM (SELECT (event_id//2)::VARCHAR AS chunk, count(DISTINCT event_id) AS n_volumes, count(*) FILTER (event_type='click') AS n_cached, count(*) FILTER (event_type='error') AS n_failed FROM events GROUP BY 1)) WHERE n_failed>0 AND n_failed=needed")

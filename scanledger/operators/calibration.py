@@ -25,7 +25,7 @@ def identity(blocks: DataFrame) -> DataFrame:
 
 
 def fit(spark: SparkSession, val_long: DataFrame, method: str = "platt", *, by_kernel: bool = False,
-        min_volumes: int = 100, max_passes: int = 50, tolerance: float = 1e-9) -> DataFrame:
+        min_volumes: int = 100, max_passes: int = 50, tolerance: float = 1e-7) -> DataFrame:
     """Slope and intercept per label (kernel ``*``) and, with ``by_kernel``, per kernel class with enough volumes.
 
     One class only, no convergence or a slope that would reverse the ranking gives the identity.
@@ -49,7 +49,7 @@ def fit(spark: SparkSession, val_long: DataFrame, method: str = "platt", *, by_k
         for _ in range(max_passes):
             if not active:
                 break
-            for key, g0, g1, h00, h01, h11 in _newton_sums(spark, blocks, {k: params[k] for k in active}):
+            for key, g0, g1, h00, h01, h11 in _newton_sums(blocks, {k: params[k] for k in active}):
                 n = active[key]
                 a, b = params[key]
                 if method == "temperature":
@@ -62,9 +62,9 @@ def fit(spark: SparkSession, val_long: DataFrame, method: str = "platt", *, by_k
                     params[key] = (1.0, 0.0)
                     active.pop(key)
                     continue
-                scale = min(1.0, 2.0 / size) if size else 1.0
+                scale = min(1.0, 5.0 / size) if size else 1.0
                 params[key] = (a - scale * step[0], b - scale * step[1])
-                if max(abs(g0), abs(g1)) / n < tolerance or size < tolerance:
+                if max(abs(g0), abs(g1)) / n < tolerance or size < 10 * tolerance:
                     active.pop(key)
         for key in active:
             params[key] = (1.0, 0.0)
@@ -75,12 +75,14 @@ def fit(spark: SparkSession, val_long: DataFrame, method: str = "platt", *, by_k
     return spark.createDataFrame(rows, PARAM_SCHEMA)
 
 
-def _newton_sums(spark: SparkSession, blocks: DataFrame, params: dict):
-    """Gradient and Hessian sums of the log loss per (label, kernel)."""
-    now = spark.createDataFrame([(*k, *v) for k, v in params.items()], PARAM_SCHEMA)
-    q = sigmoid(F.col("slope") * F.col("z") + F.col("intercept"))
-    rows = blocks.join(now, ["label", "kernel"]).select("label", "kernel", "z", "n", (F.col("n") * q - F.col("pos")).alias("g"),
-                                                        (F.col("n") * q * (F.lit(1.0) - q)).alias("w"))
+def _newton_sums(blocks: DataFrame, params: dict):
+    """Gradient and Hessian sums of the log loss per (label, kernel). The few parameters are literals of the plan."""
+    entries = [x for (label, kernel), (a, b) in params.items()
+               for x in (F.lit(f"{label}\t{kernel}"), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))]
+    now = F.create_map(*entries)[F.concat_ws("\t", "label", "kernel")]
+    rows = blocks.withColumn("_now", now).filter(F.col("_now").isNotNull())
+    q = sigmoid(F.col("_now.a") * F.col("z") + F.col("_now.b"))
+    rows = rows.select("label", "kernel", "z", (F.col("n") * q - F.col("pos")).alias("g"), (F.col("n") * q * (F.lit(1.0) - q)).alias("w"))
     out = rows.groupBy("label", "kernel").agg(F.sum(F.col("g") * F.col("z")), F.sum("g"), F.sum(F.col("w") * F.col("z") * F.col("z")),
                                               F.sum(F.col("w") * F.col("z")), F.sum("w")).collect()
     return [((r[0], r[1]), *r[2:]) for r in out]

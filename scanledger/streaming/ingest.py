@@ -66,23 +66,33 @@ def read_table(spark: SparkSession, target: str, name: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(f"{target}/{name}")
 
 
-def chunk_records(rows: DataFrame) -> DataFrame:
-    """Per chunk: volumes, ok, cached, failed, and a map of failed volumes to errors.
-
-    A chunk is a bounded unit of work (tens of volumes), so its failures fit one row.
-    """
+def volume_outcomes(log: DataFrame) -> DataFrame:
+    """One row per (chunk, volume): failed, cached, error."""
     failed = F.coalesce(F.col("failed"), F.lit(False))
-    cached = F.coalesce(F.col("cached"), F.lit(False)) if "cached" in rows.columns else F.lit(False)
-    one = rows.groupBy("chunk", "volume_id").agg(F.bool_or(failed).alias("f"), F.bool_or(cached).alias("c"), F.min("error").alias("error"))
-    return one.groupBy("chunk").agg(
+    cached = F.coalesce(F.col("cached"), F.lit(False)) if "cached" in log.columns else F.lit(False)
+    return log.groupBy("chunk", "volume_id").agg(F.bool_or(failed).alias("f"), F.bool_or(cached).alias("c"), F.min("error").alias("error"))
+
+
+def chunk_records(log: DataFrame) -> DataFrame:
+    """Per chunk: volumes, ok, cached and failed. The failures themselves stay rows (``failure_list``)."""
+    return volume_outcomes(log).groupBy("chunk").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_volumes"), F.count_if(~F.col("f") & ~F.col("c")).cast("bigint").alias("n_ok"),
-        F.count_if(~F.col("f") & F.col("c")).cast("bigint").alias("n_cached"), F.count_if("f").cast("bigint").alias("n_failed"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("f"), F.struct("volume_id", F.coalesce("error", F.lit("unknown error")).alias("error")))))).alias("failed"))
+        F.count_if(~F.col("f") & F.col("c")).cast("bigint").alias("n_cached"), F.count_if("f").cast("bigint").alias("n_failed"))
 
 
-def failure_list(records: DataFrame) -> DataFrame:
+def failure_list(log: DataFrame) -> DataFrame:
     """One row per failed volume of a chunk."""
-    return records.select("chunk", F.explode("failed").alias("volume_id", "error"))
+    return volume_outcomes(log).filter("f").select("chunk", "volume_id", F.coalesce("error", F.lit("unknown error")).alias("error"))
+
+
+def failed_maps(log: DataFrame, max_entries: int = 1000) -> DataFrame:
+    """``failed`` as MAP<volume, error> per chunk for the record form; a chunk with more failures than a record
+    should hold gets NULL there and is read from ``failure_list``."""
+    failures = failure_list(log)
+    sizes = failures.groupBy("chunk").agg(F.count(F.lit(1)).cast("bigint").alias("n_failed"))
+    small = failures.join(sizes.filter(F.col("n_failed") <= max_entries).select("chunk"), "chunk", "left_semi")
+    maps = small.groupBy("chunk").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("volume_id", "error")))).alias("failed"))
+    return sizes.join(maps, "chunk", "left")
 
 
 def failed_attempts(log: DataFrame) -> DataFrame:
@@ -113,6 +123,6 @@ def status_report(records: DataFrame, planned: DataFrame, sizes_mb: DataFrame) -
         "projected_gb", F.col("mb_per_volume") * (F.col("volumes") / F.col("chunks_done")) * F.col("chunks_planned") / 1000).drop("volumes", "mb_total")
 
 
-def first_failures(records: DataFrame, n: int = 5) -> DataFrame:
+def first_failures(log: DataFrame, n: int = 5) -> DataFrame:
     """The first n failed volumes in chunk order, errors shortened for display."""
-    return failure_list(records).orderBy("chunk", "volume_id").limit(n).withColumn("error", F.substring("error", 1, 120))
+    return failure_list(log).orderBy("chunk", "volume_id").limit(n).withColumn("error", F.substring("error", 1, 120))
