@@ -246,7 +246,7 @@ APPLIED = """SELECT c.volume_id, q.passed AS qc_passed, CASE WHEN NOT coalesce(q
 
 @reg.add("j7_apply_splits", APPLIED)
 def _(spark, sf):
-    manifest = cat(spark, sf).select("volume_id", "patient_id", F.lit("study").alias("source_name"))
+    manifest = _manifest(spark, sf).select("volume_id", "patient_id", F.lit("study").alias("source_name"))
     frozen = X.existing_splits(spark, sf).withColumn("source_name", F.lit("study"))
     return S.apply_splits(manifest, frozen, X.qc_rows(spark, sf)).select("volume_id", "qc_passed", "split")
 
@@ -466,8 +466,14 @@ PLAN = """WITH usable AS (SELECT * FROM catalog WHERE volume_id IN (SELECT volum
   UNION ALL SELECT patient_id, CASE WHEN rn<=nt THEN 'test' WHEN rn<=nt+nv THEN 'val' ELSE 'train' END FROM drawn, need)"""
 
 
+def _manifest(spark, sf):
+    """Volumes of the catalog with their ids only."""
+    keys = X.volume_keys(spark, sf)
+    return keys.select("volume_id", *[c.alias(n) for n, c in I.volume_id_parts(F.col("volume_id")).items()])
+
+
 def _assigned(spark, sf, n_val=200, n_test=250):
-    return S.assign_source_splits(cat(spark, sf), X.qc_rows(spark, sf), X.existing_splits(spark, sf), n_val=n_val, n_test=n_test, seed=5)
+    return S.assign_source_splits(_manifest(spark, sf), X.qc_rows(spark, sf), X.existing_splits(spark, sf), n_val=n_val, n_test=n_test, seed=5)
 
 
 @reg.add("cu22_plan_split", f"{PLAN} SELECT patient_id, split FROM mapping")

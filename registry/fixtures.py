@@ -1,19 +1,40 @@
 """The fixture views over the given tables, as DataFrames (same rows as ``fixtures_sql.py``)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from scanledger.functions.hashing import hash01
 from scanledger.functions.ids import is_volume_id, strip_nifti_ext
 from scanledger.operators.kernels import catalog
+from scanledger.staging import shared_folder
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_METADATA: dict[tuple[str, str], str] = {}
+
+
 def volumes(spark, sf) -> DataFrame:
-    """Study metadata: one row per file entry of a pool."""
+    """Study metadata, one row per file entry of a pool, written as a table once per application: file names are
+    stored values to the operators, not expressions that the optimizer repeats in every predicate."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _METADATA or not exists(spark, _METADATA[key]):
+        path = f"{shared_folder(spark).rstrip('/')}/metadata-{uuid.uuid4().hex}"
+        derive_volumes(spark, sf).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        _METADATA[key] = path
+    return spark.read.parquet(_METADATA[key])
+
+
+def exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def derive_volumes(spark, sf) -> DataFrame:
     line, orders, part = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
     own = F.when(F.col("o_custkey") % 8 == 0, "valid").otherwise("train")
     name = F.concat(own, F.lit("_"), F.col("o_custkey").cast("string"), F.lit("_"),

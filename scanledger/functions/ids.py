@@ -21,7 +21,9 @@ SOFT_CODES = ("B", "A", "SA")
 
 
 def strip_nifti_ext(name: Column) -> Column:
-    return F.regexp_replace(name, NIFTI_SUFFIX, "")
+    """Drop one trailing ``.nii.gz`` or ``.nii``."""
+    return F.when(F.endswith(name, F.lit(".nii.gz")), F.left(name, F.length(name) - 7)).when(
+        F.endswith(name, F.lit(".nii")), F.left(name, F.length(name) - 4)).otherwise(name)
 
 
 def is_volume_id(volume_id: Column) -> Column:
@@ -30,27 +32,26 @@ def is_volume_id(volume_id: Column) -> Column:
 
 def volume_id_parts(volume_id: Column) -> dict[str, Column]:
     """Columns of a well-formed id: pool, patient, scan, reconstruction. Filter by is_volume_id first."""
-    pool = F.regexp_extract(volume_id, VOLUME_ID, 1)
-    number = F.regexp_extract(volume_id, VOLUME_ID, 2)
+    def part(i: int) -> Column:
+        return F.split_part(volume_id, F.lit("_"), F.lit(i))
     return {
-        "patient_id": F.concat_ws("_", pool, number),
-        "scan_id": F.regexp_extract(volume_id, VOLUME_ID, 3),
-        "reconstruction_id": F.regexp_extract(volume_id, VOLUME_ID, 4).try_cast("bigint"),
-        "source_split": pool,
+        "patient_id": F.substring_index(volume_id, "_", 2),
+        "scan_id": part(3),
+        "reconstruction_id": part(4).try_cast("bigint"),
+        "source_split": part(1),
     }
 
 
 def patient_number(patient_id: Column) -> Column:
-    return F.regexp_extract(patient_id, r"_(\d+)$", 1).try_cast("bigint")
+    return F.substring_index(patient_id, "_", -1).try_cast("bigint")
 
 
 def volume_repo_path(volume_id: Column, pool: Column) -> Column:
     """Nested path of one volume below its pool's folder; NULL when the id is not from that pool."""
-    number, scan = F.regexp_extract(volume_id, VOLUME_ID, 2), F.regexp_extract(volume_id, VOLUME_ID, 3)
-    patient = F.concat_ws("_", pool, number)
+    patient, scan = F.substring_index(volume_id, "_", 2), F.split_part(volume_id, F.lit("_"), F.lit(3))
     path = F.concat(F.lit("dataset/"), pool, F.lit("_fixed/"), patient, F.lit("/"), patient, F.lit("_"), scan,
                     F.lit("/"), volume_id, F.lit(".nii.gz"))
-    return F.when(is_volume_id(volume_id) & (F.regexp_extract(volume_id, VOLUME_ID, 1) == pool), path)
+    return F.when(is_volume_id(volume_id) & (F.substring_index(volume_id, "_", 1) == pool), path)
 
 
 def normalize_kernel(raw: Column) -> Column:

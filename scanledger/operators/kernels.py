@@ -15,7 +15,8 @@ def bad_kernel_rows(kernel_table: DataFrame) -> DataFrame:
     return kernel_table.filter(~F.coalesce(F.col("class").isin(*KERNEL_CLASSES), F.lit(False)))
 
 
-def classify(df: DataFrame, kernel_table: DataFrame, *, manufacturer: str = "manufacturer", kernel: str = "kernel") -> DataFrame:
+def classify(df: DataFrame, kernel_table: DataFrame, *, manufacturer: str = "manufacturer", kernel: str = "kernel",
+             normalized: bool = False) -> DataFrame:
     """Adds ``kernel`` (normalised) and ``kernel_class``; pairs not in the table are ``other``.
 
     The table holds one row per known pair. The join carries no hint: Spark broadcasts it when its measured
@@ -23,9 +24,8 @@ def classify(df: DataFrame, kernel_table: DataFrame, *, manufacturer: str = "man
     """
     m, k = kernel_key(F.col("manufacturer"), F.col("kernel"))
     lookup = kernel_table.select(m.alias("_m"), k.alias("_k"), "class").groupBy("_m", "_k").agg(F.max("class").alias("_class"))
-    name = normalize_kernel(F.col(kernel))
-    dm, dk = kernel_key(F.col(manufacturer), name)
-    out = df.withColumn("_dm", dm).withColumn("_dk", dk)
+    name = F.col(kernel) if normalized else normalize_kernel(F.col(kernel))
+    out = df.withColumn("_dm", F.lower(F.trim(F.coalesce(F.col(manufacturer), F.lit(""))))).withColumn("_dk", F.lower(name))
     out = out.join(lookup, (F.col("_dm") == F.col("_m")) & (F.col("_dk") == F.col("_k")), "left")
     keep = [c for c in df.columns if c not in ("kernel", "kernel_class")]
     return out.select(*keep, name.alias("kernel"), F.coalesce("_class", F.lit("other")).alias("kernel_class"))
@@ -46,7 +46,7 @@ def catalog(meta: DataFrame, kernel_table: DataFrame) -> DataFrame:
     one = first_per(usable, ["volume_id", "pool"], ["manufacturer", "kernel"])
     parts = volume_id_parts(F.col("volume_id"))
     ids = one.select("volume_id", *[c.alias(n) for n, c in parts.items()], "manufacturer", "kernel")
-    return classify(ids, kernel_table)
+    return classify(ids, kernel_table, normalized=True)
 
 
 def catalog_counts(meta: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Train / val / test by patient: drawn once, frozen, topped up, applied."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import order_key
 from ..functions.numeric import count_if
+from ..staging import staged
 from .ordering import hash_cell, positions
 
 SPLITS = ("train", "val", "test")
@@ -58,15 +61,10 @@ def usable_rows(manifest: DataFrame, qc: DataFrame | None) -> DataFrame:
     return manifest.join(qc.filter(F.col("passed")).select("volume_id").distinct(), "volume_id", "left_semi")
 
 
-def forced_test(manifest: DataFrame) -> DataFrame:
-    """Patients of the official held-out pool: always test."""
-    return manifest.filter("source_split = 'valid'").select("patient_id", F.lit("test").alias("split")).distinct()
-
-
-def split_counts(manifest: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Patients and volumes per split of the usable rows."""
-    per_patient = manifest.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).join(mapping, "patient_id")
-    return per_patient.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("patients"), F.sum("n").cast("bigint").alias("volumes"))
+def split_counts(people: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Patients and volumes per split; ``people`` has one row per patient with its number ``n`` of usable volumes."""
+    return people.join(mapping, "patient_id").groupBy("split").agg(
+        F.count(F.lit(1)).cast("bigint").alias("patients"), F.sum("n").cast("bigint").alias("volumes"))
 
 
 def apply_splits(manifest: DataFrame, splits: DataFrame, qc: DataFrame | None = None) -> DataFrame:
@@ -90,13 +88,18 @@ def overlapping_patients(manifest: DataFrame, patient: str = "patient_id") -> Da
 
 
 def assign_source_splits(manifest: DataFrame, qc: DataFrame | None, existing: DataFrame, *, n_val: int, n_test: int, seed: int,
-                         official_test: bool = True) -> dict[str, DataFrame]:
-    """Mapping, counts per split and number of unusable volumes of one source."""
+                         official_test: bool = True, stage: Callable[[DataFrame], DataFrame] = staged) -> dict[str, DataFrame]:
+    """Mapping, counts per split and number of unusable volumes of one source.
+
+    The patients with their usable volumes feed every result, so ``stage`` writes that table once.
+    """
     usable = usable_rows(manifest, qc)
-    forced = forced_test(usable) if official_test else existing.limit(0)
-    mapping = plan_split(usable, existing, forced, n_val=n_val, n_test=n_test, seed=seed)
+    official = F.bool_or(F.col("source_split") == "valid") if official_test else F.lit(False)
+    people = stage(usable.groupBy("patient_id").agg(official.alias("official"), F.count(F.lit(1)).alias("n")))
+    forced = people.filter("official").select("patient_id", F.lit("test").alias("split"))
+    mapping = plan_split(people, existing, forced, n_val=n_val, n_test=n_test, seed=seed)
     unusable = usable.select("volume_id", F.lit(True).alias("_ok")).distinct()
     report = manifest.select("volume_id").join(unusable, "volume_id", "left").agg(
         F.count(F.lit(1)).cast("bigint").alias("volumes"), count_if(F.col("_ok").isNull()).alias("unusable_volumes"))
-    return {"mapping": mapping, "counts": split_counts(usable, mapping), "report": report,
-            "shortfall": split_shortfall(usable, existing, forced, n_val=n_val, n_test=n_test)}
+    return {"mapping": mapping, "counts": split_counts(people, mapping), "report": report,
+            "shortfall": split_shortfall(people, existing, forced, n_val=n_val, n_test=n_test)}

@@ -6,11 +6,14 @@ and a patient with very many volumes is ordered cell by cell too.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import order_key
 from ..functions.ids import parse_number, patient_number, strip_nifti_ext, volume_repo_path
 from ..functions.numeric import count_if
+from ..staging import staged
 from .kernels import catalog, catalog_counts
 from .ordering import first_per, hash_cell, number_cell, positions, prefix_sums, text_cell
 
@@ -60,12 +63,17 @@ def cap_patients(patients: DataFrame, seed: int, limit: int | None) -> DataFrame
     return patient_order(patients, seed).filter(F.col("rank") < limit).select("patient_id")
 
 
-def in_patient_order(volumes: DataFrame, seed: int) -> DataFrame:
-    """Adds ``position``: patients in seeded order, a patient's volumes together by scan and reconstruction."""
-    counts = volumes.groupBy("patient_id").agg(F.count(F.lit(1)).cast("bigint").alias("n")).withColumn("_key", order_key(seed, "patient_id"))
-    starts = prefix_sums(counts, [], hash_cell(F.col("_key")), ["_key", "patient_id"], ["n"]).select("patient_id", F.col("n_before").alias("_start"))
-    inside = positions(volumes, ["patient_id"], text_cell(F.col("scan_id")), ["scan_id", "reconstruction_id", "volume_id"], "_inside")
-    return inside.join(starts, "patient_id").select(*volumes.columns, (F.col("_start") + F.col("_inside")).alias("position"))
+def in_patient_order(volumes: DataFrame, key: int | Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``position`` (within ``keys``): patients in seeded order, a patient's volumes together by scan and reconstruction.
+
+    ``key`` is a seed or an order key column.
+    """
+    keys = list(keys)
+    key = key if isinstance(key, Column) else order_key(key, "patient_id")
+    counts = volumes.groupBy(*keys, "patient_id").agg(F.count(F.lit(1)).cast("bigint").alias("n")).withColumn("_key", key)
+    starts = prefix_sums(counts, keys, hash_cell(F.col("_key")), ["_key", "patient_id"], ["n"]).select("patient_id", *keys, F.col("n_before").alias("_start"))
+    inside = positions(volumes, [*keys, "patient_id"], text_cell(F.col("scan_id")), ["scan_id", "reconstruction_id", "volume_id"], "_inside")
+    return inside.join(starts, ["patient_id", *keys]).select(*volumes.columns, (F.col("_start") + F.col("_inside")).alias("position"))
 
 
 def chunked(ordered: DataFrame, chunk_size: int, first_chunk: Column | int = 0, first_order: Column | int = 0) -> DataFrame:
@@ -86,27 +94,39 @@ def selected_train(volumes: DataFrame, kernel: str, seed: int, max_patients: int
 
 def build_worklist(meta: DataFrame, kernel_table: DataFrame, *, chunk_size: int, train_kernel: str = "sharp", seed: int = 0,
                    max_train_patients: int | None = None, max_test_patients: int | None = None, max_combined_gb: float | None = None,
-                   train_patients: DataFrame | None = None) -> DataFrame:
+                   train_patients: DataFrame | None = None, stage: Callable[[DataFrame], DataFrame] = staged) -> DataFrame:
     """Test-pool volumes (every reconstruction) first, then train; a chunk never mixes pools.
 
     ``train_patients`` (patient_id, rank) fixes the train patients and their order instead of the seeded order.
+    The selected rows are read several times (caps, patient order, counts), so ``stage`` writes them once.
     """
     if train_kernel not in ("sharp", "soft"):
         raise ValueError(f"train_kernel must be 'sharp' or 'soft', got {train_kernel!r}")
     volumes = catalog(meta, kernel_table)
-    train, test = volumes.filter("source_split = 'train'"), volumes.filter("source_split = 'valid'")
+    is_test = F.col("source_split") == "valid"
     if max_combined_gb:
-        train = train.join(screened_out(meta, max_combined_gb), "volume_id", "left_anti")
-    if max_test_patients is not None:
-        test = test.join(cap_patients(test, seed + 1, max_test_patients), "patient_id", "left_semi").select(*volumes.columns)
+        too_big = screened_out(meta, max_combined_gb).withColumn("source_split", F.lit("train"))
+        volumes = volumes.join(too_big, ["volume_id", "source_split"], "left_anti").select(*volumes.columns)
+    # every test volume is its own unit; of a train scan one volume of the wanted kernel is taken
+    wanted = volumes.filter(is_test | (F.col("kernel_class") == train_kernel)).withColumn("_unit", F.when(is_test, F.col("volume_id")).otherwise(""))
+    rows = first_per(wanted, ["source_split", "patient_id", "scan_id", "_unit"], ["reconstruction_id", "volume_id"]).drop("_unit")
+    rows = stage(rows)
+    seeded = F.when(is_test, order_key(seed + 1, "patient_id")).otherwise(order_key(seed, "patient_id"))
+    caps = {"valid": max_test_patients, "train": max_train_patients if train_patients is None else None}
+    if any(c is not None for c in caps.values()):
+        people = rows.select("source_split", "patient_id").distinct().withColumn("_key", seeded)
+        ranked = positions(people, ["source_split"], hash_cell(F.col("_key")), ["_key", "patient_id"], "rank")
+        keep = F.lit(False)
+        for pool, cap in caps.items():
+            mine = F.col("source_split") == pool
+            keep = keep | (mine if cap is None else mine & (F.col("rank") < cap))
+        rows = rows.join(ranked.filter(keep).select("source_split", "patient_id"), ["source_split", "patient_id"], "left_semi").select(*volumes.columns)
+    n_test = rows.agg(F.count_if(is_test)).scalar()
     if train_patients is None:
-        train_rows = in_patient_order(selected_train(train, train_kernel, seed, max_train_patients), seed)
+        ordered = in_patient_order(rows, seeded, ("source_split",))
     else:
-        train_rows = in_given_order(one_per_scan(train.filter(F.col("kernel_class") == train_kernel)), train_patients)
-    test_rows = in_patient_order(test, seed + 1)
-    n_test = test.agg(F.count(F.lit(1))).scalar()
-    return chunked(test_rows, chunk_size).unionByName(
-        chunked(train_rows, chunk_size, F.ceil(n_test / chunk_size), n_test))
+        ordered = in_patient_order(rows.filter(is_test), seed + 1).unionByName(in_given_order(rows.filter(~is_test), train_patients))
+    return chunked(ordered, chunk_size, F.when(is_test, 0).otherwise(F.ceil(n_test / chunk_size)), F.when(is_test, 0).otherwise(n_test))
 
 
 def in_given_order(volumes: DataFrame, ranked: DataFrame) -> DataFrame:
