@@ -145,9 +145,10 @@ def headline(parts: dict[str, DataFrame]) -> DataFrame:
     aggs = [F.max(F.when(whole, F.col(c))).alias(c) for c in overall_columns]
     aggs += [F.max(F.when((F.col("group_by") == "kernel_class") & (F.col("group") == k), F.col(c))).alias(f"{c}[{k}]")
              for k in S.PAIR_KERNELS for c in per_kernel]
-    head = parts["summary"].agg(*aggs).withColumn("_one", F.lit(1))
     gates = parts["gate"].agg(*[F.count_if(F.col("status") == s).cast("bigint").alias(f"labels_{s}")
-                                for s in ("supported", "review", "not_supported")]).withColumn("_one", F.lit(1))
-    gap = parts["kernel_gap"].agg(F.avg(F.abs("kernel_sens_gap")).alias("kernel_sens_gap_mean_abs")).withColumn("_one", F.lit(1))
-    paired = parts["paired_summary"].withColumn("_one", F.lit(1))
-    return head.join(gates, "_one").join(gap, "_one").join(paired, "_one").drop("_one")
+                                for s in ("supported", "review", "not_supported")])
+    gap = parts["kernel_gap"].agg(F.avg(F.abs("kernel_sens_gap")).alias("kernel_sens_gap_mean_abs"))
+    rows = parts["summary"].agg(*aggs)
+    for one in (gates, gap, parts["paired_summary"]):
+        rows = rows.unionByName(one, allowMissingColumns=True)
+    return rows.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in rows.columns])

@@ -37,7 +37,7 @@ def read_configs(spark: SparkSession, root: str) -> DataFrame:
         import yaml
         return text.map(lambda t: json.dumps(yaml.safe_load(t) or {}, default=str))
 
-    raw = _find(spark, root, "config.yaml").option("wholetext", True).text(root).select(_folder().alias("dir"), "value")
+    raw = _find(spark, root, "config.yaml").text(root, wholetext=True).select(_folder().alias("dir"), "value")
     return raw.select("dir", as_json("value").alias("config"))
 
 
