@@ -82,7 +82,7 @@ def _(spark, sf):
 
 def write_runs(spark, sf, root):
     """One folder per run with its config, record, curves, validation metrics and one evaluation."""
-    rows = X.curves(spark, sf).filter("epoch <= 5").select("run_id", "config", "seed", "epoch", "val_loss", "lr")
+    rows = X.curves(spark, sf).select("run_id", "config", "seed", "epoch", "val_loss", "lr")
     here = root.removeprefix("file:")
 
     def write(pdf):
@@ -107,7 +107,7 @@ def write_runs(spark, sf, root):
     rows.groupBy("run_id").applyInPandas(write, "run_id string").count()
 
 
-RUN_ROWS = "(SELECT run_id, min(config) AS config, min(seed) AS seed, min(val_loss) AS lo, max(val_loss) AS hi FROM curves WHERE epoch<=5 GROUP BY 1)"
+RUN_ROWS = "(SELECT run_id, min(config) AS config, min(seed) AS seed, min(val_loss) AS lo, max(val_loss) AS hi FROM curves GROUP BY 1)"
 
 
 @reg.add("src9_experiment_runs", f"SELECT run_id, 'exp' AS name, lpad(config::VARCHAR,8,'0') AS hash8, seed, CASE WHEN seed%5=0 THEN 'running' ELSE 'finished' END AS status, 50+config AS max_epochs, round(lo,9) AS val_macro_auroc FROM {RUN_ROWS}")
@@ -117,7 +117,7 @@ def _(spark, sf):
     return tidy(SE.load_runs(spark, root).select("run_id", "name", "hash8", "seed", "status", "max_epochs", "val_macro_auroc"))
 
 
-@reg.add("src9_experiment_curves", "SELECT run_id, epoch, round(val_loss,9) AS val_loss, round(lr,9) AS lr FROM curves WHERE epoch<=5")
+@reg.add("src9_experiment_curves", "SELECT run_id, epoch, round(val_loss,9) AS val_loss, round(lr,9) AS lr FROM curves")
 def _(spark, sf):
     root = folder(spark, "runs")
     write_runs(spark, sf, root)

@@ -130,9 +130,9 @@ def _(spark, sf):
 
 @reg.add("px8_qc_report", f"""SELECT m.volume_id, coalesce(n_pixels IS NOT NULL AND n_slices BETWEEN 5 AND 12 AND n_nonfinite=0 AND hu_min<=-500 AND hu_std>=1, false) AS passed,
   CASE WHEN n_pixels IS NULL THEN 'not preprocessed' ELSE array_to_string(list_filter([CASE WHEN n_nonfinite>0 THEN 'contains NaN or infinite values' END, CASE WHEN hu_min>-500 THEN 'HU minimum too high ('||hu_min::BIGINT||') -- looks uncalibrated (raw values, not true HU)' END],lambda x: x IS NOT NULL),'; ') END AS reasons,
-  '' AS flags, n_slices, {r('hu_min', 'hu_min', 6)}, {r('hu_max', 'hu_max', 6)}, {r('hu_std', 'hu_std', 6)} FROM (SELECT volume_id FROM findings WHERE {V}<80) m LEFT JOIN ({STATS.format(DAMAGED)}) s ON m.volume_id=s.volume_id""")
+  '' AS flags, n_slices, {r('hu_min', 'hu_min', 6)}, {r('hu_max', 'hu_max', 6)}, {r('hu_std', 'hu_std', 6)} FROM (SELECT volume_id FROM findings) m LEFT JOIN ({STATS.format(DAMAGED)}) s ON m.volume_id=s.volume_id""")
 def _(spark, sf):
-    manifest = X.findings(spark, sf).filter(F.col("volume_id").cast("int") < 80).select(
+    manifest = X.findings(spark, sf).select(
         "volume_id", F.lit(1.5).alias("spacing_z_mm"), F.lit(0.7).alias("spacing_y_mm"), F.lit(0.7).alias("spacing_x_mm"), F.lit(True).alias("z_uniform"), F.lit(0.0).alias("tilt_deg"))
     return tidy(Q.qc_report(manifest, Q.volume_stats(damaged(spark, sf)), SMALL), 6)
 

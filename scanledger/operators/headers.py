@@ -15,6 +15,12 @@ from ..functions.vectors import dot, norm
 from .ordering import quantiles
 
 KEYS = ["folder", "series_uid"]
+# fixed values: required tags and the texts of geometry problems
+PROBLEMS = {
+    "shapes": "slices in one series have different Rows/Columns",
+    "missing": "missing required DICOM tag %s in at least one slice",
+    "duplicates": "duplicate slice positions in this series",
+}
 REQUIRED = {"iop": "ImageOrientationPatient", "ipp": "ImagePositionPatient", "pixel_spacing": "PixelSpacing"}
 
 
@@ -54,9 +60,9 @@ def slice_geometry(headers: DataFrame) -> DataFrame:
     many = F.col("_k") > 1
     missing = F.lit(None).cast("string")
     for c, tag in reversed(REQUIRED.items()):
-        missing = F.when(F.col(f"_no_{c}"), f"missing required DICOM tag {tag} in at least one slice").otherwise(missing)
-    problem = F.when(F.col("_shapes") > 1, "slices in one series have different Rows/Columns").otherwise(
-        F.coalesce(missing, F.when(F.col("_lo") < 1e-3, "duplicate slice positions in this series")))
+        missing = F.when(F.col(f"_no_{c}"), PROBLEMS["missing"] % tag).otherwise(missing)
+    problem = F.when(F.col("_shapes") > 1, PROBLEMS["shapes"]).otherwise(
+        F.coalesce(missing, F.when(F.col("_lo") < 1e-3, PROBLEMS["duplicates"])))
     out = joined.withColumn("geometry_problem", problem)
     ok = F.col("geometry_problem").isNull()
 
