@@ -24,7 +24,7 @@ def volumes(spark, sf) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _METADATA or not exists(spark, _METADATA[key]):
         path = f"{shared_folder(spark).rstrip('/')}/metadata-{uuid.uuid4().hex}"
-        derive_volumes(spark, sf).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        derive_volumes(spark, sf).write.parquet(path)
         _METADATA[key] = path
     return spark.read.parquet(_METADATA[key])
 
@@ -35,7 +35,10 @@ def exists(spark, path: str) -> bool:
 
 
 def derive_volumes(spark, sf) -> DataFrame:
-    line, orders, part = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
+    orders, part = (table(spark, sf, t) for t in ("orders", "part"))
+    # one input file is one task: spread its rows before names are built
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount").repartition(
+        spark.sparkContext.defaultParallelism)
     own = F.when(F.col("o_custkey") % 8 == 0, "valid").otherwise("train")
     name = F.concat(own, F.lit("_"), F.col("o_custkey").cast("string"), F.lit("_"),
                     F.translate(F.col("l_orderkey").cast("string"), "0123456789", "abcdefghij"), F.lit("_"),
