@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules, secret_scan, url_filter
+from . import decontamination, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, url_filter, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,57 @@ def op7(spark, sf_dir):
     host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
     listing = pages.filter(host.rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.")).select(url_filter.canonical(host, path).alias("url"))
     return url_filter.judge_urls(pages, listing, URL_RULES).drop("url")
+
+# ---------------------------------------------------------------------------------------------------------------- 6
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PASSAGES_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p FROM items, unnest(range(1, greatest(2, len(w) - 8))) u(i) WHERE len(w) > 0),
+grams AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM docs, (SELECT DISTINCT n FROM phrases) s, unnest(range(1, len(w) - n + 2)) u(i)),
+found AS (SELECT r, i, g.n, item_id FROM grams g JOIN phrases USING (n, p)),
+hits AS (SELECT r, count(DISTINCT i + d)::BIGINT AS n_hit FROM (SELECT r, i, unnest(range(0, n)) AS d FROM found) GROUP BY r),
+named AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+
+@query("op6_decontamination", PASSAGES_SQL)
+def op6(spark, sf_dir):
+    marked = decontamination.mark_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, run: n + run["last"] - run["first"])
+    return marked.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+# ---------------------------------------------------------------------------------------------------------------- 8
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+# ---------------------------------------------------------------------------------------------------------------- 4
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (words.crc_slot(F.col("doc_id"), quality_classifier.FOLDS) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+# --------------------------------------------------------------------------------------------------------------- 10
+
+
+@query("op10_simhash")
+def op10(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
