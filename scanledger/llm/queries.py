@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, url_filter, words
+from . import decontamination, language_id, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +216,19 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+# ---------------------------------------------------------------------------------------------------------------- 3
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+                       F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+# ---------------------------------------------------------------------------------------------------------------- 9
+
+
+@query("op9_lm_scoring")
+def op9(spark, sf_dir):
+    return lm_scoring.score(lm_scoring.fit(table(spark, sf_dir, "documents")))
