@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from scanledger.staging import staged
 
-from .arrays import U64, chunks, prefix_hashes, ranges, span_hashes, text_bytes
+from .arrays import U64, chunks, mixed, prefix_hashes, ranges, span_hashes, text_bytes
 from .slabs import SLAB_BYTES, answer, ask, bucket_count, cut, each_slab, make_slabs, pack, unpack, with_answers
 
 LENGTH, ANCHOR = 50, 24
@@ -50,7 +50,10 @@ def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, number of strings, anchor hash, piece hash) of every piece of a slab; hashes have 48 bits."""
+    """(row, first byte, number of strings, anchor hash, piece hash) of every piece of a slab; hashes have 48 bits.
+
+    Anchors are least hashes, so they are scrambled once more to spread evenly over the buckets.
+    """
     parts = []
     for i, _, part, offs in chunks(data, offsets):
         n = len(part) - LENGTH + 1
@@ -74,7 +77,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         end[-1] = inside[-1]
         count = np.flatnonzero(end) + 1 - first
         row = np.searchsorted(offs, first, "right") - 1
-        parts.append((row + i, first + offsets[i], count, h[place[first]] & TOP48, span_hashes(sums, first, first + count + LENGTH - 1) & TOP48))
+        parts.append((row + i, first + offsets[i], count, mixed(h[place[first]]) & TOP48, span_hashes(sums, first, first + count + LENGTH - 1) & TOP48))
     if not parts:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, U64), np.empty(0, U64)
