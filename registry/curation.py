@@ -393,7 +393,20 @@ def _(spark, sf):
     return L.child_shortfall(_parent(spark, sf), L.patients_with_kernel(cat(spark, sf), "soft"), {"train": 1_000_000, "val": 1})
 
 
-@reg.add("cu13_survey_worklist")
+NAMED = "SELECT *, manufacturer||chr(9)||kernel AS pair FROM catalog WHERE source_split='train'"
+SURVEY_SQL = f"""WITH RECURSIVE named AS ({NAMED}),
+  two AS (SELECT patient_id, scan_id, patient_id||'/'||scan_id AS scan, md5('11:'||patient_id||':'||scan_id) AS k, min(pair) AS a, max(pair) AS b FROM named GROUP BY patient_id, scan_id HAVING count(*)=2),
+  sides AS (SELECT scan, k, a AS pair FROM two UNION SELECT scan, k, b FROM two),
+  cands AS (SELECT pair, list(scan ORDER BY k, scan) AS scans, row_number() OVER (ORDER BY count(*), pair) AS turn FROM sides GROUP BY pair),
+  g AS (SELECT 0::BIGINT AS turn, []::VARCHAR[] AS chosen UNION ALL SELECT c.turn, list_concat(g.chosen, list_filter(c.scans, lambda x: NOT list_contains(g.chosen, x))[1:greatest(0, 3-len(list_intersect(c.scans, g.chosen)))])
+        FROM g JOIN cands c ON c.turn=g.turn+1),
+  picked AS (SELECT unnest(chosen) AS scan FROM (SELECT chosen FROM g ORDER BY turn DESC LIMIT 1)),
+  rows AS (SELECT *, row_number() OVER (ORDER BY {PNUM}, scan_id, reconstruction_id, volume_id)-1 AS pos FROM catalog WHERE source_split='train' AND patient_id||'/'||scan_id IN (SELECT scan FROM picked))
+  SELECT pos//40 AS chunk, pos AS "order", volume_id, patient_id, scan_id, reconstruction_id, source_split, manufacturer, kernel, kernel_class,
+    'dataset/'||source_split||'_fixed/'||patient_id||'/'||patient_id||'_'||scan_id||'/'||volume_id||'.nii.gz' AS repo_path FROM rows"""
+
+
+@reg.add("cu13_survey_worklist", SURVEY_SQL)
 def _(spark, sf):
     volumes = cat(spark, sf)
     return L.survey_worklist(volumes, L.survey_sample(volumes, 3, 11), 40)

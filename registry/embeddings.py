@@ -271,16 +271,57 @@ def _(spark, sf):
     return S.select_stratified(scored(spark, sf), 4)
 
 
-@reg.add("em16_select_diverse")
+GAPPED = "(SELECT volume_id, slice_idx*2+10 AS slice_idx, n_slices, importance FROM %s)" % IMP
+
+
+def gapped(df):
+    return df.withColumn("slice_idx", F.col("slice_idx") * 2 + 10)
+
+
+@reg.add("em15_select_stratified_gaps", f"SELECT volume_id, slice_idx::BIGINT AS slice_idx FROM (SELECT *, row_number() OVER (PARTITION BY volume_id, part ORDER BY importance DESC, slice_idx) AS r FROM (SELECT *, ntile(4) OVER (PARTITION BY volume_id ORDER BY slice_idx) AS part FROM {GAPPED})) WHERE r=1")
+def _(spark, sf):
+    return S.select_stratified(gapped(scored(spark, sf)), 4)
+
+
+HOLED = "(SELECT volume_id, slice_idx, i, v FROM %s WHERE slice_idx<>volume_id::INT%%10)" % LONG
+
+
+@reg.add("em14_importance_with_nan", f"SELECT volume_id, slice_idx::BIGINT AS slice_idx, count(*) OVER w AS n_slices, {r('(raw-min(raw) OVER w)/greatest(max(raw) OVER w-min(raw) OVER w,1e-8)', 'importance')} FROM (SELECT volume_id, slice_idx, sqrt(sum((v-m)*(v-m))) AS raw FROM (SELECT *, median(v) OVER (PARTITION BY volume_id, i) AS m FROM {HOLED}) GROUP BY 1,2) WINDOW w AS (PARTITION BY volume_id)")
+def _(spark, sf):
+    hole = F.col("slice_idx") == F.col("volume_id").cast("int") % 10
+    return tidy(S.importance(sl(spark, sf).withColumn("emb", F.transform("emb", lambda v: F.when(hole, F.lit(float("nan"))).otherwise(v)))))
+
+
+def greedy_sql(k, weight=None, shift="slice_idx"):
+    """Farthest-first as one CTE per round."""
+    w = "OVER (PARTITION BY volume_id)"
+    og = "CASE WHEN chosen THEN 0.0::DOUBLE ELSE near END"
+    spread = f"(({og})-min({og}) {w})/greatest(max({og}) {w}-min({og}) {w},1e-8)"
+    score = spread if weight is None else f"{weight}::DOUBLE*importance+{1 - weight}::DOUBLE*{spread}"
+    start = "(row_number() OVER (PARTITION BY volume_id ORDER BY slice_idx)-1=n_slices//2)::INT::DOUBLE" if weight is None else "importance"
+    ctes = [f"s0 AS (SELECT u.volume_id, u.slice_idx, u.u, importance, {start} AS score, false AS chosen, NULL::DOUBLE AS near FROM {UNITS} u JOIN {IMP} i ON u.volume_id=i.volume_id AND u.slice_idx=i.slice_idx)".replace("ORDER BY slice_idx", "ORDER BY u.slice_idx").replace("PARTITION BY volume_id ORDER BY u", "PARTITION BY u.volume_id ORDER BY u")]
+    for i in range(k):
+        ctes += [f"p{i} AS (SELECT volume_id, slice_idx, u FROM s{i} WHERE NOT chosen QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY score DESC, slice_idx)=1)",
+                 f"c{i} AS (SELECT s.volume_id, s.slice_idx, s.u, importance, chosen OR s.slice_idx=p.slice_idx AS chosen, least(near, 1-{DOT}(s.u,p.u)) AS near FROM s{i} s JOIN p{i} p ON s.volume_id=p.volume_id)",
+                 f"s{i + 1} AS (SELECT volume_id, slice_idx, u, importance, {score} AS score, chosen, near FROM c{i})"]
+    return f"WITH {', '.join(ctes)} SELECT volume_id, ({shift})::BIGINT AS slice_idx FROM c{k - 1} WHERE chosen"
+
+
+@reg.add("em16_select_diverse", greedy_sql(4))
 def _(spark, sf):
     return S.select_greedy(sl(spark, sf), scored(spark, sf), 4)
 
 
-@reg.add("em16_select_combined")
+@reg.add("em16_select_combined", greedy_sql(4, 0.5))
 def _(spark, sf):
     return S.select_greedy(sl(spark, sf), scored(spark, sf), 4, 0.5)
 
 
+@reg.add("em16_select_diverse_gaps", greedy_sql(4, None, "slice_idx*2+10"))
+def _(spark, sf):
+    return S.select_greedy(gapped(sl(spark, sf)), gapped(scored(spark, sf)), 4)
+
+
 @reg.add("em17_selection_proxies", f"""WITH sel AS (SELECT u.* FROM {UNITS} u JOIN {IMPORTANT} i ON u.volume_id=i.volume_id AND u.slice_idx=i.slice_idx),
   near AS (SELECT a.volume_id, a.slice_idx, 1-max({DOT}(a.u,s.u)) AS gap FROM {UNITS} a JOIN sel s ON a.volume_id=s.volume_id GROUP BY 1,2),
   drift AS (SELECT volume_id, 1-sum(a*b)/greatest(sqrt(sum(a*a))*sqrt(sum(b*b)),1e-8) AS d FROM (SELECT l.volume_id, i, avg(v) AS a, avg(CASE WHEN s.slice_idx IS NOT NULL THEN v END) AS b FROM {LONG} l LEFT JOIN sel s ON s.volume_id=l.volume_id AND s.slice_idx=l.slice_idx GROUP BY 1,2) GROUP BY 1),

@@ -27,10 +27,26 @@ def _(spark, sf):
     return records(spark, sf)
 
 
-@reg.add("ing7_failed_maps", f"SELECT chunk, count(*) AS n_failed, string_agg(volume_id||'='||error, ';' ORDER BY volume_id) AS failed FROM {ONE} WHERE f GROUP BY 1")
+HASH32 = "('0x'||substr(md5(volume_id),1,8))::BIGINT"
+
+
+def maps_sql(source, per_map):
+    return (f"WITH f AS (SELECT *, count(*) OVER (PARTITION BY chunk) AS n_failed FROM {source} WHERE f) SELECT chunk, {HASH32}%ceil(n_failed/{per_map})::BIGINT AS part, n_failed, "
+            f"string_agg(volume_id||'='||error, ';' ORDER BY volume_id) AS failed FROM f GROUP BY 1,2,3")
+
+
+def maps_text(df):
+    return df.withColumn("failed", F.array_join(F.transform(F.map_entries("failed"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"))
+
+
+@reg.add("ing7_failed_maps", maps_sql(ONE, 2))
+def _(spark, sf):
+    return maps_text(IN.failed_maps(X.chunk_log(spark, sf), 2))
+
+
+@reg.add("ing7_failed_maps_large_chunk", maps_sql("(SELECT 'all' AS chunk, volume_id, bool_or(failed) AS f, min(error) AS error FROM chunk_log GROUP BY 2)", 1000))
 def _(spark, sf):
-    text = F.array_join(F.transform(F.map_entries("failed"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return IN.failed_maps(X.chunk_log(spark, sf)).withColumn("failed", text)
+    return maps_text(IN.failed_maps(X.chunk_log(spark, sf).withColumn("chunk", F.lit("all"))))
 
 
 @reg.add("cu17_failure_list", f"SELECT chunk, volume_id, error FROM {ONE} WHERE f")
@@ -38,9 +54,11 @@ def _(spark, sf):
     return IN.failure_list(X.chunk_log(spark, sf))
 
 
-@reg.add("ing4_failed_attempts", "SELECT chunk, count(*) FILTER (failed) AS attempts FROM chunk_log GROUP BY 1 HAVING count(*) FILTER (failed)>0")
+@reg.add("ing4_failed_attempts", """WITH a AS (SELECT (event_id%400)::VARCHAR AS chunk, event_id//400 AS attempt, failed FROM chunk_log), d AS (SELECT chunk, max(attempt) FILTER (NOT failed) AS done FROM a GROUP BY 1)
+  SELECT chunk, count(*) FILTER (failed) AS attempts FROM a JOIN d USING (chunk) WHERE done IS NULL OR attempt>done GROUP BY 1 HAVING count(*) FILTER (failed)>0""")
 def _(spark, sf):
-    return IN.failed_attempts(X.chunk_log(spark, sf))
+    e = F.col("event_id")
+    return IN.failed_attempts(X.chunk_log(spark, sf).select((e % 400).cast("string").alias("chunk"), F.floor(e / 400).alias("attempt"), "failed"))
 
 
 @reg.add("ing5_retry_set", f"SELECT chunk FROM {RECORDS} WHERE n_failed>0 UNION SELECT 'extra_'||n_nationkey FROM nation")

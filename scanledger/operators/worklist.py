@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import order_key
 from ..functions.ids import parse_number, patient_number, strip_nifti_ext, volume_repo_path
@@ -202,39 +202,39 @@ def child_shortfall(parent: DataFrame, available: DataFrame, quotas: dict[str, i
     return asked.join(pool, "split", "left").select("split", "asked", F.coalesce("available", F.lit(0)).alias("available")).filter("asked > available")
 
 
-def survey_sample(volumes: DataFrame, pairs_per_kernel: int, seed: int = 0) -> DataFrame:
+def survey_sample(volumes: DataFrame, pairs_per_kernel: int, seed: int = 0, stage: Callable[[DataFrame], DataFrame] = staged) -> DataFrame:
     """Scans with exactly two reconstructions such that every (manufacturer, kernel) pair has up to n of them.
 
-    Pairs are served rarest first and a scan serves both of its pairs. When a pair is served it has fewer than n
-    scans already, so its n picks lie in its first 2n candidates: only those are brought together, and the greedy
-    choice runs over at most 2n rows per pair.
+    Rare pairs come first, and a scan counts for both of its pairs. All pairs choose at once, each leaving out what pairs before it
+    chose in the round before. A round settles at least the first pair that was not settled, in practice nearly all, and when a round changes
+    nothing, every pair's choice agrees with all choices before it. A choice is a row-number limit that Spark applies before the shuffle.
     """
-    pair = F.struct("manufacturer", "kernel")
+    sides = _survey_sides(volumes, seed)
+    sizes = sides.groupBy("pair").agg(F.count(F.lit(1)).alias("size"))
+    sides = stage(sides.join(sizes, "pair").select("patient_id", "scan_id", "key", "pair", F.struct("size", "pair").alias("turn")))
+    chosen, before, now = sides.limit(0), None, (0, None)
+    while now != before:
+        chosen = stage(_survey_round(sides, chosen, pairs_per_kernel))
+        before, now = now, tuple(chosen.agg(F.count(F.lit(1)), F.sum(F.xxhash64("patient_id", "scan_id", "pair").cast("decimal(38,0)"))).first())
+    return chosen.select("patient_id", "scan_id", F.col("pair").alias("served"))
+
+
+def _survey_round(sides: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """What every pair chooses if the pairs before it choose ``chosen``."""
+    taken = chosen.groupBy("patient_id", "scan_id").agg(F.min("turn").alias("taken"))
+    seen = sides.join(taken, ["patient_id", "scan_id"], "left").withColumn("mine", F.coalesce(F.col("taken") < F.col("turn"), F.lit(False)))
+    have = seen.filter("mine").groupBy("pair").agg(F.count(F.lit(1)).alias("have"))
+    place = F.row_number().over(Window.partitionBy("pair").orderBy("key", "patient_id", "scan_id"))
+    first = seen.filter("NOT mine").withColumn("place", place).filter(F.col("place") <= n)
+    return first.join(have, "pair", "left").filter(F.col("place") <= n - F.coalesce("have", F.lit(0))).select(*sides.columns)
+
+
+def _survey_sides(volumes: DataFrame, seed: int) -> DataFrame:
+    """Training scans with two reconstructions, once per pair they show, with their seeded order."""
+    name = F.concat_ws("\t", F.coalesce("manufacturer", F.lit("")), F.coalesce("kernel", F.lit("")))
     scans = volumes.filter("source_split = 'train'").groupBy("patient_id", "scan_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min(pair).alias("a"), F.max(pair).alias("b")).filter("n = 2")
-    sides = scans.select("patient_id", "scan_id", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("pair"))
-    sizes = sides.groupBy("pair").agg(F.count(F.lit(1)).cast("bigint").alias("size"))
-    keyed = sides.withColumn("_key", order_key(seed, "patient_id", "scan_id"))
-    near = positions(keyed, ["pair"], hash_cell(F.col("_key")), ["_key", "patient_id", "scan_id"], "pos").filter(F.col("pos") < 2 * pairs_per_kernel)
-    rows = near.join(sizes, "pair").select("patient_id", "scan_id", F.concat_ws("\t", "pair.manufacturer", "pair.kernel").alias("pair"),
-                                           F.concat_ws("\t", "a.manufacturer", "a.kernel").alias("a"), F.concat_ws("\t", "b.manufacturer", "b.kernel").alias("b"),
-                                           "size", "pos")
-
-    def choose(pdf):
-        pdf = pdf.sort_values(["size", "pair", "pos"], kind="stable")
-        chosen, have = {}, {}
-        for name, group in pdf.groupby("pair", sort=False):
-            for row in group.itertuples():
-                if have.get(name, 0) >= pairs_per_kernel:
-                    break
-                if (row.patient_id, row.scan_id) not in chosen:
-                    chosen[row.patient_id, row.scan_id] = name
-                    for side in {row.a, row.b}:
-                        have[side] = have.get(side, 0) + 1
-        import pandas as pd
-        return pd.DataFrame([(*k, v) for k, v in chosen.items()], columns=["patient_id", "scan_id", "served"])
-
-    return rows.groupBy(F.lit(1).alias("_all")).applyInPandas(choose, "patient_id string, scan_id string, served string")
+        F.count(F.lit(1)).alias("n"), F.min(name).alias("a"), F.max(name).alias("b")).filter("n = 2")
+    return scans.select("patient_id", "scan_id", order_key(seed, "patient_id", "scan_id").alias("key"), F.explode(F.array_distinct(F.array("a", "b"))).alias("pair"))
 
 
 def survey_worklist(volumes: DataFrame, chosen: DataFrame, chunk_size: int) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.hashing import hash32
+
 
 class _Enough(Exception):
     """Raised before a batch is touched, so that the batch stays pending."""
@@ -85,19 +87,26 @@ def failure_list(log: DataFrame) -> DataFrame:
     return volume_outcomes(log).filter("f").select("chunk", "volume_id", F.coalesce("error", F.lit("unknown error")).alias("error"))
 
 
-def failed_maps(log: DataFrame, max_entries: int = 1000) -> DataFrame:
-    """``failed`` as MAP<volume, error> per chunk for the record form; a chunk with more failures than a record
-    should hold gets NULL there and is read from ``failure_list``."""
+def failed_maps(log: DataFrame, per_map: int = 1000) -> DataFrame:
+    """``failed`` as MAP<volume, error> for the record form: (chunk, part, n_failed of the chunk, failed).
+
+    A chunk has one map for about every ``per_map`` failures, split by a hash of the volume, so that no row grows with a chunk and no failure is
+    left out.
+    """
     failures = failure_list(log)
     sizes = failures.groupBy("chunk").agg(F.count(F.lit(1)).cast("bigint").alias("n_failed"))
-    small = failures.join(sizes.filter(F.col("n_failed") <= max_entries).select("chunk"), "chunk", "left_semi")
-    maps = small.groupBy("chunk").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("volume_id", "error")))).alias("failed"))
-    return sizes.join(maps, "chunk", "left")
+    part = F.pmod(hash32(F.col("volume_id")), F.ceil(F.col("n_failed") / per_map)).alias("part")
+    return failures.join(sizes, "chunk").select("chunk", part, "n_failed", "volume_id", "error").groupBy("chunk", "part", "n_failed").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("volume_id", "error")))).alias("failed"))
 
 
 def failed_attempts(log: DataFrame) -> DataFrame:
-    """Failed attempts per chunk from the event log (chunk, failed), since its last success."""
-    return log.groupBy("chunk").agg(F.count_if("failed").cast("bigint").alias("attempts")).filter("attempts > 0")
+    """Failed attempts per chunk since its last success, from the attempt log (chunk, attempt, failed); chunks without any are left out."""
+    last = F.max(F.when(~F.col("failed"), F.col("attempt")))
+    per = log.groupBy("chunk", "attempt").agg(F.count_if("failed").alias("n"), F.bool_or(~F.col("failed")).alias("ok"))
+    done = log.groupBy("chunk").agg(last.alias("done"))
+    return per.join(done, "chunk").filter(F.col("done").isNull() | (F.col("attempt") > F.col("done"))).groupBy("chunk").agg(
+        F.sum("n").cast("bigint").alias("attempts")).filter("attempts > 0")
 
 
 def retry_set(records: DataFrame, planned: DataFrame) -> DataFrame:
