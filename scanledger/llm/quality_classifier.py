@@ -28,6 +28,7 @@ from .words import crc_slot
 
 DIMENSIONS, NONZERO, HIDDEN, NEIGHBOURS = 64, 6, 24, 2
 VOCABULARY, PER_LABEL = 20_000, 1_500
+SLICE = 1 << 16
 FOLDS = 5
 
 LETTER, DIGIT, MARK = 1, 2, 3
@@ -108,10 +109,12 @@ def type_ids(vocabulary: np.ndarray, hashes: np.ndarray, shape: np.ndarray) -> n
 
 def pooled(table: np.ndarray, types: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Mean row of the table over the tokens of each document, 0 for none."""
-    out, some = np.zeros((len(counts), table.shape[1])), np.flatnonzero(counts)
-    if len(some):
-        out[some] = np.add.reduceat(table[types], (np.cumsum(counts) - counts)[some], axis=0) / counts[some][:, None]
-    return out
+    sums = np.zeros((len(counts), table.shape[1]))
+    row = np.repeat(np.arange(len(counts)), counts)
+    for a in range(0, len(types), SLICE):  # a slice of tokens at a time: their vectors take far more room than the tokens
+        rows, first = np.unique(row[a:a + SLICE], return_index=True)
+        sums[rows] += np.add.reduceat(table[types[a:a + SLICE]], first, axis=0)
+    return sums / np.maximum(counts, 1)[:, None]
 
 
 def train(sample: list[tuple[str, str]], epochs: int = 60, seed: int = 11) -> QualityModel:
@@ -136,8 +139,9 @@ def train(sample: list[tuple[str, str]], epochs: int = 60, seed: int = 11) -> Qu
         pair, n = np.unique(a[same] * np.int64(len(own)) + b[same], return_counts=True)
         a, b = np.divmod(pair, len(own))
         weight = np.log1p(n)[:, None].astype(np.float32)
-        np.add.at(context, a, own[b] * weight)
-        np.add.at(context, b, own[a] * weight)
+        for part in np.array_split(np.arange(len(n)), 1 + len(n) // SLICE):
+            np.add.at(context, a[part], own[b[part]] * weight[part])
+            np.add.at(context, b[part], own[a[part]] * weight[part])
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     vectors = unit(own) + 0.5 * unit(context)
     x, y = pooled(vectors, types, counts), np.array([float(label) for _, label in sample])
