@@ -11,7 +11,7 @@ set: up to ``block_bytes`` of its text go to the tasks at a time, and a larger o
 
 Defined results: NULL texts have no words; an item without words has no phrase; an item with a NULL item_id marks words but is not listed;
 items with equal ids count once; repeated documents are judged each; an empty benchmark marks nothing. Columns of the documents pass
-through whatever their names, the result columns take the names given.
+through whatever their names, and a column with a result's name is replaced.
 """
 from __future__ import annotations
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .arrays import ALNUM, LOWER, chunks, list_array, prefix_hashes, ranges, span_hashes, text_bytes, word_bounds
+from .words import fresh
 
 WINDOW = 10
 SAMPLE = 16
@@ -267,5 +268,5 @@ def cut_passages(marked: DataFrame, columns: list[str], text_col: str = "text",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without the passages of the benchmark; see ``mark_passages`` and ``cut_passages``."""
-    marked = mark_passages(docs, benchmark, words_col="_n_words", runs_col="_runs", items_col="_items", **options)
-    return cut_passages(marked, docs.columns, runs_col="_runs")
+    names = {k: fresh(k, docs.columns) for k in ("words_col", "runs_col", "items_col")}
+    return cut_passages(mark_passages(docs, benchmark, **names, **options), docs.columns, runs_col=names["runs_col"])

@@ -9,8 +9,9 @@ numbers; it is applied to the whole of every text inside Spark tasks.
 
 Defined results: NULL texts and texts without a letter are ``und`` with score 0, as is everything when no labelled document exists; a text with
 a letter gets one of the learned languages. Repeated rows get the same result. ``accepted`` says whether the calibrated
-probability reaches the rejection threshold, which is set so that a share of ``REJECT`` of the held-out sample at most falls below.
-Columns of the input pass through.
+probability reaches the rejection threshold, which lies below all but a share of
+``REJECT`` of the held-out sample and is ``MOST_REJECTED`` at most.
+Columns of the input pass through; one with a result's name is replaced.
 """
 from __future__ import annotations
 
@@ -24,11 +25,11 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from .arrays import LOWER, chunks, text_bytes
 from .sampling import labelled_sample
-from .words import crc_slot
+from .words import crc_slot, fresh
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 14, 16, (2, 3, 4)
 PER_LANGUAGE, MOST = 400, 2400
-REJECT = 0.001
+REJECT, MOST_REJECTED = 0.001, 0.4
 UNDETERMINED = "und"
 FOLDS = 5
 
@@ -134,7 +135,7 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, see
     temperature = fit_temperature(logits, label[check])
     right = softmax(logits / temperature)
     sure = right.max(axis=1)[right.argmax(axis=1) == label[check]]
-    threshold = float(np.clip(np.quantile(sure, REJECT) * 0.9, 0, 0.5)) if len(sure) else 0.0
+    threshold = float(np.clip(np.quantile(sure, REJECT) * 0.8, 0, MOST_REJECTED)) if len(sure) else 0.0
     return LanguageModel(languages, (embed @ layer).astype(np.float32), bias, temperature, threshold)
 
 
@@ -147,7 +148,8 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most: int = MOST)
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score",
             accepted_col: str = "accepted") -> DataFrame:
     """The documents with the predicted language, its calibrated probability and whether that is enough to accept it."""
-    letters = "_has_letter"
+    docs = docs.drop(lang_col, score_col, accepted_col)
+    letters = fresh("has_letter", docs.columns)
     rows = docs.select("*", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters))
     schema = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType()), StructField(accepted_col, BooleanType())])
 

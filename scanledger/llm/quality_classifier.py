@@ -10,7 +10,7 @@ Vectors and network are fitted on a bounded sample of labelled documents (``PER_
 tasks. The first layer is multiplied into the vector table beforehand, which gives the same numbers.
 
 Defined results: NULL and empty texts have the score of a zero vector; without labelled documents every score is 0.5; repeated rows get the
-same score; other columns pass through and are never read.
+same score; other columns pass through and are never read, but one with the result's name is replaced.
 """
 from __future__ import annotations
 
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL) -> Qu
 
 def score(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The documents with the calibrated probability of good quality."""
+    docs = docs.drop(score_col)
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

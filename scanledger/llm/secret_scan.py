@@ -128,8 +128,8 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """The documents with their secrets replaced by a mark; texts without one, and all other columns, stay as they are."""
-    spans = secret_spans(scan(docs, id_col, text_col), scope).filter(F.size("spans") > 0).select(
-        F.col("text_md5").alias("_span_md5"), F.col("spans").alias("_spans")).dropDuplicates(["_span_md5"])
-    text = F.col(text_col)
-    return docs.join(spans, F.md5(text) == F.col("_span_md5"), "left").select(
-        *[F.when(F.col("_spans").isNull(), text).otherwise(redacted(text, F.col("_spans"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    spans = secret_spans(scan(docs, id_col, text_col), scope).filter(F.size("spans") > 0).select("text_md5", "spans").dropDuplicates(["text_md5"])
+    rows = docs.select(F.struct("*").alias("row"), F.md5(text_col).alias("own_md5"))
+    text = F.col(f"row.`{text_col}`")
+    return rows.join(spans, F.col("own_md5") == F.col("text_md5"), "left").select(
+        *[F.when(F.col("spans").isNull(), text).otherwise(redacted(text, F.col("spans"))).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -183,12 +183,12 @@ def hex_digits(fingerprint: Column) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, unchanged: the one with the smallest id and, of rows that share it, the smallest text hash."""
-    text_hash = lambda: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, extra={"text_hash": text_hash()}, **options)
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, extra={"text_hash": text_hash}, **options)
     # a NULL component holds documents without an id only; their fingerprint tells them apart as far as they differ
     first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_f")).agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias("_hash"))
     first = first.select(F.col("component_id").alias("_id"), "_hash")
-    rows = docs.withColumn("_hash_of", text_hash())
-    kept = rows.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash_of") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash_of"]).select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")

@@ -33,6 +33,13 @@ def n_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_RUN))).cast("bigint")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or one like it that is not among the columns."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
 def count_chars(text: Column, chars: str) -> Column:
     """How many characters of the text are among ``chars``, as BIGINT."""
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
