@@ -223,6 +223,12 @@ def _(spark, sf):
     return M.attach_labels(_people(spark, sf), _label_rows(spark, sf), "patient", "patient")
 
 
+@reg.add("j4_first_label_wins", f"SELECT c_custkey::VARCHAR AS patient, c_nationkey AS nation, l.a AS label_total_price FROM customer LEFT JOIN (SELECT k, arg_max(a, b) AS a FROM {LABEL_ROWS} GROUP BY 1) l ON l.k=c_custkey::VARCHAR")
+def _(spark, sf):
+    rows = _label_rows(spark, sf).withColumn("Order-key", -F.col("Order-key"))  # the last order comes first
+    return M.attach_labels(_people(spark, sf), rows, "patient", "patient", order="Order-key")
+
+
 @reg.add("j4_label_report", f"""SELECT (SELECT count(*) FROM customer) AS rows, (SELECT count(*) FROM customer WHERE c_custkey::VARCHAR IN (SELECT k FROM {LABEL_ROWS})) AS rows_with_labels,
   (SELECT count(DISTINCT k) FROM {LABEL_ROWS} WHERE k NOT IN (SELECT c_custkey::VARCHAR FROM customer)) AS unmatched_label_keys, (SELECT count(*)-count(DISTINCT k) FROM {LABEL_ROWS}) AS duplicate_label_keys""")
 def _(spark, sf):
@@ -517,6 +523,14 @@ def _(spark, sf):
     return M.combine_runs([a.withColumn("run", F.lit("a")), b.withColumn("run", F.lit("b"))])
 
 
+@reg.add("cu25_split_clashes", """SELECT patient_id, count(DISTINCT split) AS n_splits FROM (SELECT patient_id, CASE WHEN volume_id::INT%3=2 AND volume_id::INT%5=0 THEN 'val' ELSE split END AS split FROM findings)
+  WHERE split IN ('train','val','test') GROUP BY 1 HAVING count(DISTINCT split)>1""")
+def _(spark, sf):
+    f, v = X.findings(spark, sf).select("volume_id", "patient_id", "split", "label_quality"), F.col("volume_id").cast("int")
+    second = f.filter(v % 3 > 0).withColumn("split", F.when((v % 3 == 2) & (v % 5 == 0), "val").otherwise(F.col("split")))
+    return M.split_clashes(M.combine_runs([f.filter(v % 3 < 2), second], check=False))
+
+
 DRAFT_ROWS = """(SELECT "Manufacturer" AS manufacturer, regexp_extract("ConvolutionKernel",'([A-Za-z0-9_.+-]+)',1) AS kernel, coalesce("SeriesDescription",'(empty)') AS d,
   CASE WHEN contains(upper("SeriesDescription"),'LUNG') THEN 'sharp' ELSE 'other' END AS draft FROM volumes)"""
 

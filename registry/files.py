@@ -47,11 +47,11 @@ def _(spark, sf):
     return SR.read_labels(spark, [f"{root}/a", f"{root}/b", f"{root}/absent"])
 
 
-@reg.add("src3_keyed_labels", """SELECT 'v'||volume_id||'.nii.gz' AS "VolumeName", label_quality AS "Quality", label_toxic AS "Is toxic" FROM findings WHERE 'v'||volume_id||'.nii.gz' >= 'v5'""")
+@reg.add("src3_keyed_labels", """SELECT 'v'||volume_id||'.nii.gz' AS "VolumeName", label_quality AS "Quality", label_toxic AS "Is toxic" FROM findings""")
 def _(spark, sf):
     root = folder(spark, "labels")
     write_labels(spark, sf, root)
-    return SR.read_keyed_labels(spark, f"{root}/b")
+    return SR.read_keyed_labels(spark, f"{root}/*")
 
 
 @reg.add("src4_chunk_manifests", "SELECT volume_id, (volume_id::INT%4)::VARCHAR AS ingest_chunk, CASE WHEN volume_id::INT%4<2 THEN n_slices END AS n_slices, CASE WHEN volume_id::INT%4>=2 THEN manufacturer END AS manufacturer FROM findings")

@@ -64,6 +64,13 @@ def _(spark, sf):
     return tidy(Q.calibration_info(px(spark, sf), rescale(spark, sf), -600.0).drop("slope", "intercept"))
 
 
+@reg.add("px3_negative_slope", f"""SELECT volume_id, {r('low', 'p_low_before')}, {r('CASE WHEN NOT done AND known THEN high*-2-500 END', 'p_low_after')}
+  FROM (SELECT *, low<=-600 AS done, {V}%4>0 AS known FROM (SELECT volume_id, quantile_cont(hu,0.005) AS low, quantile_cont(hu,0.995) AS high FROM voxels GROUP BY 1))""")
+def _(spark, sf):
+    down = rescale(spark, sf).withColumn("slope", -F.col("slope"))
+    return tidy(Q.calibration_info(px(spark, sf), down, -600.0).select("volume_id", "p_low_before", "p_low_after"))
+
+
 @reg.add("px3_calibrated_pixels", f"SELECT v.volume_id, z::BIGINT AS z, y::BIGINT AS y, x::BIGINT AS x, CASE WHEN NOT done AND known THEN hu*2-500 ELSE hu END AS hu FROM voxels v JOIN {CAL} c ON v.volume_id=c.volume_id")
 def _(spark, sf):
     s = px(spark, sf)

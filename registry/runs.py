@@ -37,14 +37,15 @@ def settings(spark, sf):
     u = F.col("user_id")
     cfg = X.table(spark, sf, "events").select(u.alias("config")).distinct().withColumn("json", F.concat(
         F.lit('{"loss": "'), F.when(F.col("config") % 3 == 0, "asl").otherwise("bce"), F.lit('", "seed": '), F.col("config").cast("string"), F.lit(', "optim": {"lr": '),
-        F.when(F.col("config") % 4 == 0, "0.01").otherwise("0.001"), F.lit(', "betas": [0.9, 0.99], "sched": {"warm": '), (F.col("config") % 2).cast("string"), F.lit('}}, "fixed": true}')))
+        F.when(F.col("config") % 4 == 0, "0.01").otherwise("0.001"), F.lit(', "betas": [0.9, 0.99], "sched": {"warm": '), (F.col("config") % 2).cast("string"), F.lit('}}, "data_config": "/d/'), F.col("config").cast("string"), F.lit('", "encode_config": "/e/'), F.col("config").cast("string"), F.lit('", "fixed": true}')))
     return X2.flatten_settings(cfg, "config", "json")
 
 
 CFG = "(SELECT DISTINCT user_id AS config FROM events)"
 FLAT = f"""(SELECT config, 'loss' AS setting, CASE WHEN config%3=0 THEN 'asl' ELSE 'bce' END AS value FROM {CFG} UNION ALL SELECT config,'seed',config::VARCHAR FROM {CFG} UNION ALL SELECT config,'optim.lr',CASE WHEN config%4=0 THEN '0.01' ELSE '0.001' END FROM {CFG}
-  UNION ALL SELECT config,'optim.betas','[0.9,0.99]' FROM {CFG} UNION ALL SELECT config,'optim.sched.warm',(config%2)::VARCHAR FROM {CFG} UNION ALL SELECT config,'fixed','true' FROM {CFG})"""
-VARY = f"(SELECT setting, count(*) AS n_values, arg_min(value, (-n, value)) AS common FROM (SELECT setting, value, count(*) AS n FROM {FLAT} WHERE setting<>'seed' GROUP BY 1,2) GROUP BY 1 HAVING count(*)>1)"
+  UNION ALL SELECT config,'optim.betas','[0.9,0.99]' FROM {CFG} UNION ALL SELECT config,'optim.sched.warm',(config%2)::VARCHAR FROM {CFG} UNION ALL SELECT config,'fixed','true' FROM {CFG}
+  UNION ALL SELECT config,'data_config','/d/'||config FROM {CFG} UNION ALL SELECT config,'encode_config','/e/'||config FROM {CFG})"""
+VARY = f"(SELECT setting, count(*) AS n_values, arg_min(value, (-n, value)) AS common FROM (SELECT setting, value, count(*) AS n FROM {FLAT} WHERE setting NOT IN ('seed','data_config','encode_config') GROUP BY 1,2) GROUP BY 1 HAVING count(*)>1)"
 
 
 @reg.add("fn18_flatten_settings", f"SELECT * FROM {FLAT}")

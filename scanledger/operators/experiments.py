@@ -9,7 +9,8 @@ from ..functions.ids import eval_key, metric_key
 from ..functions.numeric import finite, mean_std_text, ratio
 from .ordering import number_cell, positions, prefix_sums
 
-NOT_A_SETTING = ("name", "seed", "device", "output_dir")
+# fixed values: names and places of a run, which are no settings of its experiment
+NOT_A_SETTING = ("name", "seed", "device", "output_dir", "data_config", "encode_config")
 
 
 def attach_status(table: DataFrame, status: DataFrame) -> DataFrame:

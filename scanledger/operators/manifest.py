@@ -5,12 +5,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..checks import require_columns
+from ..checks import assert_empty, require_columns
 from ..functions.ids import clean_key, label_column_name, known_number, strip_nifti_ext, text_is_true
 from ..functions.numeric import count_if
 from .kernels import classify
 from .ordering import first_per, quantiles
-from .splits import SPLITS, apply_splits
+from .splits import SPLITS, apply_splits, overlapping_patients
 
 LABEL_PREFIX = "label_"
 
@@ -20,13 +20,21 @@ def rename_labels(labels: DataFrame, key: str) -> DataFrame:
     return labels.select(key, *[F.col(f"`{c}`").alias(label_column_name(c)) for c in labels.columns if c != key])
 
 
-def attach_labels(manifest: DataFrame, labels: DataFrame, manifest_key: str = "volume_id", labels_key: str = "volume_id") -> DataFrame:
-    """The manifest with ``label_*`` columns; the first row of a repeated label key counts, old columns are replaced."""
+def attach_labels(manifest: DataFrame, labels: DataFrame, manifest_key: str = "volume_id", labels_key: str = "volume_id",
+                  order: str | None = None) -> DataFrame:
+    """The manifest with ``label_*`` columns; old columns are replaced.
+
+    Of a repeated label key the first row counts, by the column ``order`` (the readers can add one) or, where rows have no order, the
+    row with the smallest values.
+    """
     require_columns(manifest, [manifest_key], "the manifest")
     require_columns(labels, [labels_key], "the labels")
-    table = rename_labels(labels.withColumn(labels_key, clean_key(F.col(labels_key).cast("string"))), labels_key)
+    place = F.col(order) if order else F.lit(0)
+    keyed = labels.withColumn(labels_key, clean_key(F.col(labels_key).cast("string")))
+    table = rename_labels(keyed.drop(order) if order else keyed, labels_key)
     values = [c for c in table.columns if c != labels_key]
-    table = table.groupBy(F.col(labels_key).alias("_key")).agg(F.min(F.struct(*values)).alias("_row"))
+    named = keyed.select(F.col(labels_key).alias("_key"), place.alias("_place"), *[F.col(f"`{c}`").alias(label_column_name(c)) for c in keyed.columns if c not in (labels_key, order)])
+    table = named.groupBy("_key").agg(F.min(F.struct("_place", F.struct(*values).alias("row"))).getField("row").alias("_row"))
     base = manifest.drop(*values)
     joined = base.withColumn("_mkey", clean_key(F.col(manifest_key).cast("string"))).join(table, F.col("_mkey") == F.col("_key"), "left")
     return joined.select(*base.columns, *[F.col(f"_row.{c}").alias(c) for c in values])
@@ -80,11 +88,11 @@ def with_kernel_columns(rows: DataFrame, kernel_table: DataFrame) -> DataFrame:
 
 
 def merge_run(chunks: DataFrame, kernel_table: DataFrame, splits: DataFrame, labels: DataFrame | None = None, *,
-              order: Sequence[str] = ("ingest_chunk",)) -> DataFrame:
-    """One row per volume of a run: deduplicated, classified, labelled, split."""
+              order: Sequence[str] = ("ingest_chunk",), label_order: str | None = None) -> DataFrame:
+    """One row per volume of a run: deduplicated, classified, labelled (first row in ``label_order``), split."""
     out = with_kernel_columns(dedupe(chunks, order), kernel_table)
     if labels is not None:
-        out = attach_labels(out, labels)
+        out = attach_labels(out, labels, order=label_order)
     return apply_splits(out, splits)
 
 
@@ -159,8 +167,12 @@ def labels_long(manifest: DataFrame, ids: Sequence[str], labels: Sequence[str] |
     return manifest.select(*ids, F.inline(entries))
 
 
-def combine_runs(manifests: Sequence[DataFrame]) -> DataFrame:
-    """Several runs as one table, each volume once (the earliest run wins); label columns must agree."""
+def combine_runs(manifests: Sequence[DataFrame], check: bool = True) -> DataFrame:
+    """Several runs as one table, each volume once (the earliest run wins); label columns must agree.
+
+    A patient with different splits in the runs would leak from one into the other: with ``check`` that is an error (one aggregate
+    over the runs), otherwise ask ``split_clashes``.
+    """
     first = sorted(c for c in manifests[0].columns if c.startswith(LABEL_PREFIX))
     for m in manifests[1:]:
         if sorted(c for c in m.columns if c.startswith(LABEL_PREFIX)) != first:
@@ -169,7 +181,15 @@ def combine_runs(manifests: Sequence[DataFrame]) -> DataFrame:
     for i, m in enumerate(manifests):
         m = m.withColumn("_run", F.lit(i))
         out = m if out is None else out.unionByName(m, allowMissingColumns=True)
-    return first_per(out, ["volume_id"], ["_run"]).drop("_run")
+    combined = first_per(out, ["volume_id"], ["_run"]).drop("_run")
+    if check and {"patient_id", "split"} <= set(combined.columns):
+        assert_empty(split_clashes(combined), "patients with different splits in the runs")
+    return combined
+
+
+def split_clashes(combined: DataFrame) -> DataFrame:
+    """Patients that combined runs put in more than one split, whichever source they come from."""
+    return overlapping_patients(combined.select("patient_id", "split"))
 
 
 def encode_plan(selected: DataFrame, done: DataFrame, dim: int, width: int) -> DataFrame:

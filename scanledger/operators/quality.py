@@ -80,20 +80,20 @@ def value_quantiles(slices: DataFrame, probs: dict[str, float]) -> DataFrame:
 
 def calibration_info(slices: DataFrame, rescale: DataFrame, threshold: float = -500.0) -> DataFrame:
     """Per volume: low percentile, whether it already looks calibrated, whether the rescale is to be applied and why not."""
-    low = value_quantiles(slices, {"p_low_before": 0.005})
+    low = value_quantiles(slices, {"p_low_before": 0.005, "_high": 0.995})
     joined = low.join(rescale.select("volume_id", F.col("slope").cast("double").alias("slope"), F.col("intercept").cast("double").alias("intercept")),
                       "volume_id", "left")
     done = F.col("p_low_before") <= F.lit(float(threshold))
     known = F.col("slope").isNotNull() & F.col("intercept").isNotNull()
     applied = ~done & known
     return joined.select("volume_id", applied.alias("applied"), done.alias("already_calibrated"), "p_low_before",
-                         F.when(applied, _after(F.col("p_low_before"))).alias("p_low_after"), "slope", "intercept",
+                         F.when(applied, _after(F.col("p_low_before"), F.col("_high"))).alias("p_low_after"), "slope", "intercept",
                          F.when(~done & ~known, TEXTS["no_rescale"]).alias("reason"))
 
 
-def _after(low: Column) -> Column:
-    """A quantile commutes with an increasing rescale; a decreasing one has no closed form here."""
-    return F.when(F.col("slope") >= 0, low * F.col("slope") + F.col("intercept"))
+def _after(low: Column, high: Column) -> Column:
+    """A quantile commutes with an increasing rescale; a decreasing one turns the high quantile into the low one."""
+    return F.when(F.col("slope") >= 0, low).otherwise(high) * F.col("slope") + F.col("intercept")
 
 
 def calibrate(slices: DataFrame, info: DataFrame) -> DataFrame:

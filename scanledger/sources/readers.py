@@ -29,13 +29,17 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def read_keyed_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A label file: first column the text key, the others numbers; at least one label column."""
+def read_keyed_labels(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
+    """A label file: first column the text key, the others numbers; at least one label column.
+
+    ``order`` names a column to add that sorts rows as they stand in the files, files by name.
+    """
     names = _header(spark, path)
     if len(names) < 2:
         raise CheckFailed(f"{path}: expected a key column followed by at least one label column")
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return raw.select(F.col(f"`{names[0]}`"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in names[1:]])
+    return raw.select(F.col(f"`{names[0]}`"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in names[1:]],
+                      *([F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias(order)] if order else []))
 
 
 def read_labels(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
