@@ -20,6 +20,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from scanledger.staging import staged
+
 from .words import n_words
 
 #: Ranges of virtual time in which the stream is ordered, per unit of time.
@@ -54,19 +56,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, mo
 
 def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: int = 2, seed: str = "mix",
-             keep: Sequence[str] = ()) -> DataFrame:
+             keep: Sequence[str] = (), stage: bool = False) -> DataFrame:
     """The document copies in their queues.
 
     Per document and pass (0 to ``most`` - 1): ``cell`` and ``no`` (together with source_key the identity of the row), doc_id,
     source, size, source_size, target, ``first_word`` (words of the source before this copy), ``finish`` (virtual) and
-    ``words`` (taken from this copy). ``keep`` names columns carried along in the struct ``kept``.
+    ``words`` (taken from this copy). ``keep`` names columns carried along in the struct ``kept``. With ``stage`` the rows, their
+    words counted, are written to the shared folder first, so that the texts are read once and not for every total.
     """
     text, doc_id, source = F.col(text_col), F.col(id_col), F.col(source_col)
     name = F.coalesce(doc_id.cast("string"), F.md5(text), F.lit(""))
     rows = docs.select(doc_id.alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source_key"),
                        n_words(text).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), name)).alias("_key"),
                        F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept"))
-    return _queues(rows.withColumn("cell", F.substring("_key", 1, 3)), weights, budget, most)
+    rows = rows.withColumn("cell", F.substring("_key", 1, 3))
+    return _queues(staged(rows) if stage else rows, weights, budget, most)
 
 
 def _queues(rows: DataFrame, weights: Sequence[float], budget: float, most: int) -> DataFrame:

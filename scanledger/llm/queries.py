@@ -64,7 +64,7 @@ FROM copies c LEFT JOIN stream s ON c.source_key = s.source_key AND c.no = s.no
 
 @query("op1_mixing", MIX_SQL)
 def op1(spark, sf_dir):
-    return mixing.mixed_documents(mixing.schedule(table(spark, sf_dir, "documents")))
+    return mixing.mixed_documents(mixing.schedule(table(spark, sf_dir, "documents"), stage=True))
 
 
 # ---------------------------------------------------------------------------------------------------------------- 2
