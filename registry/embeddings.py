@@ -143,7 +143,7 @@ def attended(spark, sf):
 
 
 def logits(spark, sf):
-    return E.linear_head(E.attention_pool(attended(spark, sf)), model(spark)[1])
+    return E.linear_head(E.softmax_pool(E.attention_scores(sl(spark, sf), model(spark)[0])), model(spark)[1])
 
 
 @reg.add("em9_attention_scores", f"SELECT volume_id, slice_idx::BIGINT AS slice_idx, branch, {r('score', 'score')} FROM {SCORES}")
@@ -158,7 +158,7 @@ def _(spark, sf):
 
 @reg.add("em9_attention_pool", f"SELECT volume_id, branch, i, {r('sum(attention*emb[i+1])', 'v')} FROM {ATT}, (SELECT unnest(range(64)) AS i) GROUP BY 1,2,3")
 def _(spark, sf):
-    return tidy(E.attention_pool(attended(spark, sf)).select("volume_id", "branch", F.posexplode("pooled").alias("i", "v")))
+    return tidy(E.softmax_pool(E.attention_scores(sl(spark, sf), model(spark)[0])).select("volume_id", "branch", F.posexplode("pooled").alias("i", "v")))
 
 
 @reg.add("em10_linear_head", f"SELECT volume_id, label, {r('logit', 'logit')}, {r('1/(1+exp(-logit))', 'p')} FROM {LOGITS}")

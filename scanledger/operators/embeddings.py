@@ -77,11 +77,12 @@ def mean_similarity(slices: DataFrame) -> DataFrame:
 
 
 def group_softmax(df: DataFrame, keys: Sequence[str], score: str = "score", out: str = "attention") -> DataFrame:
-    """Softmax within a group from two aggregates; the groups are never sorted or gathered."""
-    peak = df.groupBy(*keys).agg(F.max(score).alias("_peak"))
-    lifted = df.join(peak, list(keys)).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
-    total = lifted.groupBy(*keys).agg(F.sum("_e").alias("_sum"))
-    return lifted.join(total, list(keys)).select(*df.columns, (F.col("_e") / F.col("_sum")).alias(out))
+    """Softmax within a group; the groups are never sorted or gathered. Peak and sum come from the keys and scores alone, and the
+    other columns are joined once."""
+    slim = df.select(*keys, F.col(score).alias("_score"))
+    peak = slim.groupBy(*keys).agg(F.max("_score").alias("_peak"))
+    total = slim.join(peak, list(keys)).groupBy(*keys, "_peak").agg(F.sum(F.exp(F.col("_score") - F.col("_peak"))).alias("_sum"))
+    return df.join(total, list(keys)).select(*df.columns, (F.exp(F.col(score) - F.col("_peak")) / F.col("_sum")).alias(out))
 
 
 def attention_scores(slices: DataFrame, weights: DataFrame) -> DataFrame:
@@ -107,6 +108,14 @@ def attention_pool(scored: DataFrame) -> DataFrame:
     return weighted.select("volume_id", "branch", vector_to_array("_m").alias("pooled"))
 
 
+def softmax_pool(scored: DataFrame) -> DataFrame:
+    """Attention-weighted mean embedding per (volume, branch), straight from ``score``: a weighted mean divides by the sum of its weights, so
+    only the peak has to be known."""
+    peak = scored.groupBy("volume_id", "branch").agg(F.max("score").alias("_peak"))
+    lifted = scored.join(peak, ["volume_id", "branch"]).withColumn("attention", F.exp(F.col("score") - F.col("_peak")))
+    return attention_pool(lifted)
+
+
 def linear_head(pooled: DataFrame, head: DataFrame) -> DataFrame:
     """Logit and probability per (volume, label). ``head``: label, branch, w, b."""
     return pooled.join(head, "branch").withColumn("logit", dot(F.col("pooled"), F.col("w")) + F.col("b")).select(
