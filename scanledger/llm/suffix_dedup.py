@@ -34,12 +34,25 @@ LENGTH, ANCHOR = 50, 24
 TOP48 = U64(0xFFFFFFFFFFFF0000)
 NO_ID = np.int64(-(1 << 63))
 
+PLACE_BITS = 28
+
 ONLY, LATER, COMPARE = 0, 1, 2
 
 
 def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first least value in every ``width`` consecutive values."""
-    value, place, have = h, np.arange(len(h), dtype=np.int32), 1
+    """Place of the first least value in every ``width`` consecutive values; values are compared by their first ``64 - PLACE_BITS`` bits.
+
+    The place stands in the other bits, so that one minimum finds both. An array too long for that keeps places beside the values.
+    """
+    value, have = h & ~U64((1 << PLACE_BITS) - 1), 1
+    if len(h) < 1 << PLACE_BITS:
+        value = value | np.arange(len(h), dtype=U64)
+        while have < width:
+            step = min(have, width - have)
+            value = np.minimum(value[step:], value[:-step])
+            have += step
+        return (value & U64((1 << PLACE_BITS) - 1)).astype(np.int32)
+    place = np.arange(len(h))
     while have < width:
         step = min(have, width - have)
         right = value[step:] < value[:-step]
@@ -204,7 +217,15 @@ def _compare(slabs: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes
     count, least, data = (np.concatenate([p[k] for p in parts]) for k in range(3))
     count = count.astype(np.int64)
     begins = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
-    start = ranges(begins, count)
+    start, piece = ranges(begins, count), np.repeat(np.arange(len(count)), count)
+    # a string whose hash is not there twice has no equal: only the others are put in order
+    sums = prefix_hashes(data)
+    hashes = span_hashes(sums, start, start + LENGTH)
+    by_hash = np.argsort(hashes)
+    same = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
+    twice = np.zeros(len(start), bool)
+    twice[by_hash[1:][same]] = twice[by_hash[:-1][same]] = True
+    start, piece = start[twice], piece[twice]
     raw = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.zeros((len(start), -(-LENGTH // 8)), U64)
     for k in range(LENGTH):
@@ -214,8 +235,7 @@ def _compare(slabs: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes
     common = np.zeros(len(order), np.int16)
     common[1:] = np.minimum(common_bytes(ordered[1:], ordered[:-1]), LENGTH)
     doc = np.unique(least, return_inverse=True)[1].astype(np.int32)
-    piece = np.repeat(np.arange(len(count)), count)
-    gone = previous_factors(order, common, doc[piece]) >= LENGTH
+    gone = previous_factors(order, common, doc[piece]) >= LENGTH if len(order) else np.zeros(0, bool)
     mask = np.zeros(len(count), np.uint32)
     bit = (start - begins[piece]).astype(np.uint32)
     np.bitwise_or.at(mask, piece[gone], np.uint32(1) << bit[gone])
