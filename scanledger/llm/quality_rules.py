@@ -15,6 +15,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scanledger.functions.pixels import bind
+
 from .words import SPACES, WORD_RUN, count_chars, whole, words
 
 # fixed values: the characters that count as symbols, and frequent function words of four languages
@@ -58,22 +60,31 @@ def measures(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ())
     split = docs.select(kept, whole(F.col(text_col)).alias("text"))
     split = split.select("kept", text, words(text).alias("w"), F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD_RUN)).alias("lines"))
     w = F.col("w")
-    counted = split.select(
-        "kept", "w", F.size(w).cast("bigint").alias("n_words"), F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
+    return split.select(
+        "kept", F.size(w).cast("bigint").alias("n_words"), F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
         count_chars(text, SYMBOLS).alias("n_symbols"), F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.size(F.filter(w, lambda x: x.isin(stop))).cast("bigint").alias("n_stop_words"),
-        F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-        .otherwise(F.array().cast("array<bigint>")).alias("h"))
-    names = [c for c in counted.columns if c not in ("w", "h")]
-    h = F.col("h")
-    # windows in the order of their hash, only where one repeats: equal ones then stand side by side
-    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    ordered = counted.select(*names, F.when(F.size(F.array_distinct(h)) < F.size(h), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("s"))
-    s = F.col("s")
-    again = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-    covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    return ordered.select(*names, F.size(covered).cast("bigint").alias("n_repeat_words"))
+        F.size(F.filter(w, lambda x: x.isin(stop))).cast("bigint").alias("n_stop_words"), n_repeat_words(w).cast("bigint").alias("n_repeat_words"))
+
+
+def n_repeat_words(w: Column) -> Column:
+    """Words in windows of three words that occur twice or more in the array.
+
+    The windows' hashes are sorted, only where one repeats, so that equal ones stand side by side. Each intermediate array is bound to a
+    variable: however the optimizer moves the expression, an array is made once per evaluation and not once per element.
+    """
+    def window_hashes(w: Column) -> Column:
+        return F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+
+    def covered(s: Column) -> Column:
+        again = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    def repeats(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), bind(pairs, covered)).otherwise(F.lit(0))
+
+    return F.coalesce(bind(bind(w, window_hashes), repeats), F.lit(0))
 
 
 MEASURES = {
