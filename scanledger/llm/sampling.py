@@ -15,8 +15,11 @@ def labelled_sample(rows: DataFrame, docs: DataFrame, per_label: int, most: int,
     """
     one = rows.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
     one = one.withColumn("k", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+    # the first of each of 256 slots of the order, and then of those: no task gets a label whole
+    slot = W.partitionBy("label", F.substring("k", 1, 2)).orderBy("k")
+    first = one.withColumn("turn", F.row_number().over(slot)).filter(F.col("turn") <= per_label)
     turn = F.row_number().over(W.partitionBy("label").orderBy("k"))
-    chosen = one.withColumn("turn", turn).filter(F.col("turn") <= per_label).orderBy("turn", "label").limit(most).collect()
+    chosen = first.withColumn("turn", turn).filter(F.col("turn") <= per_label).orderBy("turn", "label").limit(most).collect()
     if not chosen:
         return []
     texts = docs.filter(F.col("doc_id").isin([r.doc_id for r in chosen])).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
