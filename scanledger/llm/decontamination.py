@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is one Arrow batch of documents. Words outside the benchmark's vocabulary cannot be part of a test phrase, so the shard's text is
+A shard is a run of documents of about ``SHARD_BYTES`` in an Arrow batch, or one longer document. Words outside the benchmark's vocabulary cannot be part of a test phrase, so the shard's text is
 reduced to the runs of vocabulary words that are long enough for the shortest phrase (nothing is lost by that). Over these runs, which
 are joined by separators, an FM-index is built: suffix order by prefix doubling, the last column in a wavelet matrix, and
 suffix positions sampled at every 16th place and at the beginning of each run. All phrases are searched backward at once through the
@@ -27,7 +27,7 @@ from .words import fresh
 
 WINDOW = 10
 SAMPLE = 16
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
 RUNS = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())]))
 
 
@@ -225,7 +225,8 @@ def mark_passages(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
         def mark(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _marked(batch, text_col, runs_col, items_col, words_col, phrases)
+                for i, j, _, _ in chunks(*text_bytes(batch.column(text_col)), SHARD_BYTES):
+                    yield _marked(batch.slice(i, j - i), text_col, runs_col, items_col, words_col, phrases)
 
         out = out.mapInArrow(mark, schema)
     return out
