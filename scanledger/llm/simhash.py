@@ -126,8 +126,10 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
             if len(some):
                 places = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
                 places = places[places < len(b)]
-                x, y = np.nonzero(np.bitwise_count(mine[:, None] ^ b[places][None, :]) <= radius)
-                forest(len(nodes), x + i * BLOCK, places[y] + shift, root)
+                bits = np.bitwise_count(mine[:, None] ^ b[places][None, :])
+                if bits.min() <= radius:
+                    x, y = np.nonzero(bits <= radius)
+                    forest(len(nodes), x + i * BLOCK, places[y] + shift, root)
     linked = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[linked], nodes[root[linked]]
 
