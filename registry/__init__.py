@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .fixtures_sql import VIEWS_SQL
 
 
-def with_views(body: str) -> str:
-    """Prefix the fixture views a statement uses (transitively) as CTEs, in dependency order."""
+def with_views(body: str, changed: dict[str, str] | None = None) -> str:
+    """Prefix the fixture views a statement uses (transitively) as CTEs, in dependency order; ``changed`` adds or replaces views."""
+    views = {**VIEWS_SQL, **(changed or {})}
     order: list[str] = []
 
     def visit(text: str):
-        for name in VIEWS_SQL:
+        for name in views:
             if name not in order and re.search(rf"\b{name}\b", text):
-                visit(VIEWS_SQL[name])
+                visit(views[name])
                 if name not in order:
                     order.append(name)
 
     visit(body)
-    ctes = ",\n".join(f"{n} AS ({VIEWS_SQL[n]})" for n in order)
+    ctes = ",\n".join(f"{n} AS ({views[n]})" for n in order)
     body = body.strip()
     if not ctes:
         return body
@@ -40,10 +41,10 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
 
-    def add(self, name: str, sql: str | None = None):
+    def add(self, name: str, sql: str | None = None, views: dict[str, str] | None = None):
         def register(fn):
             self.queries[name] = fn
             if sql is not None:
-                self.oracles[name] = with_views(sql)
+                self.oracles[name] = with_views(sql, views)
             return fn
         return register

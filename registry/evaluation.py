@@ -4,17 +4,51 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanledger.functions import numeric as N
-from scanledger.operators import calibration as C, predictions as P, ranking as R, scorecard as S
+from scanledger.operators import bootstrap as B, calibration as C, predictions as P, ranking as R, scorecard as S
 from scanledger.plans import evaluation as E
 
-from . import Registry, fixtures as X
+from . import Registry, VIEWS_SQL, fixtures as X
 from .common import r, rs, tidy
 
 reg = Registry()
 GROUPS = ["kernel_class", "manufacturer"]
 KEYS = ["group_by", "group", "label"]
 IDS = ["volume_id", "patient_id", "scan_id", "kernel_class", "manufacturer"]
-PLAIN = E.ReportSettings(calibration="none", bootstrap=0)
+PLAIN = E.ReportSettings(calibration="none")
+REPORT = E.ReportSettings()
+BOOT = 1000
+
+
+def newton_sql(rows: str, whole: bool, steps: int = 12) -> str:
+    """Slope and intercept per (label, kernel) after Newton steps on rows (label, kernel, z, y) up to the fit's tolerance; ``whole``: both numbers, else the slope alone."""
+    now = f"SELECT DISTINCT label, kernel, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, false AS done FROM {rows}"
+    d1, d2 = ("(h11*g0-h01*g1)/(h00*h11-h01*h01)", "(h00*g1-h01*g0)/(h00*h11-h01*h01)") if whole else ("g0/h00", "0.0::DOUBLE")
+    for _ in range(steps):
+        now = f"""SELECT label, kernel, CASE WHEN done THEN a ELSE a-least(1.0,5.0/size)*d1 END AS a, CASE WHEN done THEN b ELSE b-least(1.0,5.0/size)*d2 END AS b,
+            done OR greatest(abs(g0),abs(g1))/n<1e-7 OR size<1e-6 AS done
+          FROM (SELECT *, greatest(abs(d1),abs(d2),1e-300::DOUBLE) AS size FROM (SELECT *, {d1} AS d1, {d2} AS d2 FROM (
+            SELECT label, kernel, any_value(a) AS a, any_value(b) AS b, any_value(done) AS done, count(*) AS n, sum((q-y)*z) AS g0, sum(q-y) AS g1,
+            sum(q*(1-q)*z*z) AS h00, sum(q*(1-q)*z) AS h01, sum(q*(1-q)) AS h11
+            FROM (SELECT *, 1/(1+exp(-(a*z+b))) AS q FROM {rows} JOIN ({now}) USING (label, kernel)) GROUP BY 1,2)))"""
+    return now
+
+
+LOGIT_ROWS = "SELECT label, {kernel} AS kernel, ln(q)-ln(1-q) AS z, y FROM (SELECT *, least(greatest(p,1e-6),1-1e-6) AS q FROM {source} WHERE split='val' AND y IS NOT NULL)"
+# predictions as the report sees them: ``p`` calibrated on the validation rows, ``p_raw`` as predicted
+PLATT = {
+    "preds_raw": VIEWS_SQL["preds_long"],
+    "logit_rows": LOGIT_ROWS.format(kernel="'*'", source="preds_raw"),
+    "platt": newton_sql("logit_rows", True),
+    "preds_long": """SELECT r.* EXCLUDE (p), 1/(1+exp(-(a*(ln(q)-ln(1-q))+b))) AS p, p AS p_raw
+      FROM (SELECT *, least(greatest(p,1e-6),1-1e-6) AS q FROM preds_raw) r JOIN platt USING (label)""",
+}
+# the ensemble's mean prediction in the place of the predictions
+ENSEMBLE = {
+    "predictions_raw": VIEWS_SQL["predictions"],
+    "members": VIEWS_SQL["ensemble"].replace("FROM predictions", "FROM predictions_raw"),
+    "predictions": """SELECT volume_id, any_value(patient_id) AS patient_id, any_value(scan_id) AS scan_id, any_value(split) AS split, any_value(kernel_class) AS kernel_class,
+      any_value(manufacturer) AS manufacturer, avg(prob_quality) AS prob_quality, avg(prob_toxic) AS prob_toxic, max(true_quality) AS true_quality, max(true_toxic) AS true_toxic FROM members GROUP BY 1""",
+}
 
 
 def val(spark, sf):
@@ -98,31 +132,32 @@ def _(spark, sf):
     return tidy(S.thresholded(S.label_blocks(test(spark, sf), []), E.max_f1_thresholds(val(spark, sf)), ["label"]))
 
 
-def boot_sql(n_boot: int, macro: bool) -> str:
-    """Resamples of patients with replacement, drawn by hash, and the interval of the metric."""
-    hash32 = "('0x'||substr(md5('0:'||b||':'||i),1,8))::BIGINT"
-    cond = "group_by IN ('all','kernel_class')"
-    value = "(sum(lt*pos)+0.5::DOUBLE*sum(neg*pos))/nullif(sum(pos)*sum(neg),0)"
+def boot_sql(n_boot: int, macro: bool, by=("all", "kernel_class")) -> str:
+    """Poisson resamples of patients, drawn by hash, and the intervals of both metrics."""
+    weight = "+".join(f"(u>={cut})::INT" for cut in B.POISSON_CUTS)
     keys = 'group_by, "group"' + ("" if macro else ", label")
-    last = (f'SELECT group_by,"group",b,avg(value) AS value FROM per_draw GROUP BY ALL' if macro else "SELECT * FROM per_draw")
-    return f"""WITH pats AS (SELECT group_by,"group",patient_id, row_number() OVER (PARTITION BY group_by,"group" ORDER BY md5('0:'||patient_id), patient_id)-1 AS i,
-        count(*) OVER (PARTITION BY group_by,"group") AS size FROM (SELECT DISTINCT group_by,"group",patient_id FROM test_grouped WHERE {cond})),
-      draws AS (SELECT group_by,"group",b,{hash32} % size AS i, count(*) AS w FROM pats, (SELECT unnest(range({n_boot})) AS b) GROUP BY ALL),
-      weighted AS (SELECT group_by,"group",d.b,patient_id,w FROM draws d JOIN pats p USING (group_by,"group",i)),
-      blocks AS (SELECT group_by,"group",label,b,p,sum(w*(1-y)) AS neg,sum(w*y) AS pos FROM test_grouped JOIN weighted USING (group_by,"group",patient_id) WHERE y IS NOT NULL GROUP BY ALL),
-      ordered AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY group_by,"group",label,b ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS lt FROM blocks),
-      per_draw AS (SELECT group_by,"group",label,b,{value} AS value FROM ordered GROUP BY ALL)
-      SELECT {keys}, {r('quantile_cont(value,0.025)', 'ci_low')}, {r('quantile_cont(value,0.975)', 'ci_high')} FROM ({last}) WHERE value IS NOT NULL GROUP BY ALL"""
+    last = 'SELECT group_by,"group",b,avg(auroc) AS auroc,avg(auprc) AS auprc FROM per_draw GROUP BY ALL' if macro else "SELECT * FROM per_draw"
+    ends = ", ".join(r(f"quantile_cont({m},{q})", f"{m}_{end}") for m in B.METRICS for end, q in (("ci_low", 0.025), ("ci_high", 0.975)))
+    return f"""WITH res AS (SELECT b, ('0x'||substr(md5('0:'||b),1,8))::BIGINT%{B.PRIME - 1}+1 AS a, ('0x'||substr(md5('0:'||b),9,8))::BIGINT%{B.PRIME} AS c FROM (SELECT unnest(range({n_boot})) AS b)),
+      pats AS (SELECT patient_id, ('0x'||substr(md5(patient_id),1,8))::BIGINT%{B.PRIME} AS h FROM (SELECT DISTINCT patient_id FROM test_long)),
+      weighted AS (SELECT patient_id, b, {weight} AS w FROM (SELECT patient_id, b, (a*h+c)%{B.PRIME}//32768 AS u FROM pats, res)),
+      blocks AS (SELECT group_by,"group",label,b,p,sum(w)::DOUBLE AS n,sum(w*y)::DOUBLE AS pos FROM test_grouped JOIN weighted USING (patient_id)
+        WHERE y IS NOT NULL AND w>0 AND group_by IN ({','.join(f"'{g}'" for g in by)}) GROUP BY ALL),
+      ordered AS (SELECT *, sum(pos) OVER w AS pos_to, sum(n) OVER w AS n_to, sum(pos) OVER g AS tp, sum(n) OVER g AS tn FROM blocks
+        WINDOW w AS (PARTITION BY group_by,"group",label,b ORDER BY p DESC), g AS (PARTITION BY group_by,"group",label,b)),
+      per_draw AS (SELECT group_by,"group",label,b,sum((n-pos)*(pos_to-0.5::DOUBLE*pos))/(any_value(tp)*(any_value(tn)-any_value(tp))) AS auroc, sum(pos/tp*(pos_to/n_to)) AS auprc
+        FROM ordered WHERE tp>0 AND tn>tp GROUP BY 1,2,3,4)
+      SELECT {keys}, {ends} FROM ({last}) GROUP BY ALL"""
 
 
-@reg.add("me8_macro_bootstrap_ci", boot_sql(20, True))
+@reg.add("me8_macro_bootstrap_ci", boot_sql(BOOT, True))
 def _(spark, sf):
-    return tidy(R.bootstrap_auroc(test(spark, sf), 20, 0, group_columns=["kernel_class"], macro_mean=True))
+    return tidy(B.macro_intervals(test(spark, sf), BOOT, group_columns=["kernel_class"]))
 
 
-@reg.add("me9_label_bootstrap_ci", boot_sql(20, False))
+@reg.add("me9_label_bootstrap_ci", boot_sql(BOOT, False))
 def _(spark, sf):
-    return tidy(R.bootstrap_auroc(test(spark, sf), 20, 0, group_columns=["kernel_class"]))
+    return tidy(B.label_intervals(test(spark, sf), BOOT, group_columns=["kernel_class"]))
 
 
 LOSSES = """SELECT label, avg(-(y*ln(q)+(1-y)*ln(u))) AS bce, avg(-(w*y*ln(q)+(1-y)*ln(u))) AS weighted_bce,
@@ -151,15 +186,18 @@ def _(spark, sf):
     return P.to_wide(long, ["volume_id"], {"prob_": "p", "true_": "y"}, ["quality", "toxic"])
 
 
-@reg.add("me12_evaluate", f"""SELECT s.*, labels_scored, macro_auroc, macro_auprc, macro_f1, macro_sensitivity, macro_specificity, macro_ppv, {rs('micro_auroc')}
+MACRO_CI = ", ".join(f"{m}_{end} AS macro_{m}_{end}" for m in B.METRICS for end in ("ci_low", "ci_high"))
+
+
+@reg.add("me12_evaluate", f"""SELECT s.*, labels_scored, macro_auroc, macro_auprc, macro_f1, macro_sensitivity, macro_specificity, macro_ppv, {rs('micro_auroc')}, {MACRO_CI}
   FROM (SELECT group_by,"group",count(DISTINCT volume_id) AS n_volumes,count(DISTINCT patient_id) AS n_patients,count(DISTINCT volume_id)<100 AS too_small FROM test_grouped GROUP BY ALL) s
   LEFT JOIN (SELECT t.group_by, t."group", count(auroc) AS labels_scored, {r('avg(auroc)', 'macro_auroc')}, {r('avg(auprc)', 'macro_auprc')}, {r('avg(2*tp/nullif(2*tp+fp+fn,0))', 'macro_f1')},
     {r('avg(tp/nullif(tp+fn,0))', 'macro_sensitivity')}, {r('avg(tn/nullif(tn+fp,0))', 'macro_specificity')}, {r('avg(tp/nullif(tp+fp,0))', 'macro_ppv')}
     FROM ({PER_LABEL_RATES}) t JOIN label_auc a USING (group_by,"group",label) JOIN label_ap b USING (group_by,"group",label) GROUP BY 1,2) USING (group_by,"group")
-  LEFT JOIN ({MICRO}) USING (group_by,"group")""")
+  LEFT JOIN ({MICRO}) USING (group_by,"group") LEFT JOIN ({boot_sql(BOOT, True, ('all', *GROUPS))}) c ON s.group_by=c.group_by AND s."group"=c."group" AND NOT too_small""")
 def _(spark, sf):
     wide = X.predictions(spark, sf)
-    return tidy(E.evaluate(wide.filter("split = 'test'"), E.max_f1_thresholds(val(spark, sf)), GROUPS, n_boot=0)["summary"])
+    return tidy(E.evaluate(wide.filter("split = 'test'"), E.max_f1_thresholds(val(spark, sf)), GROUPS, n_boot=BOOT)["summary"])
 
 
 # ---------------------------------------------------------------- scorecard
@@ -170,14 +208,19 @@ def _(spark, sf):
     return tidy(P.to_long(X.predictions(spark, sf)).select("volume_id", "label", z.alias("logit"), N.sigmoid(F.lit(1.3) * z - F.lit(0.2)).alias("shifted")))
 
 
-@reg.add("cl1_platt_fit")
+BY_KERNEL = {"logit_rows": f"""{LOGIT_ROWS.format(kernel="'*'", source="preds_long")} UNION ALL {LOGIT_ROWS.format(kernel="kernel_class", source="preds_long")}
+  WHERE kernel_class IN (SELECT kernel_class FROM val_long GROUP BY 1 HAVING count(DISTINCT volume_id)>=20)"""}
+
+
+@reg.add("cl1_platt_fit", f"SELECT label, kernel, {r('a', 'slope', 6)}, {r('b', 'intercept', 6)} FROM ({newton_sql('logit_rows', True, 24)})", BY_KERNEL)
 def _(spark, sf):
-    return C.fit(spark, val(spark, sf), "platt", by_kernel=True, min_volumes=20)
+    return tidy(C.fit(spark, val(spark, sf), "platt", by_kernel=True, min_volumes=20), 6)
 
 
-@reg.add("cl1_temperature_fit")
+@reg.add("cl1_temperature_fit", f"SELECT label, kernel, {r('a', 'slope', 6)}, 0.0::DOUBLE AS intercept FROM ({newton_sql('logit_rows', False)})",
+         {"logit_rows": LOGIT_ROWS.format(kernel="'*'", source="preds_long")})
 def _(spark, sf):
-    return C.fit(spark, val(spark, sf), "temperature")
+    return tidy(C.fit(spark, val(spark, sf), "temperature"), 6)
 
 
 @reg.add("cl1_no_calibration", "SELECT DISTINCT label, '*' AS kernel, 1.0::DOUBLE AS slope, 0.0::DOUBLE AS intercept FROM val_long")
@@ -244,6 +287,16 @@ ECE_SQL = """SELECT group_by,"group",label,sum(abs(sy-sp))/sum(n) AS ece FROM (S
   FROM test_grouped WHERE y IS NOT NULL GROUP BY ALL) GROUP BY 1,2,3"""
 
 
+RAW_ECE_SQL = ECE_SQL.replace("p*10", "p_raw*10").replace("sum(p)", "sum(p_raw)")
+LARGE_SQL = """SELECT group_by,"group" FROM test_grouped GROUP BY ALL HAVING count(DISTINCT volume_id)>=100"""
+CI_SQL = f"""SELECT group_by,"group",label,auroc_ci_low,auroc_ci_high FROM ({boot_sql(BOOT, False)}) JOIN ({LARGE_SQL}) USING (group_by,"group")"""
+
+
+def report(spark, sf, settings=REPORT, wide=None):
+    wide = X.predictions(spark, sf) if wide is None else wide
+    return E.score(spark, wide.filter("split='val'"), wide.filter("split='test'"), settings)
+
+
 @reg.add("cl8_calibration_error", f'SELECT group_by,"group",label,{rs("ece")} FROM ({ECE_SQL})')
 def _(spark, sf):
     return tidy(S.calibration_error(blocks(spark, sf)))
@@ -264,17 +317,16 @@ def _(spark, sf):
     return tidy(S.net_benefit(blocks(spark, sf), (0.05, 0.1, 0.2)))
 
 
-@reg.add("cl11_per_label_scorecard", f"""SELECT t.*, {r('auroc', 'auroc')}, {r('auprc', 'auprc')}, {rs('report', 'ruleout', 'max_f1', 'spec90', 'spec95')}, {r('ece', 'ece_raw')}, {r('ece', 'ece')}, brier,
-    NULL::DOUBLE AS auroc_ci_low, NULL::DOUBLE AS auroc_ci_high,
+@reg.add("cl11_per_label_scorecard", f"""SELECT t.*, {r('auroc', 'auroc')}, {r('auprc', 'auprc')}, {rs('report', 'ruleout', 'max_f1', 'spec90', 'spec95')}, {r('e0.ece', 'ece_raw')}, {r('e.ece', 'ece')}, brier, auroc_ci_low, auroc_ci_high,
     b1.net_benefit AS "net_benefit@0.05", b1.net_benefit_all AS "net_benefit_all@0.05", b2.net_benefit AS "net_benefit@0.1", b2.net_benefit_all AS "net_benefit_all@0.1",
     b3.net_benefit AS "net_benefit@0.2", b3.net_benefit_all AS "net_benefit_all@0.2"
   FROM ({RATES_SQL}) t JOIN label_auc a USING (group_by,"group",label) JOIN label_ap b USING (group_by,"group",label) LEFT JOIN op_points o USING (label)
   JOIN ({ECE_SQL}) e USING (group_by,"group",label) JOIN (SELECT group_by,"group",label,{r('avg((p-y)*(p-y))', 'brier')} FROM test_grouped WHERE y IS NOT NULL GROUP BY 1,2,3) br USING (group_by,"group",label)
   JOIN ({benefit_sql('[0.05::DOUBLE]', 'test_grouped')}) b1 USING (group_by,"group",label) JOIN ({benefit_sql('[0.1::DOUBLE]', 'test_grouped')}) b2 USING (group_by,"group",label)
-  JOIN ({benefit_sql('[0.2::DOUBLE]', 'test_grouped')}) b3 USING (group_by,"group",label)""")
+  JOIN ({benefit_sql('[0.2::DOUBLE]', 'test_grouped')}) b3 USING (group_by,"group",label)
+  JOIN ({RAW_ECE_SQL}) e0 USING (group_by,"group",label) LEFT JOIN ({CI_SQL}) ci USING (group_by,"group",label)""", PLATT)
 def _(spark, sf):
-    wide = X.predictions(spark, sf)
-    return tidy(E.score(spark, wide.filter("split='val'"), wide.filter("split='test'"), PLAIN)["per_label"])
+    return tidy(report(spark, sf)["per_label"])
 
 
 @reg.add("cl12_per_scan", "SELECT * FROM scans")
@@ -311,9 +363,12 @@ def _(spark, sf):
     return S.paired_by_scan(changes(spark, sf))
 
 
-@reg.add("cl14_paired_summary", f"""SELECT count(*) AS n_pairs,{r('count(*) FILTER (flips>0)/count(*)', 'paired_scans_with_flip')},{r('avg(flips)', 'paired_flips_per_scan')},
+PAIRED_SUMMARY_SQL = f"""SELECT count(*) AS n_pairs,{r('count(*) FILTER (flips>0)/count(*)', 'paired_scans_with_flip')},{r('avg(flips)', 'paired_flips_per_scan')},
   {r('count(*) FILTER (maxf1_flips>0)/count(*)', 'paired_maxf1_scans_with_flip')},{r('avg(maxf1_flips)', 'paired_maxf1_flips_per_scan')},{r('avg(state_changes)', 'paired_state_changes_per_scan')},
-  {r('count(*) FILTER (hard_contradictions>0)/count(*)', 'paired_scans_with_hard_contradiction')},{r('avg(hard_contradictions)', 'paired_hard_contradictions_per_scan')} FROM ({PAIR_SCANS_SQL})""")
+  {r('count(*) FILTER (hard_contradictions>0)/count(*)', 'paired_scans_with_hard_contradiction')},{r('avg(hard_contradictions)', 'paired_hard_contradictions_per_scan')} FROM ({PAIR_SCANS_SQL})"""
+
+
+@reg.add("cl14_paired_summary", PAIRED_SUMMARY_SQL)
 def _(spark, sf):
     return tidy(S.paired_summary(S.paired_by_scan(changes(spark, sf))))
 
@@ -327,41 +382,55 @@ def _(spark, sf):
     return tidy(S.kernel_gap(rates))
 
 
-@reg.add("cl16_gate", f"""SELECT t.label, report_sens, {r('ece', 'ece')}, {r('flip_rate', 'paired_flip_rate')}, report_sens>=0.6 AS pass_sens, ece<=0.05 AS pass_ece, flip_rate<=0.1 AS pass_flip,
-    abs(gap)<=0.1 AS pass_kernel_gap, CASE WHEN report_sens<0.6 THEN 'not_supported' WHEN coalesce(ece>0.05,false) OR coalesce(flip_rate>0.1,false) OR coalesce(abs(gap)>0.1,false) THEN 'review' ELSE 'supported' END AS status
-  FROM ({RATES_SQL}) t JOIN ({ECE_SQL}) e USING (group_by,"group",label) LEFT JOIN ({PAIRED_SQL}) p ON p.label=t.label LEFT JOIN ({GAP_SQL}) g ON g.label=t.label WHERE t.group_by='all'""")
+GATE_SQL = f"""SELECT *, CASE WHEN NOT coalesce(pass_auroc,true) OR NOT coalesce(pass_sens,true) THEN 'not_supported'
+    WHEN NOT coalesce(pass_ece,true) OR NOT coalesce(pass_flip,true) OR NOT coalesce(pass_kernel_gap,true) THEN 'review' ELSE 'supported' END AS status
+  FROM (SELECT t.label, auroc_ci_low, {rs('report_sens')}, {r('ece', 'ece')}, {r('flip_rate', 'paired_flip_rate')}, {r('gap', 'kernel_sens_gap')}, auroc_ci_low>=0.8 AS pass_auroc, report_sens>=0.6 AS pass_sens,
+    ece<=0.05 AS pass_ece, flip_rate<=0.1 AS pass_flip, abs(gap)<=0.1 AS pass_kernel_gap
+  FROM ({RATES_RAW}) t JOIN ({ECE_SQL}) e USING (group_by,"group",label) LEFT JOIN ({PAIRED_SQL}) p ON p.label=t.label LEFT JOIN ({GAP_SQL}) g ON g.label=t.label
+    LEFT JOIN ({CI_SQL}) c ON c.group_by='all' AND c.label=t.label WHERE t.group_by='all')"""
+
+
+@reg.add("cl16_gate", GATE_SQL)
 def _(spark, sf):
-    wide = X.predictions(spark, sf)
-    g = E.score(spark, wide.filter("split='val'"), wide.filter("split='test'"), PLAIN)["gate"]
-    return tidy(g.select("label", "report_sens", "ece", "paired_flip_rate", "pass_sens", "pass_ece", "pass_flip", "pass_kernel_gap", "status"))
+    return tidy(report(spark, sf, PLAIN)["gate"])
 
 
-@reg.add("cl17_headline")
+@reg.add("cl18_score_platt_gate", GATE_SQL, PLATT)
 def _(spark, sf):
-    wide = X.predictions(spark, sf)
-    return tidy(E.headline(E.score(spark, wide.filter("split='val'"), wide.filter("split='test'"), PLAIN)))
+    return tidy(report(spark, sf)["gate"])
 
 
-@reg.add("cl18_score_summary", f"""SELECT s.*, {', '.join(r(f'm.{c}', c) for c in ('macro_auroc', 'macro_auprc', 'report_macro_sens', 'report_macro_spec', 'report_macro_ppv', 'maxf1_macro_sens', 'maxf1_macro_spec', 'macro_ece_raw', 'macro_ece'))}
+def score_summary_sql(raw_ece: str) -> str:
+    return f"""SELECT s.*, {', '.join(r(f'm.{c}', c) for c in ('macro_auroc', 'macro_auprc', 'report_macro_sens', 'report_macro_spec', 'report_macro_ppv', 'maxf1_macro_sens', 'maxf1_macro_spec', 'macro_ece_raw', 'macro_ece'))}
   FROM ({SUMMARY_SQL}) s LEFT JOIN (SELECT t.group_by,t."group",avg(auroc) AS macro_auroc,avg(auprc) AS macro_auprc,avg(report_sens) AS report_macro_sens,avg(report_spec) AS report_macro_spec,avg(report_ppv) AS report_macro_ppv,
-    avg(maxf1_sens) AS maxf1_macro_sens,avg(maxf1_spec) AS maxf1_macro_spec,avg(ece) AS macro_ece_raw,avg(ece) AS macro_ece
-    FROM ({RATES_RAW}) t JOIN label_auc a USING (group_by,"group",label) JOIN label_ap b USING (group_by,"group",label) JOIN ({ECE_SQL}) e USING (group_by,"group",label) GROUP BY 1,2) m
-  ON s.group_by=m.group_by AND s."group"=m."group" """)
+    avg(maxf1_sens) AS maxf1_macro_sens,avg(maxf1_spec) AS maxf1_macro_spec,avg(e0.ece) AS macro_ece_raw,avg(e.ece) AS macro_ece
+    FROM ({RATES_RAW}) t JOIN label_auc a USING (group_by,"group",label) JOIN label_ap b USING (group_by,"group",label) JOIN ({ECE_SQL}) e USING (group_by,"group",label)
+      JOIN ({raw_ece}) e0 USING (group_by,"group",label) GROUP BY 1,2) m
+  ON s.group_by=m.group_by AND s."group"=m."group" """
+
+
+def headline_sql() -> str:
+    by_kernel = ", ".join(f"""(SELECT {c} FROM summary WHERE group_by='kernel_class' AND "group"='{k}') AS "{c}[{k}]\"""" for k in ("sharp", "soft")
+                          for c in ("report_macro_sens", "report_fp_per_scan", "macro_ece_raw", "macro_ece", "macro_auroc"))
+    return f"""WITH summary AS ({score_summary_sql(RAW_ECE_SQL)}), gates AS ({GATE_SQL})
+      SELECT s.* EXCLUDE (group_by, "group", too_small), {by_kernel}, {", ".join(f"(SELECT count(*) FROM gates WHERE status='{g}') AS labels_{g}" for g in ("supported", "review", "not_supported"))},
+        (SELECT {r('avg(abs(gap))')} FROM ({GAP_SQL})) AS kernel_sens_gap_mean_abs, p.* FROM summary s, ({PAIRED_SUMMARY_SQL}) p WHERE s.group_by='all'"""
+
+
+@reg.add("cl17_headline", headline_sql(), PLATT)
 def _(spark, sf):
-    wide = X.predictions(spark, sf)
-    return tidy(E.score(spark, wide.filter("split='val'"), wide.filter("split='test'"), PLAIN)["summary"])
+    return tidy(E.headline(report(spark, sf)))
 
 
-@reg.add("cl18_score_platt_gate")
+@reg.add("cl18_score_summary", score_summary_sql(RAW_ECE_SQL), PLATT)
 def _(spark, sf):
-    wide = X.predictions(spark, sf)
-    return E.score(spark, wide.filter("split='val'"), wide.filter("split='test'"), E.ReportSettings(bootstrap=20))["gate"]
+    return tidy(report(spark, sf)["summary"])
 
 
-@reg.add("cl19_ensemble_report")
+@reg.add("cl19_ensemble_report", score_summary_sql(ECE_SQL), ENSEMBLE)
 def _(spark, sf):
     wide = P.average_members(X.ensemble(spark, sf), ["quality", "toxic"], [*IDS, "split"])
-    return tidy(E.score(spark, wide.filter("split='val'"), wide.filter("split='test'"), PLAIN)["summary"])
+    return tidy(report(spark, sf, PLAIN, wide)["summary"])
 
 
 @reg.add("cl20_calibrated_predictions", """SELECT volume_id, max(CASE WHEN label='quality' THEN p END) AS cal_quality, max(CASE WHEN label='quality' THEN state END) AS state_quality, max(CASE WHEN label='quality' THEN y END) AS true_quality,
@@ -403,10 +472,10 @@ def _(spark, sf):
     return S.newest_reports(ev).select("run_id", "eval", "reported", "value")
 
 
-@reg.add("cl25_parameter_table", "SELECT label, 1.0::DOUBLE AS slope, 0.0::DOUBLE AS intercept, '[]' AS per_kernel, report, ruleout, max_f1, spec90, spec95 FROM op_points")
+@reg.add("cl25_parameter_table", f"SELECT label, {r('a', 'slope', 6)}, {r('b', 'intercept', 6)}, '[]' AS per_kernel, {', '.join(r(c, c, 6) for c in ('report', 'ruleout', 'max_f1', 'spec90', 'spec95'))} FROM op_points JOIN platt USING (label)", PLATT)
 def _(spark, sf):
-    params, pts = E.operating_points(spark, val(spark, sf), PLAIN)
-    return C.parameter_table(params, pts, ["report", "ruleout", "max_f1", "spec90", "spec95"])
+    params, pts = E.operating_points(spark, val(spark, sf), REPORT)
+    return tidy(C.parameter_table(params, pts, ["report", "ruleout", "max_f1", "spec90", "spec95"]), 6)
 
 
 @reg.add("j11_kernel_pairs", "SELECT * FROM pair_rows")

@@ -121,45 +121,3 @@ def average_ranks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rank of every score within its key, ties sharing the mean of the ranks they cover."""
     ranked = prefix_sums(blocks, keys, number_cell(F.col("p")), ["p"], ["n"])
     return ranked.withColumn("rank", F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).select(*keys, "p", "n", "rank")
-
-
-def resample_weights(patients: DataFrame, n_boot: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
-    """How often each patient is drawn in each of ``n_boot`` resamples with replacement.
-
-    Draw i of resample b takes patient ``hash(seed:b:i) mod n``. The draws of one resample are generated
-    from the patients' own rows, so the work is spread like the patients.
-    """
-    from ..functions.hashing import hash32, order_key
-    from .ordering import hash_cell
-    keys = list(keys)
-    numbered = prefix_sums(
-        patients.select(*keys, "patient_id").distinct().withColumn("_key", order_key(seed, "patient_id")).withColumn(
-            "_one", F.lit(1).cast("bigint")), keys, hash_cell(F.col("_key")), ["_key", "patient_id"], ["_one"])
-    numbered = numbered.select(*keys, "patient_id", F.col("_one_before").alias("i"), F.col("_one_total").alias("size"))
-    draws = numbered.select(*keys, "i", "size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    picked = draws.select(*keys, "b", F.pmod(hash32(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"),
-                                                               F.col("i").cast("string"))), F.col("size")).alias("i"))
-    counts = picked.groupBy(*keys, "b", "i").agg(F.count(F.lit(1)).cast("bigint").alias("w"))
-    return counts.join(numbered.select(*keys, "i", "patient_id"), [*keys, "i"]).select(*keys, "b", "patient_id", "w")
-
-
-def bootstrap_auroc(long: DataFrame, n_boot: int, seed: int = 0, alpha: float = 0.05,
-                    group_columns: Sequence[str] = (), macro_mean: bool = False, metric: str = "auroc") -> DataFrame:
-    """Percentile interval of a ranking metric over resamples of patients, per label or of the macro mean."""
-    from .ordering import quantiles
-    keys = ["group_by", "group"]
-    per_patient = long.filter(F.col("y").isNotNull()).groupBy("patient_id", "label", *group_columns, "p", "y").agg(
-        F.count(F.lit(1)).cast("bigint").alias("k"))
-    rows = by_group(per_patient, group_columns, ["patient_id", "label", "p", "y", "k"])
-    patients = by_group(long.select("patient_id", *group_columns).distinct(), group_columns, ["patient_id"])
-    weights = resample_weights(patients, n_boot, seed, keys)
-    drawn = rows.join(weights, [*keys, "patient_id"])
-    block_keys = [*keys, "label", "b"]
-    ranked = rank_blocks(score_blocks(drawn, block_keys, weight=F.col("w") * F.col("k")), block_keys)
-    draws = ranked.groupBy(*block_keys).agg((auroc_expr() if metric == "auroc" else auprc_expr()).alias("value"))
-    out_keys = [*keys, "label"]
-    if macro_mean:
-        draws, out_keys = draws.groupBy(*keys, "b").agg(F.avg("value").alias("value")), keys
-    return quantiles(draws, out_keys, "value", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2})
-
-

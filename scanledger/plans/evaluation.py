@@ -6,10 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import calibration as C, scorecard as S
+from ..operators import bootstrap as B, calibration as C, scorecard as S
 from ..operators.predictions import group_sizes, kernel_pairs, label_names, to_long
-from ..operators.ranking import (auroc_expr, bootstrap_auroc, grouped_blocks, macro, rank_blocks, ranking_metrics, score_blocks,
-                                 thresholds)
+from ..operators.ranking import auroc_expr, grouped_blocks, macro, rank_blocks, ranking_metrics, score_blocks, thresholds
 
 GROUPS = ("kernel_class", "manufacturer")
 
@@ -61,16 +60,12 @@ def evaluate(wide: DataFrame, frozen: DataFrame, group_columns: Sequence[str] =
     rates = S.thresholded(grouped, frozen, S.KEYS).drop("tp", "fp", "fn", "tn")
     per_label = ranking_metrics(rank_blocks(grouped, S.KEYS), S.KEYS).join(rates, S.KEYS, "left")
     group = ["group_by", "group"]
-    summary = (group_sizes(wide, group_columns, min_group)
-               .join(macro(per_label, group, ["auroc", "auprc", "f1", "sensitivity", "specificity", "ppv"]), group, "left")
-               .join(micro_of(grouped), group, "left"))
+    sizes = group_sizes(wide, group_columns, min_group)
+    summary = sizes.join(macro(per_label, group, ["auroc", "auprc", "f1", "sensitivity", "specificity", "ppv"]), group, "left").join(
+        micro_of(grouped), group, "left")
     if n_boot:
-        for metric in ("auroc", "auprc"):
-            ci = bootstrap_auroc(long, n_boot, seed, group_columns=group_columns, macro_mean=True, metric=metric)
-            summary = summary.join(ci.withColumnRenamed("ci_low", f"macro_{metric}_ci_low").withColumnRenamed(
-                "ci_high", f"macro_{metric}_ci_high"), group, "left")
-        for c in [c for c in summary.columns if "_ci_" in c]:
-            summary = summary.withColumn(c, F.when(~F.col("too_small"), F.col(c)))
+        ci = B.macro_intervals(long, n_boot, seed, group_columns=group_columns, groups=sizes.filter("NOT too_small"))
+        summary = summary.join(ci.select(*group, *[F.col(c).alias(f"macro_{c}") for c in ci.columns if c not in group]), group, "left")
     return {"summary": summary, "per_label": per_label}
 
 
@@ -108,20 +103,20 @@ def score(spark: SparkSession, val: DataFrame, test: DataFrame, settings: Report
         per_label = per_label.join(S.calibration_error(grouped, col, settings.calibration_bins, name), keys, "left")
     per_label = per_label.join(points, "label", "left")
     decided = S.decide(long, points)
-    if settings.bootstrap:
-        ci_columns = [c for c in groups if c in settings.ci_groups]
-        sizes = group_sizes(test, ci_columns, settings.min_group).filter("NOT too_small").select(*group_keys)
-        ci = bootstrap_auroc(long, settings.bootstrap, seed, group_columns=ci_columns).join(sizes, group_keys)
-        if "all" not in settings.ci_groups:
-            ci = ci.filter("group_by <> 'all'")
-        per_label = per_label.join(ci.select(*keys, F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high")), keys, "left")
-    else:
-        per_label = per_label.withColumn("auroc_ci_low", F.lit(None).cast("double")).withColumn("auroc_ci_high", F.lit(None).cast("double"))
     ids = [c for c in ("volume_id", "patient_id", "split", "scan_id", "kernel_class", "manufacturer") if c in test.columns]
     scans = S.per_scan(decided, ids)
     means = ["auroc", "auprc", "report_sens", "report_spec", "report_ppv", "maxf1_sens", "maxf1_spec", "ece_raw", "ece"]
     summary = S.scan_summary(scans, groups, settings.min_group).join(
         per_label.groupBy(*group_keys).agg(*[F.avg(m).alias(_macro_name(m)) for m in means]), group_keys, "left")
+    if settings.bootstrap:
+        ci_columns = [c for c in groups if c in settings.ci_groups]
+        sizes = group_sizes(test, ci_columns, settings.min_group).filter("NOT too_small")
+        if "all" not in settings.ci_groups:
+            sizes = sizes.filter("group_by <> 'all'")
+        ci = B.label_intervals(long, settings.bootstrap, seed, group_columns=ci_columns, groups=sizes)
+        per_label = per_label.join(ci.select(*keys, "auroc_ci_low", "auroc_ci_high"), keys, "left")
+    else:
+        per_label = per_label.withColumn("auroc_ci_low", F.lit(None).cast("double")).withColumn("auroc_ci_high", F.lit(None).cast("double"))
     changes = S.paired_decisions(decided, kernel_pairs(test.select(*ids)))
     paired, paired_scans = S.paired_by_label(changes), S.paired_by_scan(changes)
     gaps = S.kernel_gap(per_label)

@@ -1,4 +1,5 @@
 """Properties that SQL cannot state: brute force on small fixtures, invariants, iterative and streaming operators."""
+import hashlib
 import math
 import random
 
@@ -116,12 +117,35 @@ def test_calibration_is_the_maximum_likelihood_fit(spark):
     assert {(r.slope, r.intercept) for r in C.fit(spark, reversed_, "platt").collect()} == {(1.0, 0.0)}
 
 
-def test_bootstrap_draws_whole_patients(spark):
-    _, df = predictions(spark, n=60)
-    weights = R.resample_weights(df, 7, 0).groupBy("b").agg(F.sum("w").alias("w")).collect()
-    assert len(weights) == 7 and {r.w for r in weights} == {30}
-    ci = R.bootstrap_auroc(df, 30, 0, group_columns=["kernel_class"]).collect()
-    assert len(ci) == 6 and all(0 <= r.ci_low <= r.ci_high <= 1 for r in ci)
+def test_bootstrap_equals_whole_resamples(spark, monkeypatch):
+    """Slices, salts and ties change nothing: every resample equals the metric of its repeated rows."""
+    from scanledger.operators import bootstrap as B
+    monkeypatch.setattr(B, "SLICE_ROWS", 8)
+    monkeypatch.setattr(B, "CHUNK", 5)
+    rows = [(f"p{i % 37}", "a", 0.5 if i % 3 == 0 else (i * 7 % 50) / 50.0, float(i * 5 % 7 < 3)) for i in range(120)]
+    rows += [("p1", "a", 0.4, None), (None, "a", 0.4, 1.0), ("p2", "a", None, 1.0), ("p3", "one class", 0.2, 1.0)]
+    df = spark.createDataFrame(rows, "patient_id string, label string, p double, y double")
+    got = {r.b: (r.auroc, r.auprc) for r in B.draws(df, 20).collect()}
+    known = [r for r in rows if None not in r and r[1] == "a"]
+    h = np.array([int(hashlib.md5(r[0].encode()).hexdigest()[:8], 16) % B.PRIME for r in known])
+    y, p = np.array([r[3] for r in known]), np.array([r[2] for r in known])
+    a, c = B._resamples(20, 0)
+    assert sorted(got) == list(range(20))
+    for b in range(20):
+        w = np.searchsorted(B.POISSON_CUTS, (a[b] * h + c[b]) % B.PRIME >> 15, side="right")
+        ys, ps = np.repeat(y, w), np.repeat(p, w)
+        order = (ps[ys == 1][:, None] > ps[ys == 0]) + 0.5 * (ps[ys == 1][:, None] == ps[ys == 0])
+        precision = sum(((ps == t) & (ys == 1)).sum() * ys[ps >= t].mean() for t in np.unique(ps)) / ys.sum()
+        assert got[b] == pytest.approx((order.mean(), precision), abs=1e-12)
+    assert B.draws(df.filter("label = 'none'"), 3).isEmpty()
+
+
+def test_bootstrap_weights_are_poisson():
+    from scanledger.operators import bootstrap as B
+    a, c = B._resamples(50, 3)
+    h = np.array([int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % B.PRIME for i in range(4000)])
+    w = B._weight_table()[(h[:, None] * a + c) % B.PRIME >> 15]
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06
 
 
 def test_gate_rules(spark):
