@@ -108,9 +108,20 @@ def _(spark, sf):
     return IN.read_table(spark, streamed(spark, sf), "accepted").select("volume_id")
 
 
-@reg.add("ing2_bounded_runs", "SELECT DISTINCT volume_id FROM chunk_log WHERE NOT failed")
+@reg.add("ing2_bounded_runs", "SELECT 2::BIGINT AS chunks_tried, 3::BIGINT AS chunks_left, count(DISTINCT volume_id) FILTER (NOT failed) AS volumes FROM chunk_log")
 def _(spark, sf):
-    return IN.read_table(spark, streamed(spark, sf, max_chunks=2, runs=3), "accepted").select("volume_id")
+    """Two of five chunk files in a first run; the bound shows, and a second run without one takes the rest."""
+    folder = streamed(spark, sf, max_chunks=2)
+    tried = spark.read.parquet(f"{folder}/attempts").count()
+    root = folder.rsplit("/", 1)[0]
+    left = IN.ingest(spark, f"{root}/in", SCHEMA, folder, f"{root}/checkpoint")
+    return IN.read_table(spark, folder, "accepted").agg(F.count(F.lit(1)).alias("volumes")).select(
+        F.lit(tried).cast("bigint").alias("chunks_tried"), F.lit(left).cast("bigint").alias("chunks_left"), "volumes")
+
+
+@reg.add("ing7_stream_events", f"SELECT * FROM {RECORDS}")
+def _(spark, sf):
+    return IN.chunk_events(spark, streamed(spark, sf))
 
 
 @reg.add("ing3_duplicate_arrival", "SELECT count(DISTINCT volume_id) AS volumes, count(DISTINCT volume_id) AS rows FROM chunk_log WHERE NOT failed")

@@ -1,54 +1,111 @@
-"""Resumable ingest: every new chunk file exactly once, bad volumes to a dead-letter table, bounded runs.
+"""Resumable ingest: every new chunk file exactly once, bad volumes and bad chunks set aside, bounded runs.
 
-A file is a chunk. The stream's checkpoint remembers finished chunks, and every micro-batch overwrites its own
-``batch=<id>`` folder, so a batch that is replayed after a lost driver or executor leaves the same rows.
+A file is a chunk. The stream carries file names, one per micro-batch, and its checkpoint remembers those that were seen. A chunk is read
+inside its batch, so an unreadable one is a failed attempt and not the end of the stream; the next run takes failed chunks first.
+Every chunk overwrites its own folders, so a batch that is replayed after a lost driver or executor, or a chunk that is
+retried, leaves the same rows. Tables under the target, one folder per chunk in each:
+
+* ``accepted``: volumes that no other chunk brought before
+* ``failures``: rows that are marked as failed or have no volume
+* ``outcomes``: chunk, volume, failed, cached, error of every row (``chunk_events`` makes one record per chunk of them)
+* ``attempts``: chunk file, attempt, failed, error
 """
 from __future__ import annotations
 
+import hashlib
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import hash32
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+ATTEMPT_SCHEMA = "chunk string, attempt bigint, failed boolean, error string"
+
 
 class _Enough(Exception):
     """Raised before a batch is touched, so that the batch stays pending."""
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, *, max_chunks: int | None = None,
-           files_per_batch: int = 1) -> int:
-    """Run until all files present are ingested (or ``max_chunks`` batches are); returns the number of batches.
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, *, max_chunks: int | None = None, max_streak: int = 3) -> int:
+    """Run until every chunk file present was tried once, ``max_chunks`` were, or ``max_streak`` failed in a row; returns the number tried.
 
-    Rows have volume_id, chunk, failed and error. Volumes already accepted are not taken again, whichever chunk
-    brings them. Tables under ``target``: accepted, failures, events (one row per chunk of a batch).
+    Rows have volume_id, chunk, failed, error and cached. Volumes already accepted are not taken again, whichever chunk brings them.
     """
-    done: list[int] = []
+    tried: list[bool] = []
+
+    def enough() -> bool:
+        return (max_chunks is not None and len(tried) >= max_chunks) or (len(tried) >= max_streak and not any(tried[-max_streak:]))
+
+    def attempt(path: str) -> None:
+        error = None
+        try:
+            take_chunk(spark, path, schema, target)
+        except (PySparkException, Py4JJavaError) as exc:
+            error = str(exc)[:1000]
+        record_attempt(spark, path, target, error)
+        tried.append(error is None)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        if max_chunks is not None and len(done) >= max_chunks:
+        if enough():
             raise _Enough()
-        bad = F.col("failed") | F.col("volume_id").isNull()
-        rows = batch.persist()
-        try:
-            good = rows.filter(~F.coalesce(bad, F.lit(True)))
-            fresh = good.groupBy("volume_id").agg(F.min(F.struct("chunk", *[c for c in good.columns if c not in ("volume_id", "chunk")])).alias("r")).select("volume_id", "r.*")
-            earlier = accepted_before(spark, target, batch_id)
-            if earlier is not None:
-                fresh = fresh.join(earlier.select("volume_id"), "volume_id", "left_anti")
-            fresh.write.mode("overwrite").parquet(f"{target}/accepted/batch={batch_id}")
-            rows.filter(F.coalesce(bad, F.lit(True))).write.mode("overwrite").parquet(f"{target}/failures/batch={batch_id}")
-            chunk_records(rows).write.mode("overwrite").parquet(f"{target}/events/batch={batch_id}")
-        finally:
-            rows.unpersist()
-        done.append(batch_id)
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        for row in batch.collect():  # one name: a batch is one file
+            attempt(row.path)
+
+    for row in failed_chunks(spark, target).toLocalIterator():
+        if enough():
+            return len(tried)
+        attempt(row.chunk)
+    names = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.parquet").option(
+        "maxFilesPerTrigger", 1).load(source).select("path")
+    query = names.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
-    except Exception as exc:
+    except PySparkException as exc:
         if "_Enough" not in str(exc):
             raise
-    return len(done)
+    return len(tried)
+
+
+def _folder(path: str) -> str:
+    return "file=c_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def take_chunk(spark: SparkSession, path: str, schema: str, target: str) -> None:
+    """Read one chunk file whole and write its folders; nothing is written when the file cannot be read."""
+    rows = spark.read.schema(schema).parquet(path).persist()
+    try:
+        rows.count()
+        bad = F.coalesce(F.col("failed") | F.col("volume_id").isNull(), F.lit(True))
+        rest = [c for c in rows.columns if c not in ("volume_id", "chunk")]
+        fresh = rows.filter(~bad).groupBy("volume_id").agg(F.min(F.struct("chunk", *rest)).alias("r")).select("volume_id", "r.*")
+        others = accepted_elsewhere(spark, target, path)
+        if others is not None:
+            fresh = fresh.join(others.select("volume_id"), "volume_id", "left_anti")
+        for name, table in (("accepted", fresh), ("failures", rows.filter(bad)),
+                            ("outcomes", rows.select("chunk", "volume_id", bad.alias("failed"), "cached", "error"))):
+            table.write.mode("overwrite").parquet(f"{target}/{name}/{_folder(path)}")
+    finally:
+        rows.unpersist()
+
+
+def record_attempt(spark: SparkSession, path: str, target: str, error: str | None) -> None:
+    folder = f"{target}/attempts/{_folder(path)}"
+    number = len(_folders(spark, folder)) + 1
+    spark.createDataFrame([(path, number, error is not None, error)], ATTEMPT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/try={number}")
+
+
+def failed_chunks(spark: SparkSession, target: str) -> DataFrame:
+    """Chunk files whose last attempt failed, with their failed attempts since the last success."""
+    if not _folders(spark, f"{target}/attempts"):
+        return spark.createDataFrame([], "chunk string, attempts bigint")
+    return failed_attempts(spark.read.parquet(f"{target}/attempts").select("chunk", "attempt", "failed")).orderBy("chunk")
+
+
+def chunk_events(spark: SparkSession, target: str) -> DataFrame:
+    """One record per chunk id, whichever files its volumes came in."""
+    return chunk_records(read_table(spark, target, "outcomes"))
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
@@ -58,10 +115,11 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().toString() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
-def accepted_before(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
-    """Volumes accepted by earlier batches. The batch itself is left out, so a replay decides the same way."""
-    paths = [p for p in _folders(spark, f"{target}/accepted") if int(p.rsplit("=", 1)[1]) < batch_id]
-    return spark.read.parquet(*paths) if paths else None
+def accepted_elsewhere(spark: SparkSession, target: str, path: str) -> DataFrame | None:
+    """Volumes accepted from other chunks. The chunk itself is left out, so a replay decides the same way."""
+    if not any(_folder(path) not in f for f in _folders(spark, f"{target}/accepted")):
+        return None
+    return spark.read.parquet(f"{target}/accepted").filter(F.concat(F.lit("file="), F.col("file")) != _folder(path))
 
 
 def read_table(spark: SparkSession, target: str, name: str) -> DataFrame:

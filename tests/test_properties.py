@@ -420,10 +420,38 @@ def test_stream_resumes_and_never_repeats(spark, tmp_path):
     accepted = [r.volume_id for r in IN.read_table(spark, target, "accepted").collect()]
     assert sorted(accepted) == ["v1", "v3", "v4"]
     assert [r.volume_id for r in IN.read_table(spark, target, "failures").collect()] == ["v2"]
-    events = {r.chunk: (r.n_volumes, r.n_ok, r.n_cached, r.n_failed) for r in IN.read_table(spark, target, "events").collect()}
+    events = {r.chunk: (r.n_volumes, r.n_ok, r.n_cached, r.n_failed) for r in IN.chunk_events(spark, target).collect()}
     assert events == {"a": (2, 1, 0, 1), "b": (2, 1, 1, 0), "c": (1, 1, 0, 0)}
 
 
+def test_stream_survives_unreadable_chunks(spark, tmp_path):
+    source, target, mark = (tmp_path / d for d in ("in", "out", "ck"))
+    schema = "volume_id string, chunk string, failed boolean, error string, cached boolean"
+    source.mkdir()
+
+    def good(name, volume):
+        spark.createDataFrame([(volume, name, False, "none", False)], schema).toPandas().to_parquet(source / f"{name}.parquet")
+
+    def run(**limits):
+        return IN.ingest(spark, str(source), schema, str(target), str(mark), **limits)
+
+    def volumes():
+        return sorted(r.volume_id for r in IN.read_table(spark, str(target), "accepted").collect())
+
+    def failing():
+        return {r.chunk.rsplit("/", 1)[1]: r.attempts for r in IN.failed_chunks(spark, str(target)).collect()}
+    good("a", "v1")
+    (source / "b.parquet").write_bytes(b"not a table")
+    assert run() == 2 and volumes() == ["v1"] and failing() == {"b.parquet": 1}
+    assert run() == 1 and failing() == {"b.parquet": 2}
+    good("b", "v2")
+    assert run() == 1 and volumes() == ["v1", "v2"] and failing() == {}
+    assert run() == 0
+    for name in "cdefg":
+        (source / f"{name}.parquet").write_bytes(b"not a table")
+    assert run(max_streak=3) == 3 and len(failing()) == 3
+
+
 def test_attempts_start_again_after_a_success(spark):
     rows = [("x", 1, True), ("x", 2, True), ("x", 3, False), ("y", 1, False), ("y", 2, True), ("z", 1, True), ("z", 2, True)]
     got = {r.chunk: r.attempts for r in IN.failed_attempts(spark.createDataFrame(rows, "chunk string, attempt int, failed boolean")).collect()}
