@@ -98,7 +98,7 @@ def build_worklist(meta: DataFrame, kernel_table: DataFrame, *, chunk_size: int,
     """Test-pool volumes (every reconstruction) first, then train; a chunk never mixes pools.
 
     ``train_patients`` (patient_id, rank) fixes the train patients and their order instead of the seeded order.
-    The selected rows are read several times (caps, patient order, counts), so ``stage`` writes them once.
+    The selected rows are read several times (patient order, counts), so ``stage`` writes them once, after the caps.
     """
     if train_kernel not in ("sharp", "soft"):
         raise ValueError(f"train_kernel must be 'sharp' or 'soft', got {train_kernel!r}")
@@ -110,7 +110,6 @@ def build_worklist(meta: DataFrame, kernel_table: DataFrame, *, chunk_size: int,
     # every test volume is its own unit; of a train scan one volume of the wanted kernel is taken
     wanted = volumes.filter(is_test | (F.col("kernel_class") == train_kernel)).withColumn("_unit", F.when(is_test, F.col("volume_id")).otherwise(""))
     rows = first_per(wanted, ["source_split", "patient_id", "scan_id", "_unit"], ["reconstruction_id", "volume_id"]).drop("_unit")
-    rows = stage(rows)
     seeded = F.when(is_test, order_key(seed + 1, "patient_id")).otherwise(order_key(seed, "patient_id"))
     caps = {"valid": max_test_patients, "train": max_train_patients if train_patients is None else None}
     if any(c is not None for c in caps.values()):
@@ -121,6 +120,7 @@ def build_worklist(meta: DataFrame, kernel_table: DataFrame, *, chunk_size: int,
             mine = F.col("source_split") == pool
             keep = keep | (mine if cap is None else mine & (F.col("rank") < cap))
         rows = rows.join(ranked.filter(keep).select("source_split", "patient_id"), ["source_split", "patient_id"], "left_semi").select(*volumes.columns)
+    rows = stage(rows)
     n_test = rows.agg(F.count_if(is_test)).scalar()
     if train_patients is None:
         ordered = in_patient_order(rows, seeded, ("source_split",))
