@@ -47,7 +47,7 @@ ENSEMBLE = {
     "predictions_raw": VIEWS_SQL["predictions"],
     "members": VIEWS_SQL["ensemble"].replace("FROM predictions", "FROM predictions_raw"),
     "predictions": """SELECT volume_id, any_value(patient_id) AS patient_id, any_value(scan_id) AS scan_id, any_value(split) AS split, any_value(kernel_class) AS kernel_class,
-      any_value(manufacturer) AS manufacturer, avg(prob_quality) AS prob_quality, avg(prob_toxic) AS prob_toxic, max(true_quality) AS true_quality, max(true_toxic) AS true_toxic FROM members GROUP BY 1""",
+      any_value(manufacturer) AS manufacturer, round(avg(prob_quality),12) AS prob_quality, round(avg(prob_toxic),12) AS prob_toxic, max(true_quality) AS true_quality, max(true_toxic) AS true_toxic FROM members GROUP BY 1""",
 }
 
 
@@ -427,10 +427,23 @@ def _(spark, sf):
     return tidy(report(spark, sf)["summary"])
 
 
+def members(spark, sf):
+    """Three finished members, one whose run failed and one with another evaluation."""
+    good = X.ensemble(spark, sf).withColumn("eval", F.lit("test"))
+    wrong = good.filter("member = 0").withColumn("prob_quality", F.lit(0.5))
+    stacked = good.unionByName(wrong.withColumn("member", F.lit(3))).unionByName(wrong.withColumns({"member": F.lit(4), "eval": F.lit("other")}))
+    state = stacked.select("member").distinct().withColumn("status", F.when(F.col("member") == 3, "failed").otherwise("finished"))
+    return stacked, state
+
+
 @reg.add("cl19_ensemble_report", score_summary_sql(ECE_SQL), ENSEMBLE)
 def _(spark, sf):
-    wide = P.average_members(X.ensemble(spark, sf), ["quality", "toxic"], [*IDS, "split"])
-    return tidy(report(spark, sf, PLAIN, wide)["summary"])
+    return tidy(E.ensemble_report(spark, *members(spark, sf), "test", PLAIN)["ensemble"]["summary"])
+
+
+@reg.add("cl19_per_seed_report", score_summary_sql(ECE_SQL), {**ENSEMBLE, "predictions": "SELECT * EXCLUDE (member) FROM members WHERE member=1"})
+def _(spark, sf):
+    return tidy(E.ensemble_report(spark, *members(spark, sf), "test", PLAIN, per_seed=True)["1"]["summary"])
 
 
 @reg.add("cl20_calibrated_predictions", """SELECT volume_id, max(CASE WHEN label='quality' THEN p END) AS cal_quality, max(CASE WHEN label='quality' THEN state END) AS state_quality, max(CASE WHEN label='quality' THEN y END) AS true_quality,

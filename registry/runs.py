@@ -96,6 +96,18 @@ def _(spark, sf):
     return X2.export_curves(curves(spark, sf), ["val_loss", "lr"])
 
 
+@reg.add("snk6_export_params", f"SELECT config, regexp_replace(setting,'[^A-Za-z0-9_./ -]','_','g') AS key, substr(value,1,500) AS value FROM {FLAT}")
+def _(spark, sf):
+    return X2.export_params(settings(spark, sf), "config")
+
+
+@reg.add("snk6_export_labels", f"SELECT run_id, {KEYED}||'.label.'||('l'||event_id%5)||'.auroc' AS key, macro_auroc AS value, 0::BIGINT AS step FROM {EVALS} WHERE group_by='all' AND isfinite(macro_auroc)")
+def _(spark, sf):
+    per_label = evals(spark, sf).select("run_id", "eval", "group_by", "source", "run", F.concat(F.lit("l"), (F.col("event_id") % 5).cast("string")).alias("label"),
+                                        F.col("macro_auroc").alias("auroc"))
+    return X2.export_labels(per_label, ["auroc"])
+
+
 PIVOT = f"(SELECT run_id, eval, max(macro_auroc) FILTER (group_by='all') AS overall, max(macro_auroc) FILTER (\"group\"='sharp') AS sharp, max(macro_auroc) FILTER (\"group\"='soft') AS soft FROM {EVALS} GROUP BY 1,2)"
 
 
@@ -104,6 +116,20 @@ def _(spark, sf):
     return tidy(X2.metric_pivot(evals(spark, sf), ["run_id", "eval"]))
 
 
+def spread_sql(*columns):
+    return ", ".join(f"{r(f'avg({c})', c)}, {r(f'stddev_samp({c})', f'{c}_std')}" for c in columns)
+
+
+@reg.add("ag15_pivot_over_seeds", f"SELECT eval, count(*) AS seeds, {spread_sql('overall', 'sharp', 'soft', 'soft_minus_sharp')} FROM (SELECT *, soft-sharp AS soft_minus_sharp FROM {PIVOT}) GROUP BY 1")
+def _(spark, sf):
+    return tidy(X2.pivot_over_seeds(X2.metric_pivot(evals(spark, sf), ["run_id", "eval"]), ["eval"]))
+
+
+@reg.add("ag15_metric_by_scanner", f"SELECT eval, \"group\" AS manufacturer, count(*) AS seeds, {spread_sql('macro_auroc')} FROM {EVALS} WHERE group_by='manufacturer' GROUP BY 1,2")
+def _(spark, sf):
+    return tidy(X2.metric_by_scanner(evals(spark, sf), ["eval"]))
+
+
 @reg.add("ag16_delta_to_reference", f"WITH m AS (SELECT config, avg(best) AS best, avg(avg_train) AS avg_train FROM {RUNS} GROUP BY 1) SELECT config, {r('(best-(SELECT best FROM m WHERE config=3))*100', 'delta_best', 7)}, {r('(avg_train-(SELECT avg_train FROM m WHERE config=3))*100', 'delta_avg_train', 7)} FROM m")
 def _(spark, sf):
     table = X2.mean_std(runs(spark, sf), ["config"], ["best", "avg_train"])

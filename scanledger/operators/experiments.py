@@ -11,6 +11,8 @@ from .ordering import number_cell, positions, prefix_sums
 
 # fixed values: names and places of a run, which are no settings of its experiment
 NOT_A_SETTING = ("name", "seed", "device", "output_dir", "data_config", "encode_config")
+# fixed value: longest parameter text of a tracking service
+MAX_PARAM = 500
 
 
 def attach_status(table: DataFrame, status: DataFrame) -> DataFrame:
@@ -88,6 +90,17 @@ def metric_pivot(metrics: DataFrame, keys: Sequence[str], metric: str = "macro_a
     return wide.withColumn("soft_minus_sharp", F.col("soft") - F.col("sharp"))
 
 
+def pivot_over_seeds(pivot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and sample std of the pivoted values over the runs of a configuration."""
+    return mean_std(pivot, keys, ["overall", "sharp", "soft", "soft_minus_sharp"])
+
+
+def metric_by_scanner(metrics: DataFrame, keys: Sequence[str], metric: str = "macro_auroc") -> DataFrame:
+    """Mean and sample std of a metric per configuration and manufacturer, over the runs."""
+    rows = metrics.filter("group_by = 'manufacturer'").withColumnRenamed("group", "manufacturer")
+    return mean_std(rows, [*keys, "manufacturer"], [metric])
+
+
 def delta_to_reference(table: DataFrame, key: str, reference, metrics: Sequence[str]) -> DataFrame:
     """Metrics minus those of the reference configuration, in hundredths."""
     ref = table.filter(F.col(key) == reference)
@@ -184,6 +197,15 @@ def export_curves(curves: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return curves.select("run_id", F.col("epoch").cast("bigint").alias("step"), F.inline(rows)).filter(finite(F.col("value"))).select("run_id", "key", "value", "step")
 
 
+def export_params(settings: DataFrame, key: str = "run_id") -> DataFrame:
+    """Flattened settings of a run as (run, key, value) texts; the run's name and folder are left out, NULL is ``null``.
+
+    A value is cut to the length that a tracking service takes.
+    """
+    return settings.filter(~F.col("setting").isin("name", "output_dir")).select(
+        key, metric_key(F.col("setting")).alias("key"), F.substring(F.coalesce("value", F.lit("null")), 1, MAX_PARAM).alias("value"))
+
+
 def export_summary(summary: DataFrame, metrics: Sequence[str], train_source: str = "source", train_run: str = "run") -> DataFrame:
     """Evaluation metrics as long rows: ``<split>.<metric>``, with the group's name for a subgroup."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])

@@ -56,11 +56,18 @@ def group_sizes(wide: DataFrame, group_columns: Sequence[str], min_group: int) -
         "too_small", F.col("n_volumes") < min_group)
 
 
+def finished_members(members: DataFrame, status: DataFrame, evaluation: str) -> DataFrame:
+    """Stacked predictions (member, eval, ...) of one evaluation, of the members whose run is finished (``status``: member, status)."""
+    done = status.filter("status = 'finished'").select("member")
+    return members.filter(F.col("eval") == evaluation).join(done, "member", "left_semi").select(*members.columns)
+
+
 def average_members(members: DataFrame, labels: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """Mean probability per volume over the ``member`` column of stacked predictions."""
+    """Mean probability per volume over the ``member`` column of stacked predictions, to 12 digits: the order in which members are added
+    up must not decide whether two volumes tie."""
     return members.groupBy("volume_id").agg(
         *[F.min(c).alias(c) for c in ids if c != "volume_id"],
-        *[F.avg(f"prob_{n}").alias(f"prob_{n}") for n in labels],
+        *[F.round(F.avg(f"prob_{n}"), 12).alias(f"prob_{n}") for n in labels],
         *[F.max(f"true_{n}").alias(f"true_{n}") for n in labels])
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import bootstrap as B, calibration as C, scorecard as S
-from ..operators.predictions import group_sizes, kernel_pairs, label_names, to_long
+from ..operators.predictions import average_members, finished_members, group_sizes, kernel_pairs, label_names, to_long
 from ..operators.ranking import auroc_expr, grouped_blocks, macro, rank_blocks, ranking_metrics, score_blocks, thresholds
 
 GROUPS = ("kernel_class", "manufacturer")
@@ -127,6 +127,25 @@ def score(spark: SparkSession, val: DataFrame, test: DataFrame, settings: Report
             "predictions": S.calibrated_wide(decided, ids, labels)}
 
 
+def ensemble_report(spark: SparkSession, members: DataFrame, status: DataFrame, evaluation: str, settings: ReportSettings = ReportSettings(), *,
+                    per_seed: bool = False, seed: int = 0) -> dict[str, dict[str, DataFrame]]:
+    """The report of the mean prediction of all finished members with this evaluation, under ``ensemble``; with ``per_seed``, one of each member too.
+
+    An ensemble without such a member is an error. The members are the few seeds of one configuration; their names alone come to the driver.
+    """
+    kept = finished_members(members, status, evaluation)
+    names = [r.member for r in kept.select("member").distinct().orderBy("member").collect()]
+    if not names:
+        raise ValueError(f"no finished member has the evaluation {evaluation!r}")
+    labels = label_names(members)
+    ids = [c for c in members.columns if c not in ("member", "eval") and not c.startswith(("prob_", "true_"))]
+
+    def report(rows: DataFrame) -> dict[str, DataFrame]:
+        return score(spark, rows.filter("split = 'val'"), rows.filter("split = 'test'"), settings, seed)
+    out = {str(n): report(kept.filter(F.col("member") == n).drop("member", "eval")) for n in names} if per_seed else {}
+    return {**out, "ensemble": report(average_members(kept, labels, ids))}
+
+
 def _macro_name(metric: str) -> str:
     rule, _, kind = metric.partition("_")
     return f"{rule}_macro_{kind}" if rule in ("report", "maxf1") else f"macro_{metric}"
