@@ -185,9 +185,11 @@ def inventory(spark, root: str) -> DataFrame:
     return SR.read_inventory(spark, root)
 
 
-@reg.add("src6_file_inventory")
+@reg.add("src6_file_inventory", """SELECT 'split='||coalesce(split,'__HIVE_DEFAULT_PARTITION__') AS folder, true AS has_files, sum(octet_length(encode(volume_id))+1)::BIGINT AS bytes FROM findings GROUP BY 1""")
 def _(spark, sf):
+    """Text files of known length: how many there are is left to Spark, their bytes are not."""
     root = folder(spark, "files")
-    X.findings(spark, sf).write.partitionBy("split").parquet(root)
-    rows = inventory(spark, root).filter(I.file_suffix(F.col("path")) == "parquet")
-    return SR.source_signature(rows).select("folder", "signature")
+    X.findings(spark, sf).select("split", "volume_id").write.partitionBy("split").text(root)
+    rows = inventory(spark, root).filter(I.file_suffix(F.col("path")) == "txt")
+    parts = F.split("signature", ":")
+    return SR.source_signature(rows).select("folder", (parts[0].cast("bigint") > 0).alias("has_files"), parts[1].cast("bigint").alias("bytes"))
