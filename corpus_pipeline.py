@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir), works on all documents its predecessor
 read again as the next stage's documents. All stages but the last return the columns of documents.
 
 1. language ID: documents without a letter, or whose language is not certain enough, go
-2. near duplicates: one document of each SimHash component stays
+2. near duplicates: of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, found by SimHash, one stays
 3. decontamination: passages of the benchmark are cut out of the texts; a document that is nothing else goes
 4. secrets: credentials are replaced by a mark
 5. mixing: the copies of documents in the mixed corpus, in the order of the mix, with the words to use of each
@@ -25,7 +25,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_similar(docs, shingle=5, radius=22, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

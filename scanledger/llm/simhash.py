@@ -10,6 +10,13 @@ all pairs, and the forests are merged into components by joins.
 
 The comparison remains quadratic in the number of distinct fingerprints, with a small factor; see the README for figures.
 
+With a ``similarity``, fingerprints only propose: documents link if the sets of their shingles have that Jaccard similarity. Documents with equal sets are one node.
+Members of a group of near fingerprints (``GROUP_RADIUS``) are first compared with ``CENTRES`` members of it, which is linear and joins most of a large group; then
+every pair of nodes within ``radius`` that is not joined yet is compared. Bounds on the common shingles, from the sizes of the sets and of 256 cells of
+them, settle most pairs before texts are read. As bits of a similar pair are independent draws, the radius has to be far above their mean difference
+(about 10 of 64 at a similarity of 0.8, with a deviation of 3): 22 bits leave out few such pairs. So wide a radius
+lets many others pass, so a second fingerprint of 64 one-bit min-hashes must be near too (6.4 bits differ at 0.8, deviation 2.4; 18 are allowed).
+
 Defined results: NULL and blank texts have fingerprint zero and link like any other; a document with fewer words than a shingle is
 one shingle; a NULL id never names a component that has another id; repeated rows share a component; other columns
 of the input are ignored.
@@ -27,12 +34,15 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from scanledger.staging import staged
 
-from .arrays import LOWER, SPACED, chunks, text_bytes
+from .arrays import LOWER, SPACED, chunks, mixed, text_bytes
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE = 1 << 15
 BLOCK = 256
+GROUP_RADIUS, CENTRES, CELLS = 8, 8, 256
+SKETCH_RADIUS = 18
+ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,9 +62,8 @@ def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, starts, ends, counts
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """One unsigned 64-bit fingerprint per row."""
-    out = []
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(64-bit hashes of the shingles, shingles per row) of runs of rows."""
     for _, _, part, offs in chunks(data, offsets):
         text, starts, ends, counts = spaced_words(part, offs)
         sizes = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
@@ -62,18 +71,44 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
         first = np.repeat(base - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         final = np.minimum(first + shingle, np.repeat(base + counts, sizes)) - 1
         raw, digest = text.tobytes(), xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[final].tolist())), np.uint64, len(first))
-        ones, some = np.zeros((len(counts), 64), np.int64), np.flatnonzero(sizes)
-        for a in range(0, len(some), 4096):
-            rows = some[a:a + 4096]
-            low, high = (np.cumsum(sizes) - sizes)[rows[0]], np.cumsum(sizes)[rows[-1]]
-            bits = np.unpackbits(hashes[low:high, None].view(np.uint8), axis=1, bitorder="little")
-            ones[rows] = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[rows] - low, axis=0, dtype=np.int64)
-        bit = (2 * ones > sizes[:, None]).astype(np.uint8)
-        out.append(np.packbits(bit, axis=1, bitorder="little").view(np.uint64).ravel())
+        yield np.fromiter((digest(raw[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[final].tolist())), np.uint64, len(first)), sizes
+
+
+def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One unsigned 64-bit fingerprint per row."""
+    ones, some = np.zeros((len(sizes), 64), np.int64), np.flatnonzero(sizes)
+    for a in range(0, len(some), 4096):
+        rows = some[a:a + 4096]
+        low, high = (np.cumsum(sizes) - sizes)[rows[0]], np.cumsum(sizes)[rows[-1]]
+        bits = np.unpackbits(hashes[low:high, None].view(np.uint8), axis=1, bitorder="little")
+        ones[rows] = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[rows] - low, axis=0, dtype=np.int64)
+    bit = (2 * ones > sizes[:, None]).astype(np.uint8)
+    return np.packbits(bit, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """One unsigned 64-bit fingerprint per row."""
+    out = [majority_bits(*x) for x in shingle_hashes(data, offsets, shingle)]
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def least_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits per row: bit k is one of the least hash under the k-th of 64 orders. 0 for no shingles."""
+    out, some = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+    if len(some):
+        starts = (np.cumsum(sizes) - sizes)[some]
+        for k, odd in enumerate(ODD):
+            out[some] |= (mixed(np.minimum.reduceat(mixed(hashes ^ odd), starts)) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of every row."""
+    for hashes, sizes in shingle_hashes(data, offsets, shingle):
+        for part in np.split(hashes, np.cumsum(sizes)[:-1]):
+            yield np.unique(part)
+
+
 def with_fingerprint(docs: DataFrame, *, text_col: str = "text", name: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """The rows with their fingerprint as a BIGINT instead of the text."""
     own = [f for f in docs.schema.fields if f.name != text_col]
@@ -134,21 +169,26 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     return nodes[linked], nodes[root[linked]]
 
 
-def links(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(u, v): a forest that joins the distinct BIGINT fingerprints ``marks.fingerprint`` that differ in at most ``radius`` bits."""
-    counted = marks.select("fingerprint", F.bit_count("fingerprint").alias("p"))
+def pairs_of_tiles(marks: DataFrame, radius: int, tile: int, key: str = "fingerprint") -> DataFrame:
+    """The rows of ``marks`` in every pair of tiles (a, b) that they meet; ``left`` are the rows of a. Rows with different ``key`` are spread over tiles."""
+    columns = marks.columns
+    counted = marks.withColumn("p", F.bit_count("fingerprint"))
     sizes = {r.p: r.n for r in counted.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
     tiles = {p: -(-n // tile) for p, n in sizes.items()}
     first = {p: sum(tiles[q] for q in tiles if q < p) for p in tiles}  # number of the first tile of a count
     per_count = lambda d, p: F.element_at(F.array(*[F.lit(int(d.get(q, 0))) for q in range(65)]), p + 1)
-    mine = per_count(first, F.col("p")) + F.pmod(F.xxhash64("fingerprint"), F.greatest(per_count(tiles, F.col("p")), F.lit(1))).cast("int")
-    placed = counted.select("fingerprint", "p", mine.alias("t"))
+    mine = per_count(first, F.col("p")) + F.pmod(F.xxhash64(key), F.greatest(per_count(tiles, F.col("p")), F.lit(1))).cast("int")
+    placed = counted.select(*columns, "p", mine.alias("t"))
     low, high = F.greatest(F.col("p") - radius, F.lit(0)), F.least(F.col("p") + radius, F.lit(64))
     # the tiles of near counts are numbered without a gap
     before = F.when(low > 0, per_count({q: first.get(q, sum(tiles[x] for x in tiles if x < q)) for q in range(65)}, low)).otherwise(F.lit(0))
     after = per_count({q: sum(tiles[x] for x in tiles if x <= q) for q in range(65)}, high)
-    met = placed.select("fingerprint", "t", F.explode(F.sequence(before, after - 1)).alias("o"))
-    pairs = met.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), (F.col("t") == F.least("t", "o")).alias("left"), "fingerprint")
+    met = placed.select(*columns, "t", F.explode(F.sequence(before, after - 1)).alias("o"))
+    return met.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), (F.col("t") == F.least("t", "o")).alias("left"), *columns)
+
+
+def links(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(u, v): a forest that joins the distinct BIGINT fingerprints ``marks.fingerprint`` that differ in at most ``radius`` bits."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["left"].to_numpy()
@@ -160,7 +200,105 @@ def links(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         u, v = tile_links(marks, None, radius) if same else tile_links(marks[side], marks[~side], radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return pairs.groupBy("a", "b").applyInPandas(compare, "u bigint, v bigint")
+    return pairs_of_tiles(marks.select("fingerprint"), radius, tile).groupBy("a", "b").applyInPandas(compare, "u bigint, v bigint")
+
+
+def apart_pairs(nodes: DataFrame, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """(u, v): all pairs of rows of (node, fingerprint, sketch, n, root) with different roots whose fingerprints differ in at most ``radius`` bits,
+    whose sketches are near and whose sizes n allow the similarity."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        side, same = pdf["left"].to_numpy(), pdf["a"].iloc[0] == pdf["b"].iloc[0]
+        node, mark, sketch, n, root = (pdf[c].to_numpy() for c in ("node", "fingerprint", "sketch", "n", "root"))
+        mark, sketch = mark.view(np.uint64), sketch.view(np.uint64)
+        x, y = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side), np.flatnonzero(~side))
+        x, y = x[np.argsort(n[x])], y[np.argsort(n[y])]  # a block meets a range of sizes
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(0, len(x), BLOCK):
+            mine = x[i:i + BLOCK]
+            low, high = np.searchsorted(n[y], [n[mine[0]] * similarity - 1e-6, n[mine[-1]] / similarity + 1e-6])
+            for j in range(max(low, i) if same else low, high, 16 * BLOCK):
+                other = y[j:min(j + 16 * BLOCK, high)]
+                p, q = np.nonzero(np.bitwise_count(sketch[mine][:, None] ^ sketch[other][None, :]) <= SKETCH_RADIUS)
+                p, q = mine[p], other[q]
+                fit = (root[p] != root[q]) & (np.bitwise_count(mark[p] ^ mark[q]) <= radius) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]) - 1e-6)
+                u.append(node[p[fit]])
+                v.append(node[q[fit]])
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
+    met = pairs_of_tiles(nodes.select("node", "fingerprint", "sketch", "n", "root"), radius, tile, "node")
+    return met.groupBy("a", "b").applyInPandas(compare, "u bigint, v bigint")
+
+
+def with_shingles(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows, without their column ``text``, and its fingerprint, sketch (``least_bits``), node (a hash of the set of shingles), n (its size) and cells (sizes of its CELLS parts)."""
+    own = [f for f in docs.schema.fields if f.name != "text"]
+    schema = StructType([*own, *StructType.fromDDL("fingerprint bigint, sketch bigint, node bigint, n bigint, cells binary")])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, sketch, node, n, cells = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [], [], []
+            for hashes, sizes in shingle_hashes(*text_bytes(batch.column("text")), shingle):
+                marks.append(majority_bits(hashes, sizes))
+                sketch.append(least_bits(hashes, sizes))
+                for part in np.split(hashes, np.cumsum(sizes)[:-1]):
+                    one = np.unique(part)
+                    node.append(mixed(one).sum(dtype=np.uint64))
+                    n.append(len(one))
+                    many = np.bincount((one % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                    cells.append(many.astype(np.uint8 if many.max() < 256 else np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in own], *[pa.array(np.concatenate(x).view(np.int64)) for x in (marks, sketch)], pa.array(np.array(node, np.uint64).view(np.int64)),
+                                              pa.array(n, pa.int64()), pa.array(cells, pa.binary())], schema.names)
+
+    return docs.mapInArrow(add, schema)
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles have the Jaccard similarity. ``nodes`` has node, rid and cells; ``rows`` has rid and text."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("left"), batch.column("right")):
+                a, b = (np.frombuffer(x, np.uint8 if len(x) == CELLS else np.uint32).astype(np.int64) for x in (a.as_py(), b.as_py()))
+                common = int(np.minimum(a, b).sum())  # at most
+                keep.append(common >= similarity * (int(a.sum()) + int(b.sum()) - common) - 1e-6)
+            yield batch.select(["u", "v", "ru", "rv"]).filter(pa.array(keep, pa.bool_()))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(*(shingle_sets(*text_bytes(batch.column(c)), shingle) for c in ("left", "right"))):
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda k: nodes.select(F.col("node").alias(k), F.col("rid").alias(f"r{k}"), F.col("cells").alias({"u": "left", "v": "right"}[k]))
+    named = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "ru", "rv", "left", "right")
+    may = staged(named.mapInArrow(possible, "u bigint, v bigint, ru bigint, rv bigint"))
+    needed = may.select(F.explode(F.array("ru", "rv")).alias("rid")).distinct()
+    texts = staged(rows.join(needed, "rid", "left_semi").select("rid", "text"))
+    text = lambda k: texts.select(F.col("rid").alias(f"r{k}"), F.col("text").alias({"u": "left", "v": "right"}[k]))
+    return may.join(text("u"), "ru").join(text("v"), "rv").select("u", "v", "left", "right").mapInArrow(check, "u bigint, v bigint")
+
+
+def similar_roots(rows: DataFrame, *, shingle: int, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """(node, root) for all nodes of the rows of ``with_shingles`` with a unique rid; linked nodes have one root."""
+    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("rid", "fingerprint", "sketch", "n", "cells")).alias("x")).select("node", "x.*"))
+    groups = components(links(nodes.select("fingerprint").distinct(), min(GROUP_RADIUS, radius), tile))
+    grouped = nodes.join(groups, nodes.fingerprint == groups.node, "left").select(nodes.node, F.coalesce(groups.root, nodes.fingerprint).alias("g"))
+    grouped = staged(grouped)
+    some = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"].alias(f"c{k}") for k in range(CENTRES)]
+    centres = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("size"), *some).filter("size > 1")
+    centres = centres.select("g", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
+    spokes = grouped.join(centres, "g").filter("node <> c").select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
+    joined = staged(similar_pairs(spokes, nodes, rows, shingle, similarity))
+    near = components(joined).withColumnRenamed("node", "_n")
+    rooted = nodes.join(near, nodes.node == near._n, "left").select("node", "fingerprint", "sketch", "n", F.coalesce("root", "node").alias("root"))
+    rest = similar_pairs(staged(apart_pairs(staged(rooted), radius, similarity, tile)), nodes, rows, shingle, similarity)
+    last = components(joined.unionByName(rest)).withColumnRenamed("node", "_n")
+    return nodes.select("node").join(last, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
@@ -194,3 +332,16 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"))
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+
+
+def drop_similar(docs: DataFrame, *, shingle: int, radius: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """One document, unchanged, of each component of documents whose sets of shingles are similar: the one with the smallest id and, of rows that share it,
+    the smallest text hash. An id comes before no id."""
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
+    rows = staged(with_shingles(keyed.withColumn("rid", F.monotonically_increasing_id()), shingle))
+    texts = rows.withColumn("text", F.col("row")[text_col])  # one copy of the text is staged
+    roots = similar_roots(texts, shingle=shingle, radius=radius, similarity=similarity, tile=tile)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rid"))["rid"].alias("rid")
+    first = rows.select("node", "doc_id", "text_hash", "rid").join(roots, "node").groupBy("root").agg(best)
+    return rows.join(first.select("rid"), "rid", "left_semi").select("row.*")

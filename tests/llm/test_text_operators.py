@@ -379,6 +379,32 @@ def test_one_document_of_each_component_stays(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 5, 6, 7] and sum(r.doc_id is None for r in kept) == 1 and kept[0].size == "clash"
 
 
+def test_pipeline_keeps_one_of_edited_copies(spark):
+    draw = random.Random(8)
+    sets, rows = [], []
+    for g in range(12):
+        base = [f"w{draw.randrange(3000)}" for _ in range(200 + 10 * g)]
+        rows.append((1000 * g, " ".join(base), "en", "a"))
+        for k in range(1, 12):
+            words = list(base)
+            for _ in range(1 + k % 5):
+                words[draw.randrange(len(words))] = f"new{draw.randrange(1000)}"
+            rows.append((1000 * g + k, " ".join(words), "en", "a"))
+    rows += [(90_000, None, "en", "a"), (90_001, "", "en", "a"), (1, rows[0][1], "en", "a"), (None, rows[12][1], "en", "a"), (None, "no id", "en", "a"), (1, "short", "en", "a")]
+    for _, t, *_ in rows:
+        w = spaced(lowered(t))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    similar = lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = [min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if root[i] == k) for k in set(root)]
+    kept = corpus_pipeline.one_of_each(spark, documents(spark, rows), SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(want) and kept[0].node == "clash"
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages_on_their_own_input(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
