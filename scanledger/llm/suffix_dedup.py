@@ -12,7 +12,9 @@ the longest factor that an earlier document has, and a string whose factor reach
 question with a known answer and are not compared again.
 
 No text is shuffled but these copies; anchors and pieces are combined per slab, so a passage in a third of all documents sends one entry per slab.
-A bucket holds the different surroundings of its anchors, which is the one thing here that a very common sequence of ANCHOR bytes makes grow.
+Hot anchors. Where more than ``HOT_PIECES`` different pieces have one anchor, no bucket gets them together: their strings, whose hash is the same in all
+copies, go to buckets by a 128-bit hash of their LENGTH bytes, combined per slab, and come back with whether an earlier document has them. The
+first question still has 24 bytes in one bucket for every different piece of an anchor.
 
 Defined results: a NULL text is empty; texts shorter than LENGTH keep everything; documents with equal ids are not earlier than each other;
 documents with a NULL id come before all others; other columns of the input are ignored.
@@ -36,7 +38,8 @@ NO_ID = np.int64(-(1 << 63))
 
 PLACE_BITS = 28
 
-ONLY, LATER, COMPARE = 0, 1, 2
+ONLY, LATER, COMPARE, HOT = 0, 1, 2, 3
+HOT_PIECES = 256
 
 
 def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -126,8 +129,8 @@ def _first_question(buckets: int):
     return question
 
 
-def _who_is_first(slabs: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Per slab and entry: ONLY (no other piece has its anchor), LATER (an earlier document has the piece) or COMPARE."""
+def _who_is_first(slabs: list[int], bodies: list[bytes], hot_pieces: int = HOT_PIECES) -> Iterator[tuple[int, bytes]]:
+    """Per slab and entry: ONLY (no other piece has its anchor), LATER (an earlier document has the piece), COMPARE or, for many pieces, HOT."""
     parts = [unpack(b) for b in bodies]
     sizes = [len(p[0]) for p in parts]
     anchor = np.concatenate([np.cumsum(p[0]) for p in parts])
@@ -142,7 +145,7 @@ def _who_is_first(slabs: list[int], bodies: list[bytes]) -> Iterator[tuple[int,
     earliest = np.minimum.reduceat(least[order], np.flatnonzero(new_piece))[np.cumsum(new_piece) - 1]
     kinds = np.add.reduceat(new_piece.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
     state = np.empty(len(order), np.uint8)
-    state[order] = np.where(least[order] > earliest, LATER, np.where(kinds > 1, COMPARE, ONLY))
+    state[order] = np.where(least[order] > earliest, LATER, np.where(kinds > hot_pieces, HOT, np.where(kinds > 1, COMPARE, ONLY)))
     for slab, end, n in zip(slabs, np.cumsum(sizes), sizes):
         yield slab, pack(state[end - n:end])
 
@@ -155,10 +158,39 @@ def _states(s: Slab, answers: dict[int, bytes], buckets: int) -> np.ndarray:
     return out
 
 
+class HotStrings:
+    """The distinct strings in a slab's pieces of hot anchors, in the order of two hashes, with the least document of each."""
+
+    def __init__(self, s: Slab, state: np.ndarray):
+        entry = np.flatnonzero(state == HOT)
+        at, count = s.first[s.example[entry]], s.count[s.example[entry]]
+        start, self.owner = ranges(at, count), np.repeat(entry, count)
+        self.bit = (start - np.repeat(at, count)).astype(np.uint32)
+        h, g = np.zeros(len(start), U64), np.ones(len(start), U64)
+        for k in range(0, LENGTH, 8):
+            word = np.zeros(len(start), U64)
+            for i in range(k, min(k + 8, LENGTH)):
+                word = word << U64(8) | s.data[start + i].astype(U64)
+            h, g = mixed(h + word), mixed(g * U64(0x9E3779B97F4A7C15) ^ word)
+        order = np.lexsort((s.least[self.owner], g, h))
+        h, g = h[order], g[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        self.string = np.empty(len(order), np.int64)  # of every occurrence
+        self.string[order] = np.cumsum(new) - 1
+        self.h, self.g, self.least = h[new], g[new], s.least[self.owner[order[new]]]
+
+
 def _second_question(buckets: int):
     def question(slab, ids, texts, answers):
         s = Slab(ids, texts)
-        entry = np.flatnonzero(_states(s, answers["first"], buckets) == COMPARE)
+        state = _states(s, answers["first"], buckets)
+        hot = HotStrings(s, state)
+        edges = cut(hot.h, buckets)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            part = slice(edges[b], edges[b + 1])
+            yield buckets + b, pack(hot.h[part], hot.g[part], hot.least[part])
+        entry = np.flatnonzero(state == COMPARE)
         at, count = s.first[s.example[entry]], s.count[s.example[entry]]
         edges = np.searchsorted(entry, cut(s.anchor, buckets))
         for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -243,6 +275,22 @@ def _compare(slabs: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes
         yield slab, pack(mask[end - n:end])
 
 
+def _settle(slabs: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """The answers of a bucket of pieces or of a bucket of hot strings: of those, per string, 1 if another slab has it in an earlier document."""
+    parts = [unpack(b) for b in bodies]
+    if parts[0][0].dtype != U64:
+        yield from _compare(slabs, bodies)
+        return
+    h, g, least = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort((g, h))
+    new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])])
+    earliest = np.empty(len(order), np.int64)
+    earliest[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    sizes = [len(p[0]) for p in parts]
+    for slab, end, n in zip(slabs, np.cumsum(sizes), sizes):
+        yield slab, pack((least > earliest)[end - n:end].astype(np.uint8))
+
+
 def _covered(s: Slab, state: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Which bytes of the slab go."""
     later = (state[s.entry] == LATER) | (s.ids[s.row] > s.least[s.entry])
@@ -258,12 +306,13 @@ def _covered(s: Slab, state: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slab_bytes: int = SLAB_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slab_bytes: int = SLAB_BYTES,
+                   hot_pieces: int = HOT_PIECES) -> DataFrame:
     """Per document: doc_id, n_bytes, ``spans`` (ARRAY<STRUCT<start, end>> of removed bytes) and ``kept`` (the rest, BINARY)."""
     slabs = make_slabs(docs, id_col, text_col, slab_bytes)
     buckets = bucket_count(slabs)
-    first = staged(answer(ask(slabs, _first_question(buckets)), _who_is_first))
-    second = staged(answer(ask(with_answers(slabs, first=first), _second_question(buckets), ["first"]), _compare))
+    first = staged(answer(ask(slabs, _first_question(buckets)), lambda slabs, bodies: _who_is_first(slabs, bodies, hot_pieces)))
+    second = staged(answer(ask(with_answers(slabs, first=first), _second_question(buckets), ["first"]), _settle))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, texts, answers in each_slab(batches, ["first", "second"]):
@@ -271,8 +320,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             state = _states(s, answers["first"], buckets)
             entry, mask = np.flatnonzero(state == COMPARE), np.zeros(len(state), np.uint32)
             edges = np.searchsorted(entry, cut(s.anchor, buckets))
+            hot = HotStrings(s, state)
+            places, earlier = cut(hot.h, buckets), np.zeros(len(hot.h), bool)
             for b, body in answers["second"].items():
-                mask[entry[edges[b]:edges[b + 1]]] = unpack(body)[0]
+                if b < buckets:
+                    mask[entry[edges[b]:edges[b + 1]]] = unpack(body)[0]
+                else:
+                    earlier[places[b - buckets]:places[b - buckets + 1]] = unpack(body)[0]
+            before = earlier[hot.string] | (hot.least[hot.string] < s.least[hot.owner])
+            np.bitwise_or.at(mask, hot.owner[before], np.uint32(1) << hot.bit[before])
             gone = _covered(s, state, mask)
             kept, spans, sizes = [], [], []
             for a, z in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist()):

@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -143,6 +144,28 @@ def test_repeats_of_periodic_and_awkward_texts(spark):
     assert len(whole) == len(AWKWARD) and [len(r.kept) for r in whole if r.doc_id == 8] == [0]
 
 
+def test_repeats_around_hot_anchors(spark):
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    phrase, tails = word(40), [word(60) for _ in range(5)]
+    rows = [(i % 290, word(draw.randrange(60)) + phrase + (tails[i % 5][:draw.randrange(60)] if i % 3 else "") + word(draw.randrange(60))) for i in range(300)]
+    for hot in (1, 3, 1000):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), slab_bytes=2000, hot_pieces=hot).collect()
+        assert sorted((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == sorted(brute_repeats(rows))
+
+
+def test_no_bucket_gets_all_surroundings_of_a_hot_anchor():
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    phrase = word(49)
+    ids, texts = pa.array(range(3000)), pa.array([word(40) + phrase + word(40) for _ in range(3000)])
+    first = [(b, list(suffix_dedup._who_is_first([0], [body]))[0][1]) for b, body in suffix_dedup._first_question(8)(0, ids, texts, {})]
+    asked = list(suffix_dedup._second_question(8)(0, ids, texts, {"first": dict(first)}))
+    pieces = [len(suffix_dedup.unpack(body)[0]) for b, body in asked if b < 8]
+    strings = [len(suffix_dedup.unpack(body)[0]) for b, body in asked if b >= 8]
+    assert max(pieces, default=0) < 1500 and len(strings) == 8 and max(strings) < 1.5 * sum(strings) / 8
+
+
 def test_previous_factors_equal_their_definition():
     draw = np.random.default_rng(3)
     text = draw.integers(0, 2, 200)
