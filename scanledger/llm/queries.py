@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, words
+from . import (decontamination, language_id, lm_scoring, mixing, personal_data, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup,
+               token_alignment, url_filter, vector_codes, words)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,3 +233,60 @@ def op3(spark, sf_dir):
 @query("op9_lm_scoring")
 def op9(spark, sf_dir):
     return lm_scoring.score(lm_scoring.fit(table(spark, sf_dir, "documents")))
+
+# --------------------------------------------------------------------------------------------------------------- 11
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT p.id, p.part, p.v, min(struct_pack(d := list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := b.entry)) AS hit
+  FROM pieces p JOIN book{r} b USING (part) GROUP BY p.id, p.part, p.v)""")
+        if r < rounds:
+            steps.append(f"""
+means{r} AS (
+  SELECT part, entry, list(m ORDER BY i) AS v FROM (
+    SELECT part, hit.e AS entry, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM near{r}, unnest(range(1, len(v) + 1)) u(i) GROUP BY ALL) GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN means{r} m USING (part, entry))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id ASC NULLS LAST, embedding) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (SELECT id, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS v FROM kept, unnest(range({parts})) u(part)),
+book0 AS MATERIALIZED (SELECT part, id AS entry, v FROM pieces WHERE id < {entries}),{",".join(steps)},
+coded AS (
+  SELECT id, string_agg(printf('%02x', hit.e), '' ORDER BY part) AS code, sum(hit.d)::BIGINT AS error FROM near{rounds} GROUP BY id),
+summed AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (id) GROUP BY label)
+SELECT vec_id, code, error, label_error,
+       (SELECT sha256(coalesce(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry), '')) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (id) JOIN summed s ON kept.label IS NOT DISTINCT FROM s.label"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.train_codebooks(vectors)
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, books))
+    return coded.select("vec_id", vector_codes.hex_code(F.col("code")).alias("code"), "error", "label_error",
+                        F.sha2(F.lit(vector_codes.written_out(books)), 256).alias("codebooks_sha256"))
+
+
+# --------------------------------------------------------------------------------------------------------------- 12
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    return token_alignment.link_statistics(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------------------------------------------------- 13
+
+
+@query("op13_personal_data")
+def op13(spark, sf_dir):
+    found = personal_data.personal_spans(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select("doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS],
+                        F.sha2(personal_data.joined(of(*personal_data.KINDS)), 256).alias("base_sha256"), personal_data.joined(F.col("spans")).alias("spans"))
