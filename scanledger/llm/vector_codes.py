@@ -88,12 +88,12 @@ def distinct_parts(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], place
 
 
-def blocks(batches: Iterator[pa.RecordBatch], width: int, parts: int, scale: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], width: int, parts: int, scale: float, vector_col: str = "vector") -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Runs of rows with their vectors as integers, shaped (rows, parts, width); shorter vectors are continued by zeros."""
     for batch in batches:
         for a in range(0, len(batch), BLOCK):
             some = batch.slice(a, BLOCK)
-            column = some.column("vector")
+            column = some.column(vector_col)
             sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             values = whole_numbers(column.flatten().to_numpy(zero_copy_only=False), scale)
             if len(sizes) and (sizes == parts * width).all():
@@ -146,12 +146,12 @@ def train_codebooks(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 def encode(vectors: DataFrame, books: np.ndarray, *, vector_col: str = "embedding", scale: float = SCALE, code_col: str = "code", error_col: str = "error") -> DataFrame:
     """The usable rows without their vector, with the code (an array with the entry of each part) and the squared distance to what the code stands for."""
     parts, entries, width = books.shape
-    named = vectors.filter(usable(F.col(vector_col))).withColumnRenamed(vector_col, "vector").drop(code_col, error_col)
-    own = [f for f in named.schema.fields if f.name != "vector"]
+    named = vectors.filter(usable(F.col(vector_col))).drop(code_col, error_col)
+    own = [f for f in named.schema.fields if f.name != vector_col]
     schema = StructType([*own, *StructType.fromDDL(f"`{code_col}` array<int>, `{error_col}` bigint")])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some, vectors in blocks(batches, width, parts, scale):
+        for some, vectors in blocks(batches, width, parts, scale, vector_col):
             codes, errors = np.zeros((len(some), parts), np.int32), np.zeros(len(some), np.int64)
             for p in range(parts if entries else 0):
                 leaves, place = distinct_parts(vectors[:, p])
