@@ -11,9 +11,10 @@ all pairs, and the forests are merged into components by joins.
 The comparison remains quadratic in the number of distinct fingerprints, with a small factor; see the README for figures.
 
 With a ``similarity``, fingerprints only propose: documents link if the sets of their shingles have that Jaccard similarity. Documents with equal sets are one node.
-Members of a group of near fingerprints (``GROUP_RADIUS``) are first compared with ``CENTRES`` members of it, which is linear and joins most of a large group; then
-every pair of nodes within ``radius`` that is not joined yet is compared. Bounds on the common shingles, from the sizes of the sets and of 256 cells of
-them, settle most pairs before texts are read. As bits of a similar pair are independent draws, the radius has to be far above their mean difference
+Members of a group of near fingerprints (``GROUP_RADIUS``) are first compared with ``CENTRES`` members of it, which is linear and joins most of a large group (bounds on
+the common shingles, from the sizes of 256 cells of the sets, settle most of these pairs before texts are read); then
+every pair of nodes within ``radius`` that is not joined yet is compared in two passes. The first tells each node in which parts of which tiles it has candidates, the second
+sends the hashes of these nodes there, checks the pairs and answers with a forest of links. Neither gives out pairs. As bits of a similar pair are independent draws, the radius has to be far above their mean difference
 (about 10 of 64 at a similarity of 0.8, with a deviation of 3): 22 bits leave out few such pairs. So wide a radius
 lets many others pass, so a second fingerprint of 64 one-bit min-hashes must be near too (6.4 bits differ at 0.8, deviation 2.4; 18 are allowed).
 
@@ -34,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from scanledger.staging import staged
 
-from .arrays import LOWER, SPACED, chunks, mixed, text_bytes
+from .arrays import LOWER, SPACED, chunks, mixed, ranges, text_bytes
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -42,6 +43,7 @@ TILE = 1 << 15
 BLOCK = 256
 GROUP_RADIUS, CENTRES, CELLS = 8, 8, 256
 SKETCH_RADIUS = 18
+PART_HASHES = 1 << 21
 ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -203,32 +205,105 @@ def links(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return pairs_of_tiles(marks.select("fingerprint"), radius, tile).groupBy("a", "b").applyInPandas(compare, "u bigint, v bigint")
 
 
-def apart_pairs(nodes: DataFrame, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
-    """(u, v): all pairs of rows of (node, fingerprint, sketch, n, root) with different roots whose fingerprints differ in at most ``radius`` bits,
-    whose sketches are near and whose sizes n allow the similarity."""
+def near(x: dict, mine: np.ndarray, others: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of ``mine`` and ``others`` with different roots, fingerprints that differ in at most ``radius`` bits, near sketches and fit sizes."""
+    p, q = np.nonzero(np.bitwise_count(x["sketch"][mine][:, None] ^ x["sketch"][others][None, :]) <= SKETCH_RADIUS)
+    p, q = mine[p], others[q]
+    n = x["n"]
+    fit = (x["root"][p] != x["root"][q]) & (np.bitwise_count(x["fingerprint"][p] ^ x["fingerprint"][q]) <= radius)
+    fit &= np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]) - 1e-6
+    return p[fit], q[fit]
+
+
+def sides(pdf: pd.DataFrame) -> tuple[dict, np.ndarray, np.ndarray, bool]:
+    """The columns as arrays, and the places of both sides in order of size; one tile with itself has one side."""
+    x = {c: pdf[c].to_numpy() for c in pdf.columns if c not in ("a", "b", "left")}
+    for c in ("fingerprint", "sketch"):
+        x[c] = x[c].view(np.uint64)
+    left, same = pdf["left"].to_numpy(), pdf["a"].iloc[0] == pdf["b"].iloc[0]
+    one, two = (np.arange(len(pdf)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+    return x, one[np.argsort(x["n"][one])], two[np.argsort(x["n"][two])], same
+
+
+def near_nodes(nodes: DataFrame, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """(a, b, left, node, sub, met): the nodes of a pair of tiles that have a candidate in the other one, and in which of its parts (bits of ``met``). A row
+    for each node and pair of tiles at most, however many candidates it has. ``nodes`` has node, fingerprint, sketch, n, root and sub."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side, same = pdf["left"].to_numpy(), pdf["a"].iloc[0] == pdf["b"].iloc[0]
-        node, mark, sketch, n, root = (pdf[c].to_numpy() for c in ("node", "fingerprint", "sketch", "n", "root"))
-        mark, sketch = mark.view(np.uint64), sketch.view(np.uint64)
-        x, y = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side), np.flatnonzero(~side))
-        x, y = x[np.argsort(n[x])], y[np.argsort(n[y])]  # a block meets a range of sizes
-        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(0, len(x), BLOCK):
-            mine = x[i:i + BLOCK]
-            low, high = np.searchsorted(n[y], [n[mine[0]] * similarity - 1e-6, n[mine[-1]] / similarity + 1e-6])
+        x, one, two, same = sides(pdf)
+        met, n, part = np.zeros(len(pdf), np.int64), x["n"], np.int64(1) << x["sub"].astype(np.int64)
+        for i in range(0, len(one), BLOCK):
+            mine = one[i:i + BLOCK]
+            low, high = np.searchsorted(n[two], [n[mine[0]] * similarity - 1e-6, n[mine[-1]] / similarity + 1e-6])  # a block meets a range of sizes
             for j in range(max(low, i) if same else low, high, 16 * BLOCK):
-                other = y[j:min(j + 16 * BLOCK, high)]
-                p, q = np.nonzero(np.bitwise_count(sketch[mine][:, None] ^ sketch[other][None, :]) <= SKETCH_RADIUS)
-                p, q = mine[p], other[q]
-                fit = (root[p] != root[q]) & (np.bitwise_count(mark[p] ^ mark[q]) <= radius) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]) - 1e-6)
-                u.append(node[p[fit]])
-                v.append(node[q[fit]])
-        u, v = np.concatenate(u), np.concatenate(v)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+                p, q = near(x, mine, two[j:min(j + 16 * BLOCK, high)], radius, similarity)
+                np.bitwise_or.at(met, p, part[q])
+                np.bitwise_or.at(met, q, part[p])
+        return pdf[["a", "b", "left", "node", "sub"]].assign(met=met)[met != 0]
+
+    met = pairs_of_tiles(nodes.select("node", "fingerprint", "sketch", "n", "root", "sub"), radius, tile, "node")
+    return met.groupBy("a", "b").applyInPandas(compare, "a int, b int, left boolean, node bigint, sub int, met bigint")
+
+
+def verified(pdf: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
+    """(u, v): a forest of the pairs of rows with different roots whose sets of shingles (``hashes``) are similar; candidates as in ``near``."""
+    x, one, two, same = sides(pdf)
+    sizes = x["n"].astype(np.int64)
+    _, words = np.unique(np.frombuffer(b"".join(x["hashes"]), np.uint64), return_inverse=True)
+    begins = np.cumsum(sizes) - sizes
+    marked, (_, tree) = np.zeros(len(words) + 1, np.int64), np.unique(x["root"], return_inverse=True)
+    u, v = [], []
+    for i in range(0, len(one), BLOCK):
+        p, q = near(x, one[i:i + BLOCK], two[i if same else 0:], radius, similarity)
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        for k in np.unique(p):
+            others = q[np.searchsorted(p, k):np.searchsorted(p, k, "right")]
+            others = others[(tree[others] != tree[k]) & (sizes[others] > 0)]
+            if not len(others):
+                continue
+            mine = words[begins[k]:begins[k] + sizes[k]]
+            marked[mine] = 1
+            common = np.add.reduceat(marked[words[ranges(begins[others], sizes[others])]], np.cumsum(sizes[others]) - sizes[others])
+            marked[mine] = 0
+            for o in others[common >= similarity * (sizes[k] + sizes[others] - common) - 1e-9]:
+                if tree[o] != tree[k]:
+                    tree[tree == tree[o]] = tree[k]
+                    u.append(x["node"][k])
+                    v.append(x["node"][o])
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+
+def with_hashes(rows: DataFrame, shingle: int) -> DataFrame:
+    """The rows with the sorted hashes of their distinct shingles instead of ``text``."""
+    own = [f for f in rows.schema.fields if f.name != "text"]
+    schema = StructType([*own, *StructType.fromDDL("hashes binary")])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [one.tobytes() for one in shingle_sets(*text_bytes(batch.column("text")), shingle)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in own], pa.array(sets, pa.binary())], schema.names)
 
-    met = pairs_of_tiles(nodes.select("node", "fingerprint", "sketch", "n", "root"), radius, tile, "node")
-    return met.groupBy("a", "b").applyInPandas(compare, "u bigint, v bigint")
+    return rows.mapInArrow(add, schema)
+
+
+def similar_links(nodes: DataFrame, rows: DataFrame, *, shingle: int, radius: int, similarity: float, tile: int = TILE, part_hashes: int = PART_HASHES) -> DataFrame:
+    """(u, v): forests that join all pairs of candidates with similar sets. ``nodes`` has node, rid, fingerprint, sketch, n and root; ``rows`` has rid and text.
+
+    First the nodes with a candidate are found in each pair of tiles. Tiles are cut into parts of about ``part_hashes`` shingles (62 parts at most), and the
+    hashes of such nodes alone are sent to the pairs of parts where their candidates are; links are checked there."""
+    counts = {r.p: (r.n, r.size) for r in nodes.groupBy(F.bit_count("fingerprint").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size")).collect()}
+    parts = {p: min(62, max(1, -(-size // (-(-n // tile) * part_hashes)))) for p, (n, size) in counts.items()}
+    of_tile = F.element_at(F.array(*[F.lit(parts.get(p, 1)) for p in range(65)]), F.bit_count("fingerprint") + 1)
+    nodes = nodes.withColumn("sub", F.pmod(F.xxhash64("node", F.lit("part")), of_tile).cast("int"))
+    met = staged(near_nodes(nodes, radius, similarity, tile))
+    needed = nodes.join(met.select("node").distinct(), "node", "left_semi").drop("sub")
+    sets = staged(with_hashes(rows.select("rid", "text").join(needed, "rid"), shingle).drop("rid"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(61)), lambda k: F.expr("met").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)) != 0)).alias("o")
+    sent = met.select("a", "b", "left", "node", "sub", other)
+    first = F.when(F.col("a") == F.col("b"), F.least("sub", "o")).when(F.col("left"), F.col("sub")).otherwise(F.col("o"))
+    keyed = sent.select("a", "b", first.alias("x"), (F.col("sub") + F.col("o") - first).alias("y"), "left", "node").join(sets, "node")
+    return keyed.groupBy("a", "b", "x", "y").applyInPandas(lambda pdf: verified(pdf.drop(columns=["x", "y"]), radius, similarity), "u bigint, v bigint")
 
 
 def with_shingles(docs: DataFrame, shingle: int) -> DataFrame:
@@ -295,8 +370,8 @@ def similar_roots(rows: DataFrame, *, shingle: int, radius: int, similarity: flo
     spokes = grouped.join(centres, "g").filter("node <> c").select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
     joined = staged(similar_pairs(spokes, nodes, rows, shingle, similarity))
     near = components(joined).withColumnRenamed("node", "_n")
-    rooted = nodes.join(near, nodes.node == near._n, "left").select("node", "fingerprint", "sketch", "n", F.coalesce("root", "node").alias("root"))
-    rest = similar_pairs(staged(apart_pairs(staged(rooted), radius, similarity, tile)), nodes, rows, shingle, similarity)
+    rooted = nodes.join(near, nodes.node == near._n, "left").select("node", "rid", "fingerprint", "sketch", "n", F.coalesce("root", "node").alias("root"))
+    rest = staged(similar_links(staged(rooted), rows, shingle=shingle, radius=radius, similarity=similarity, tile=tile))
     last = components(joined.unionByName(rest)).withColumnRenamed("node", "_n")
     return nodes.select("node").join(last, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"))
 
@@ -321,19 +396,6 @@ def hex_digits(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, unchanged: the one with the smallest id and, of rows that share it, the smallest text hash."""
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, extra={"text_hash": text_hash}, **options)
-    # a NULL component holds documents without an id only; their fingerprint tells them apart as far as they differ
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_f")).agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias("_hash"))
-    first = first.select(F.col("component_id").alias("_id"), "_hash")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"))
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
-
-
 def drop_similar(docs: DataFrame, *, shingle: int, radius: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """One document, unchanged, of each component of documents whose sets of shingles are similar: the one with the smallest id and, of rows that share it,
     the smallest text hash. An id comes before no id."""

@@ -397,11 +397,6 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{100 + i: 100 for i in range(1, 300)}}
 
 
-def test_one_document_of_each_component_stays(spark):
-    kept = simhash.drop_near_duplicates(documents(spark)).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 5, 6, 7] and sum(r.doc_id is None for r in kept) == 1 and kept[0].size == "clash"
-
-
 def test_pipeline_keeps_one_of_edited_copies(spark):
     draw = random.Random(8)
     sets, rows = [], []
@@ -429,6 +424,69 @@ def test_pipeline_keeps_one_of_edited_copies(spark):
 
 
 # ---------------------------------------------------------------- pipeline
+def brute_similar(texts, similarity, shingle=5):
+    """The first text of the component of every text, where an exact Jaccard similarity of word shingles links."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(t or ""))
+        sets.append(frozenset(" ".join(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))) if w else frozenset())
+    holding, first = {}, list(range(len(texts)))
+    for k, s in enumerate(sets):
+        for one in s or {None}:
+            holding.setdefault(one, []).append(k)
+
+    def root(k):
+        while first[k] != k:
+            k = first[k]
+        return k
+
+    for k, s in enumerate(sets):
+        shared = Counter(o for one in s or {None} for o in holding[one] if o < k)
+        for o, n in shared.items():
+            if not s and not sets[o] or s and n >= similarity * (len(s) + len(sets[o]) - n) - 1e-9:
+                a, b = root(k), root(o)
+                first[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(texts))]
+
+
+def edited_groups(seed=3):
+    """Groups of texts around a similarity of 0.8: chains of edits, many of them too far from each other to be linked at once."""
+    draw, texts = random.Random(seed), []
+    for _ in range(12):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(40, 300))]
+        for _ in range(draw.randrange(2, 40)):
+            texts.append(" ".join(words))
+            for _ in range(draw.randrange(0, 1 + len(words) // 60)):
+                words[draw.randrange(len(words))] = f"w{draw.randrange(5000)}"
+    return texts + ["", " ", "one", "one two three four five six"] + [" ".join(f"x{draw.randrange(99999)}" for _ in range(80)) for _ in range(60)]
+
+
+@pytest.mark.parametrize("tile,part_hashes", [(simhash.TILE, simhash.PART_HASHES), (64, 500)])
+def test_two_passes_link_what_brute_force_links(spark, monkeypatch, tile, part_hashes):
+    monkeypatch.setattr(simhash, "CENTRES", 1)  # leaves most links to the two passes
+    texts = edited_groups()
+    monkeypatch.setattr(simhash.similar_links, "__kwdefaults__", {**simhash.similar_links.__kwdefaults__, "part_hashes": part_hashes})
+    docs = documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    kept = sorted(r.doc_id for r in simhash.drop_similar(docs, shingle=5, radius=22, similarity=0.8, tile=tile).collect())
+    assert kept == sorted(set(brute_similar(texts, 0.8)))
+
+
+def test_near_duplicate_stage_recall_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    want = {rows[k].doc_id for k in set(brute_similar([r.text for r in rows], 0.8))}
+    assert {r.doc_id for r in simhash.drop_similar(docs, shingle=5, radius=22, similarity=0.8).collect()} == want
+
+
+def test_near_duplicate_stage_of_awkward_tables(spark):
+    assert simhash.drop_similar(empty(spark), shingle=5, radius=22, similarity=0.8).count() == 0
+    docs = documents(spark)
+    kept = simhash.drop_similar(docs, shingle=5, radius=22, similarity=0.8)
+    assert kept.columns == docs.columns
+    # the copies of 1 and 8 are one document, as are all blank texts
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, None, 5, 6, 7])
+
+
 def test_pipeline_stages_on_their_own_input(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs
@@ -439,8 +497,8 @@ def test_pipeline_stages_on_their_own_input(spark, tmp_path):
         assert k == 4 or after.columns == columns
         counts.append(after.count())
         if k == 1:
-            roots = brute_components([brute_fingerprint(r.text) for r in before.orderBy("doc_id").collect()], 4)
-            assert counts[-1] == len(set(roots))
+            rows = before.orderBy("doc_id").collect()
+            assert sorted(r.doc_id for r in after.collect()) == [rows[k].doc_id for k in sorted(set(brute_similar([r.text for r in rows], 0.8)))]
         if k == 2:
             items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert all(h[1] == 0 for h in brute_hits([r.text for r in after.collect()], items))
