@@ -43,7 +43,7 @@ TILE = 1 << 15
 BLOCK = 256
 GROUP_RADIUS, CENTRES, CELLS = 8, 8, 256
 SKETCH_RADIUS = 18
-PART_HASHES = 1 << 21
+PART_HASHES = 1 << 18
 ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -251,10 +251,11 @@ def verified(pdf: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
     sizes = x["n"].astype(np.int64)
     _, words = np.unique(np.frombuffer(b"".join(x["hashes"]), np.uint64), return_inverse=True)
     begins = np.cumsum(sizes) - sizes
-    marked, (_, tree) = np.zeros(len(words) + 1, np.int64), np.unique(x["root"], return_inverse=True)
+    marked, (_, tree) = np.zeros(len(words) + 1, np.int32), np.unique(x["root"], return_inverse=True)
     u, v = [], []
-    for i in range(0, len(one), BLOCK):
-        p, q = near(x, one[i:i + BLOCK], two[i if same else 0:], radius, similarity)
+    blocks = [(i, j) for i in range(0, len(one), BLOCK) for j in range(i if same else 0, len(two), 16 * BLOCK)]
+    for i, j in blocks:
+        p, q = near(x, one[i:i + BLOCK], two[j:j + 16 * BLOCK], radius, similarity)
         order = np.argsort(p, kind="stable")
         p, q = p[order], q[order]
         for k in np.unique(p):
@@ -297,7 +298,7 @@ def similar_links(nodes: DataFrame, rows: DataFrame, *, shingle: int, radius: in
     of_tile = F.element_at(F.array(*[F.lit(parts.get(p, 1)) for p in range(65)]), F.bit_count("fingerprint") + 1)
     nodes = nodes.withColumn("sub", F.pmod(F.xxhash64("node", F.lit("part")), of_tile).cast("int"))
     met = staged(near_nodes(nodes, radius, similarity, tile))
-    needed = nodes.join(met.select("node").distinct(), "node", "left_semi").drop("sub")
+    needed = staged(nodes.join(met.select("node").distinct(), "node", "left_semi").drop("sub"))  # a table of known size: texts stay where they are while it is small
     sets = staged(with_hashes(rows.select("rid", "text").join(needed, "rid"), shingle).drop("rid"))
     other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(61)), lambda k: F.expr("met").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)) != 0)).alias("o")
     sent = met.select("a", "b", "left", "node", "sub", other)
@@ -352,7 +353,7 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle:
     of = lambda k: nodes.select(F.col("node").alias(k), F.col("rid").alias(f"r{k}"), F.col("cells").alias({"u": "left", "v": "right"}[k]))
     named = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "ru", "rv", "left", "right")
     may = staged(named.mapInArrow(possible, "u bigint, v bigint, ru bigint, rv bigint"))
-    needed = may.select(F.explode(F.array("ru", "rv")).alias("rid")).distinct()
+    needed = staged(may.select(F.explode(F.array("ru", "rv")).alias("rid")).distinct())  # a table of known size: texts stay where they are while it is small
     texts = staged(rows.join(needed, "rid", "left_semi").select("rid", "text"))
     text = lambda k: texts.select(F.col("rid").alias(f"r{k}"), F.col("text").alias({"u": "left", "v": "right"}[k]))
     return may.join(text("u"), "ru").join(text("v"), "rv").select("u", "v", "left", "right").mapInArrow(check, "u bigint, v bigint")
