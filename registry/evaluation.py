@@ -19,25 +19,33 @@ REPORT = E.ReportSettings()
 BOOT = 1000
 
 
-def newton_sql(rows: str, whole: bool, steps: int = 12) -> str:
-    """Slope and intercept per (label, kernel) after Newton steps on rows (label, kernel, z, y) up to the fit's tolerance; ``whole``: both numbers, else the slope alone."""
-    now = f"SELECT DISTINCT label, kernel, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, false AS done FROM {rows}"
+def newton_sql(rows: str, whole: bool, steps: int = 20) -> str:
+    """Slope and intercept at the minimum of the log loss on rows (label, kernel, z, t); ``whole``: both numbers, else the slope alone. Rows whose t is NULL have nothing to
+    fit. The minimum is unique, so only the number of digits depends on the number of steps."""
+    now = f"SELECT DISTINCT label, kernel, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {rows}"
     d1, d2 = ("(h11*g0-h01*g1)/(h00*h11-h01*h01)", "(h00*g1-h01*g0)/(h00*h11-h01*h01)") if whole else ("g0/h00", "0.0::DOUBLE")
     for _ in range(steps):
-        now = f"""SELECT label, kernel, CASE WHEN done THEN a ELSE a-least(1.0,5.0/size)*d1 END AS a, CASE WHEN done THEN b ELSE b-least(1.0,5.0/size)*d2 END AS b,
-            done OR greatest(abs(g0),abs(g1))/n<1e-7 OR size<1e-6 AS done
-          FROM (SELECT *, greatest(abs(d1),abs(d2),1e-300::DOUBLE) AS size FROM (SELECT *, {d1} AS d1, {d2} AS d2 FROM (
-            SELECT label, kernel, any_value(a) AS a, any_value(b) AS b, any_value(done) AS done, count(*) AS n, sum((q-y)*z) AS g0, sum(q-y) AS g1,
+        now = f"""SELECT label, kernel, CASE WHEN isfinite(size) THEN a-least(1.0,3.0/size)*d1 ELSE a END AS a, CASE WHEN isfinite(size) THEN b-least(1.0,3.0/size)*d2 ELSE b END AS b
+          FROM (SELECT *, coalesce(greatest(abs(d1),abs(d2),1e-300::DOUBLE),'nan'::DOUBLE) AS size FROM (SELECT *, {d1} AS d1, {d2} AS d2 FROM (
+            SELECT label, kernel, any_value(a) AS a, any_value(b) AS b, sum((q-t)*z) AS g0, sum(q-t) AS g1,
             sum(q*(1-q)*z*z) AS h00, sum(q*(1-q)*z) AS h01, sum(q*(1-q)) AS h11
             FROM (SELECT *, 1/(1+exp(-(a*z+b))) AS q FROM {rows} JOIN ({now}) USING (label, kernel)) GROUP BY 1,2)))"""
-    return now
+    return f"SELECT label, kernel, CASE WHEN a>0 THEN a ELSE 1.0 END AS a, CASE WHEN a>0 THEN b ELSE 0.0 END AS b FROM ({now})"
+
+
+def targets_sql(rows: str, apart: str = "p0>=n1", flat: str = "z0=z1", reverse: str = "p1<=n0") -> str:
+    """Rows (label, kernel, z, y) with the target t of the fit: y, smoothed where the classes are apart, NULL where there is nothing to fit."""
+    return f"""SELECT label, kernel, z, y, CASE WHEN n_pos=0 OR n_pos=n OR {flat} OR {reverse} THEN NULL WHEN NOT ({apart}) THEN y::DOUBLE
+        WHEN y=1 THEN (n_pos+1.0::DOUBLE)/(n_pos+2) ELSE 1.0::DOUBLE/(n-n_pos+2) END AS t
+      FROM ({rows}) JOIN (SELECT label, kernel, count(*) AS n, sum(y)::BIGINT AS n_pos, min(z) AS z0, max(z) AS z1, min(z) FILTER (WHERE y=1) AS p0, max(z) FILTER (WHERE y=1) AS p1,
+        min(z) FILTER (WHERE y=0) AS n0, max(z) FILTER (WHERE y=0) AS n1 FROM ({rows}) GROUP BY 1,2) USING (label, kernel)"""
 
 
 LOGIT_ROWS = "SELECT label, {kernel} AS kernel, ln(q)-ln(1-q) AS z, y FROM (SELECT *, least(greatest(p,1e-6),1-1e-6) AS q FROM {source} WHERE split='val' AND y IS NOT NULL)"
 # predictions as the report sees them: ``p`` calibrated on the validation rows, ``p_raw`` as predicted
 PLATT = {
     "preds_raw": VIEWS_SQL["preds_long"],
-    "logit_rows": LOGIT_ROWS.format(kernel="'*'", source="preds_raw"),
+    "logit_rows": targets_sql(LOGIT_ROWS.format(kernel="'*'", source="preds_raw")),
     "platt": newton_sql("logit_rows", True),
     "preds_long": """SELECT r.* EXCLUDE (p), 1/(1+exp(-(a*(ln(q)-ln(1-q))+b))) AS p, p AS p_raw
       FROM (SELECT *, least(greatest(p,1e-6),1-1e-6) AS q FROM preds_raw) r JOIN platt USING (label)""",
@@ -208,21 +216,30 @@ def _(spark, sf):
     return tidy(P.to_long(X.predictions(spark, sf)).select("volume_id", "label", z.alias("logit"), N.sigmoid(F.lit(1.3) * z - F.lit(0.2)).alias("shifted")))
 
 
-BY_KERNEL = {"logit_rows": f"""{LOGIT_ROWS.format(kernel="'*'", source="preds_long")} UNION ALL {LOGIT_ROWS.format(kernel="kernel_class", source="preds_long")}
-  WHERE kernel_class IN (SELECT kernel_class FROM val_long GROUP BY 1 HAVING count(DISTINCT volume_id)>=20)"""}
+BY_KERNEL = {"logit_rows": targets_sql(f"""{LOGIT_ROWS.format(kernel="'*'", source="preds_long")} UNION ALL {LOGIT_ROWS.format(kernel="kernel_class", source="preds_long")}
+  WHERE kernel_class IN (SELECT kernel_class FROM val_long GROUP BY 1 HAVING count(DISTINCT volume_id)>=20)""")}
 
 
-@reg.add("cl1_platt_fit", f"SELECT label, kernel, {r('a', 'slope', 6)}, {r('b', 'intercept', 6)} FROM ({newton_sql('logit_rows', True, 24)})", BY_KERNEL)
+@reg.add("cl1_platt_fit", f"SELECT label, kernel, {r('a', 'slope', 6)}, {r('b', 'intercept', 6)} FROM ({newton_sql('logit_rows', True)})", BY_KERNEL)
 def _(spark, sf):
     return tidy(C.fit(spark, val(spark, sf), "platt", by_kernel=True, min_volumes=20), 6)
 
 
 @reg.add("cl1_temperature_fit", f"SELECT label, kernel, {r('a', 'slope', 6)}, 0.0::DOUBLE AS intercept FROM ({newton_sql('logit_rows', False)})",
-         {"logit_rows": LOGIT_ROWS.format(kernel="'*'", source="preds_long")})
+         {"logit_rows": targets_sql(LOGIT_ROWS.format(kernel="'*'", source="preds_long"), "p0>=0 AND n1<=0", "z0=0 AND z1=0", "p1<=0 AND n0>=0")})
 def _(spark, sf):
     return tidy(C.fit(spark, val(spark, sf), "temperature"), 6)
 
 
+@reg.add("cl1_platt_optimality", """SELECT label, kernel, CASE WHEN n_pos=0 OR n_pos=n OR z0=z1 OR p1<=n0 THEN 'identity' WHEN p0>=n1 THEN 'smoothed' ELSE 'exact' END AS targets,
+  0.0::DOUBLE AS slope_residual, 0.0::DOUBLE AS intercept_residual
+  FROM (SELECT label, kernel, count(*) AS n, sum(y) AS n_pos, min(z) AS z0, max(z) AS z1, min(z) FILTER (WHERE y=1) AS p0, max(z) FILTER (WHERE y=1) AS p1,
+    min(z) FILTER (WHERE y=0) AS n0, max(z) FILTER (WHERE y=0) AS n1 FROM logit_rows GROUP BY 1,2)""", BY_KERNEL)
+def _(spark, sf):
+    rows = val(spark, sf)
+    return tidy(C.residuals(rows, C.fit(spark, rows, "platt", by_kernel=True, min_volumes=20), "platt", by_kernel=True))
+
+
 @reg.add("cl1_no_calibration", "SELECT DISTINCT label, '*' AS kernel, 1.0::DOUBLE AS slope, 0.0::DOUBLE AS intercept FROM val_long")
 def _(spark, sf):
     return C.identity(val(spark, sf))

@@ -462,3 +462,34 @@ def test_no_failure_is_left_out_of_the_maps(spark):
     log = spark.range(1001).select(F.lit("c").alias("chunk"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("volume_id"), F.lit(True).alias("failed"), F.lit("e").alias("error"))
     maps = IN.failed_maps(log, 100).collect()
     assert len({k for r in maps for k in r.failed}) == 1001 and {r.n_failed for r in maps} == {1001} and max(len(r.failed) for r in maps) < 200
+
+
+def _fit_rows(spark, rows):
+    return spark.createDataFrame([(str(k), "v", p, float(y), "soft") for k, (p, y) in enumerate(rows)], "volume_id string, label string, p double, y double, kernel_class string")
+
+
+@pytest.mark.parametrize("method", ["platt", "temperature"])
+def test_separated_labels_have_one_calibration(spark, method):
+    from scanledger.operators import calibration
+    rows = [(0.1, 0), (0.2, 0), (0.3, 0), (0.4, 0), (0.55, 1), (0.6, 1), (0.9, 1)]
+    fits = [calibration.fit(spark, _fit_rows(spark, rows), method, max_passes=n).first() for n in (30, 60)]
+    assert fits[0] == fits[1] and fits[0].slope > 1
+    z = [math.log(p / (1 - p)) for p, _ in rows]
+    t = [4 / 5 if y else 1 / 6 for _, y in rows]
+    off = [1 / (1 + math.exp(-(fits[0].slope * s + fits[0].intercept))) - want for s, want in zip(z, t)]
+    assert abs(sum(o * s for o, s in zip(off, z))) < 1e-9 and (method == "temperature" or abs(sum(off)) < 1e-9)
+
+
+@pytest.mark.parametrize("rows,why", [([(0.9, 0), (0.8, 0), (0.2, 1)], "reversed"), ([(0.4, 0), (0.4, 1)], "one score"), ([(0.1, 1), (0.9, 1)], "one class"),
+                                      ([(0.5, 0), (0.5, 1), (0.9, 0), (0.1, 1)], "reversed with a tie")])
+def test_nothing_to_calibrate_is_the_identity(spark, rows, why):
+    from scanledger.operators import calibration
+    got = calibration.fit(spark, _fit_rows(spark, rows)).first()
+    assert (got.slope, got.intercept) == (1.0, 0.0), why
+
+
+def test_quasi_separated_label_is_smoothed(spark):
+    from scanledger.operators import calibration
+    rows = _fit_rows(spark, [(0.1, 0), (0.5, 0), (0.5, 1), (0.9, 1)])
+    told = calibration.residuals(rows, calibration.fit(spark, rows), "platt").first()
+    assert told.targets == "smoothed" and abs(told.slope_residual) < 1e-9 and abs(told.intercept_residual) < 1e-9
