@@ -93,13 +93,13 @@ def _(spark, sf):
     return X2.failure_streaks(log, "seq", 3)
 
 
-def streamed(spark, sf, max_chunks=None, runs=1):
+def streamed(spark, sf, max_chunks=None, runs=1, files=5, **options):
     """The chunk log as chunk files in a scratch folder, ingested by the stream; returns the target folder."""
     root = f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
     log = X.chunk_log(spark, sf).select("volume_id", "chunk", "failed", "error", "cached", "event_id")
-    log.repartitionByRange(5, "event_id").drop("event_id").write.parquet(f"{root}/in")
+    log.repartitionByRange(files, "event_id").drop("event_id").write.parquet(f"{root}/in")
     for _ in range(runs):
-        IN.ingest(spark, f"{root}/in", SCHEMA, f"{root}/out", f"{root}/checkpoint", max_chunks=max_chunks)
+        IN.ingest(spark, f"{root}/in", SCHEMA, f"{root}/out", f"{root}/checkpoint", max_chunks=max_chunks, **options)
     return f"{root}/out"
 
 
@@ -108,11 +108,22 @@ def _(spark, sf):
     return IN.read_table(spark, streamed(spark, sf), "accepted").select("volume_id")
 
 
+@reg.add("ing1_batches_of_files", """SELECT 40::BIGINT AS files, 40::BIGINT AS attempts, 1::BIGINT AS most_attempts, 4::BIGINT AS batches, count(DISTINCT volume_id) FILTER (NOT failed) AS volumes,
+  count(*) AS rows FROM chunk_log""")
+def _(spark, sf):
+    """Forty chunk files in four batches."""
+    folder = streamed(spark, sf, files=40, files_per_batch=10)
+    tries = IN.attempts(spark, folder).agg(F.count_distinct("chunk").alias("files"), F.count(F.lit(1)).alias("attempts"), F.max("attempt").alias("most_attempts"))
+    batches = spark.read.parquet(f"{folder}/landed").agg(F.count_distinct("batch").alias("batches"))
+    volumes = IN.read_table(spark, folder, "accepted").agg(F.count(F.lit(1)).alias("volumes"))
+    return tries.join(batches).join(volumes).join(IN.read_table(spark, folder, "outcomes").agg(F.count(F.lit(1)).alias("rows")))
+
+
 @reg.add("ing2_bounded_runs", "SELECT 2::BIGINT AS chunks_tried, 3::BIGINT AS chunks_left, count(DISTINCT volume_id) FILTER (NOT failed) AS volumes FROM chunk_log")
 def _(spark, sf):
     """Two of five chunk files in a first run; the bound shows, and a second run without one takes the rest."""
     folder = streamed(spark, sf, max_chunks=2)
-    tried = spark.read.parquet(f"{folder}/attempts").count()
+    tried = IN.attempts(spark, folder).count()
     root = folder.rsplit("/", 1)[0]
     left = IN.ingest(spark, f"{root}/in", SCHEMA, folder, f"{root}/checkpoint")
     return IN.read_table(spark, folder, "accepted").agg(F.count(F.lit(1)).alias("volumes")).select(

@@ -1,11 +1,16 @@
 """Resumable ingest: every new chunk file exactly once, bad volumes and bad chunks set aside, bounded runs.
 
-A file is a chunk. The stream carries file names, one per micro-batch, and its checkpoint remembers those that were seen. A chunk is read
-inside its batch, so an unreadable one is a failed attempt and not the end of the stream; the next run takes failed chunks first.
-Every chunk overwrites its own folders, so a batch that is replayed after a lost driver or executor, or a chunk that is
-retried, leaves the same rows. Tables under the target, one folder per chunk in each:
+A file is a chunk. A stream of file names, with its checkpoint, notes every file once. Files that were not read yet are then taken in batches of many:
+Spark reads them in parallel, one file in one task, and an unreadable file becomes an error record instead of a failure of the job. A batch is
+*landed* in one write, records of its files and rows of its volumes together. A second stream over the landed rows keeps the accepted volume ids as keyed
+state (``dropDuplicates`` on a RocksDB store, spread over the shuffle partitions) and appends the volumes no file brought before.
 
-* ``accepted``: volumes that no other chunk brought before
+So no batch reads what earlier ones wrote: names and file records are read once a run, volumes never. A run that is killed leaves a batch that is
+landed or not; a landed one is accepted first thing in the next run, as a micro-batch of its own. A failed file is tried again by the next run.
+
+Tables under the target (``read_table``):
+
+* ``accepted``: volumes that no other file brought before; of one batch's rows, that with the least (chunk, file, position)
 * ``failures``: rows that are marked as failed or have no volume
 * ``outcomes``: chunk, volume, failed, cached, error of every row (``chunk_events`` makes one record per chunk of them)
 * ``attempts``: chunk file, attempt, failed, error
@@ -13,94 +18,166 @@ retried, leaves the same rows. Tables under the target, one folder per chunk in
 from __future__ import annotations
 
 import hashlib
+import io
+from collections.abc import Iterator
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import hash32
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 ATTEMPT_SCHEMA = "chunk string, attempt bigint, failed boolean, error string"
+#: Columns of a landed row beside those of the chunk files.
+LANDED = "_file string, _position bigint, _attempt bigint, _file_error string, _first boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FILES_PER_BATCH = 64
 
 
-class _Enough(Exception):
-    """Raised before a batch is touched, so that the batch stays pending."""
-
-
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, *, max_chunks: int | None = None, max_streak: int = 3) -> int:
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, *, max_chunks: int | None = None, max_streak: int = 3,
+           files_per_batch: int = FILES_PER_BATCH) -> int:
     """Run until every chunk file present was tried once, ``max_chunks`` were, or ``max_streak`` failed in a row; returns the number tried.
 
-    Rows have volume_id, chunk, failed, error and cached. Volumes already accepted are not taken again, whichever chunk brings them.
+    Rows have volume_id, chunk, failed, error and cached. Volumes already accepted are not taken again, whichever chunk brings them. Files that
+    failed before come first. Files of a batch behind the last one allowed to fail are not recorded and stay for the next run.
     """
+    note_names(spark, source, target, checkpoint)
+    accept(spark, schema, target, checkpoint)
     tried: list[bool] = []
+    batch: list = []
+
+    def take() -> bool:
+        """Lands and accepts the batch; False at the end of the run."""
+        results = land(spark, [(r.path, r.attempts + 1) for r in batch], schema, target, tried, max_streak)
+        batch.clear()
+        tried.extend(results)
+        accept(spark, schema, target, checkpoint)
+        return not (len(tried) >= max_streak and not any(tried[-max_streak:]))
+
+    for row in waiting(spark, target).toLocalIterator():
+        if max_chunks is not None and len(tried) + len(batch) >= max_chunks:
+            break
+        batch.append(row)
+        if len(batch) >= files_per_batch and not take():
+            return len(tried)
+    if batch:
+        take()
+    return len(tried)
+
+
+def note_names(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+    """Adds the names of new files; a replayed batch writes the same folder."""
+    names = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.parquet").load(source).select("path")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/names/batch={batch_id}")
 
-    def enough() -> bool:
-        return (max_chunks is not None and len(tried) >= max_chunks) or (len(tried) >= max_streak and not any(tried[-max_streak:]))
+    names.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/names").trigger(availableNow=True).start().awaitTermination()
 
-    def attempt(path: str) -> None:
-        error = None
+
+def waiting(spark: SparkSession, target: str) -> DataFrame:
+    """(path, attempts): files to take, those that failed before first."""
+    if not _exists(spark, f"{target}/names"):
+        return spark.createDataFrame([], "path string, attempts bigint")
+    names = spark.read.parquet(f"{target}/names").select("path").distinct()
+    tries = attempts(spark, target).groupBy(F.col("chunk").alias("path")).agg(F.max("attempt").alias("attempts"), F.max_by("failed", "attempt").alias("failed"))
+    left = names.join(tries, "path", "left").filter("attempts IS NULL OR failed")
+    return left.orderBy(F.col("attempts").isNull(), "path").select("path", F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+def read_files(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Rows of the files, and for each file one row without a position that has its error, if any. Columns a file lacks are NULL."""
+    fields = StructType.fromDDL(schema)
+    out = StructType([*fields, *StructType.fromDDL("_file string, _position bigint, _file_error string")])
+    arrow = to_arrow_schema(out)
+
+    def parse(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        n, error = 0, None
         try:
-            take_chunk(spark, path, schema, target)
-        except (PySparkException, Py4JJavaError) as exc:
-            error = str(exc)[:1000]
-        record_attempt(spark, path, target, error)
-        tried.append(error is None)
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        if enough():
-            raise _Enough()
-        for row in batch.collect():  # one name: a batch is one file
-            attempt(row.path)
-
-    for row in failed_chunks(spark, target).toLocalIterator():
-        if enough():
-            return len(tried)
-        attempt(row.chunk)
-    names = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.parquet").option(
-        "maxFilesPerTrigger", 1).load(source).select("path")
-    query = names.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            table = pq.read_table(io.BytesIO(content))
+            columns = [table.column(f.name).cast(arrow.field(f.name).type) if f.name in table.column_names else pa.nulls(len(table), arrow.field(f.name).type) for f in fields]
+            n = len(table)
+        except Exception as exc:  # whatever is wrong with the file is told in its record
+            error = f"{type(exc).__name__}: {exc}"[:1000]
+        if n:
+            columns += [pa.array([path] * n, pa.string()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.string())]
+            yield from pa.Table.from_arrays(columns, schema=arrow).to_batches(max_chunksize=10_000)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, arrow.field(f.name).type) for f in fields], pa.array([path]), pa.nulls(1, pa.int64()), pa.array([error], pa.string())], schema=arrow)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                yield from parse(path.as_py(), content.as_py())
+
+    files = spark.read.format("binaryFile").schema(FILE_SCHEMA).load(paths).select("path", "content")
+    return files.repartition(len(paths)).mapInArrow(each, out)
+
+
+def land(spark: SparkSession, files: list[tuple[str, int]], schema: str, target: str, tried: list[bool], max_streak: int) -> list[bool]:
+    """Reads the files (path, attempt) and writes what they hold and how they went in one table; whether each recorded one was read."""
+    read = read_files(spark, [p for p, _ in files], schema).persist()
     try:
-        query.awaitTermination()
-    except PySparkException as exc:
-        if "_Enough" not in str(exc):
-            raise
-    return len(tried)
+        errors = {r._file: r._file_error for r in read.filter("_position IS NULL").select("_file", "_file_error").collect()}
+        results: list[bool] = []
+        for path, _ in files:
+            results.append(path in errors and errors[path] is None)
+            told = [*tried, *results]
+            if len(told) >= max_streak and not any(told[-max_streak:]):
+                break
+        kept = files[:len(results)]
+        number = F.create_map(*[F.lit(x) for pair in kept for x in pair])
+        rows = read.filter(F.col("_file").isin([p for p, _ in kept])).withColumn("_attempt", number[F.col("_file")].cast("bigint"))
+        best = rows.filter(~bad_row() & F.col("_position").isNotNull()).groupBy(F.col("volume_id").alias("_v")).agg(F.min(F.struct("chunk", "_file", "_position")).alias("_best"))
+        first = F.coalesce((F.col("_best._file") == F.col("_file")) & (F.col("_best._position") == F.col("_position")), F.lit(False))
+        landed = rows.join(best, F.col("volume_id") == F.col("_v"), "left").withColumn("_first", first).drop("_v", "_best")
+        landed = landed.withColumn("_kind", F.when(F.col("_position").isNull(), "file").otherwise("row"))
+        missing = [(p, n) for p, n in kept if p not in errors]  # a file that went away between its listing and its reading
+        if missing:
+            gone = spark.createDataFrame(missing, "_file string, _attempt bigint").withColumn("_file_error", F.lit("the file is gone")).withColumn("_kind", F.lit("file"))
+            landed = landed.unionByName(gone, allowMissingColumns=True)
+        name = hashlib.md5(repr(kept).encode()).hexdigest()
+        landed.write.mode("overwrite").partitionBy("_kind").parquet(f"{target}/landed/batch=b_{name}")
+    finally:
+        read.unpersist()
+    return results
 
 
-def _folder(path: str) -> str:
-    return "file=c_" + hashlib.md5(path.encode()).hexdigest()
+def bad_row():
+    return F.coalesce(F.col("failed") | F.col("volume_id").isNull(), F.lit(True))
 
 
-def take_chunk(spark: SparkSession, path: str, schema: str, target: str) -> None:
-    """Read one chunk file whole and write its folders; nothing is written when the file cannot be read."""
-    rows = spark.read.schema(schema).parquet(path).persist()
+def accept(spark: SparkSession, schema: str, target: str, checkpoint: str) -> None:
+    """Appends the volumes of landed rows that no file brought before. The accepted ids are state of the stream."""
+    if not _exists(spark, f"{target}/landed"):
+        return
+    fields = StructType.fromDDL(schema)
+    whole = StructType([*fields, *StructType.fromDDL(f"{LANDED}, batch string, _kind string")])
+    rows = spark.readStream.schema(whole).parquet(f"{target}/landed").filter((F.col("_kind") == "row") & F.col("_first") & ~bad_row())
+    fresh = rows.select(*fields.names).dropDuplicates(["volume_id"])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
     try:
-        rows.count()
-        bad = F.coalesce(F.col("failed") | F.col("volume_id").isNull(), F.lit(True))
-        rest = [c for c in rows.columns if c not in ("volume_id", "chunk")]
-        fresh = rows.filter(~bad).groupBy("volume_id").agg(F.min(F.struct("chunk", *rest)).alias("r")).select("volume_id", "r.*")
-        others = accepted_elsewhere(spark, target, path)
-        if others is not None:
-            fresh = fresh.join(others.select("volume_id"), "volume_id", "left_anti")
-        for name, table in (("accepted", fresh), ("failures", rows.filter(bad)),
-                            ("outcomes", rows.select("chunk", "volume_id", bad.alias("failed"), "cached", "error"))):
-            table.write.mode("overwrite").parquet(f"{target}/{name}/{_folder(path)}")
+        fresh.writeStream.format("parquet").option("path", f"{target}/accepted").option("checkpointLocation", f"{checkpoint}/accepted").trigger(
+            availableNow=True).start().awaitTermination()
     finally:
-        rows.unpersist()
+        spark.conf.set(key, before)
 
 
-def record_attempt(spark: SparkSession, path: str, target: str, error: str | None) -> None:
-    folder = f"{target}/attempts/{_folder(path)}"
-    number = len(_folders(spark, folder)) + 1
-    spark.createDataFrame([(path, number, error is not None, error)], ATTEMPT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/try={number}")
+def attempts(spark: SparkSession, target: str) -> DataFrame:
+    """One row for each try of a chunk file: chunk, attempt, failed, error."""
+    if not _exists(spark, f"{target}/landed"):
+        return spark.createDataFrame([], ATTEMPT_SCHEMA)
+    landed = spark.read.parquet(f"{target}/landed").filter("_kind = 'file'")
+    return landed.select(F.col("_file").alias("chunk"), F.col("_attempt").alias("attempt"), F.col("_file_error").isNotNull().alias("failed"), F.col("_file_error").alias("error"))
 
 
 def failed_chunks(spark: SparkSession, target: str) -> DataFrame:
     """Chunk files whose last attempt failed, with their failed attempts since the last success."""
-    if not _folders(spark, f"{target}/attempts"):
-        return spark.createDataFrame([], "chunk string, attempts bigint")
-    return failed_attempts(spark.read.parquet(f"{target}/attempts").select("chunk", "attempt", "failed")).orderBy("chunk")
+    return failed_attempts(attempts(spark, target).select("chunk", "attempt", "failed")).orderBy("chunk")
 
 
 def chunk_events(spark: SparkSession, target: str) -> DataFrame:
@@ -108,22 +185,20 @@ def chunk_events(spark: SparkSession, target: str) -> DataFrame:
     return chunk_records(read_table(spark, target, "outcomes"))
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark._jvm.org.apache.hadoop.fs
-    where = jvm.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().toString() for s in fs.listStatus(where)] if fs.exists(where) else []
-
-
-def accepted_elsewhere(spark: SparkSession, target: str, path: str) -> DataFrame | None:
-    """Volumes accepted from other chunks. The chunk itself is left out, so a replay decides the same way."""
-    if not any(_folder(path) not in f for f in _folders(spark, f"{target}/accepted")):
-        return None
-    return spark.read.parquet(f"{target}/accepted").filter(F.concat(F.lit("file="), F.col("file")) != _folder(path))
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_table(spark: SparkSession, target: str, name: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(f"{target}/{name}")
+    """One of the tables of the module's description."""
+    if name == "attempts":
+        return attempts(spark, target)
+    if name == "accepted":
+        return spark.read.option("mergeSchema", True).parquet(f"{target}/accepted")
+    rows = spark.read.option("mergeSchema", True).parquet(f"{target}/landed").filter("_kind = 'row'")
+    own = [c for c in rows.columns if not c.startswith("_") and c != "batch"]
+    return {"failures": rows.filter(bad_row()).select(*own), "outcomes": rows.select("chunk", "volume_id", bad_row().alias("failed"), "cached", "error")}[name]
 
 
 def volume_outcomes(log: DataFrame) -> DataFrame:

@@ -452,6 +452,50 @@ def test_stream_survives_unreadable_chunks(spark, tmp_path):
     assert run(max_streak=3) == 3 and len(failing()) == 3
 
 
+def test_files_of_a_batch_are_read_together_and_nothing_earlier_again(spark, tmp_path, monkeypatch):
+    source, target, mark = (str(tmp_path / d) for d in ("in", "out", "ck"))
+    schema = "volume_id string, chunk string, failed boolean, error string, cached boolean"
+    (tmp_path / "in").mkdir()
+    for k in range(40):
+        if k == 17:
+            (tmp_path / "in" / f"c{k:02}.parquet").write_bytes(b"not a table")
+        else:
+            spark.createDataFrame([(f"v{k}", f"c{k}", False, None, False), (f"v{k // 2}", f"c{k}", False, None, False)], schema).toPandas().to_parquet(tmp_path / "in" / f"c{k:02}.parquet")
+    batches, read = [], IN.read_files
+    monkeypatch.setattr(IN, "read_files", lambda s, paths, t: batches.append(paths) or read(s, paths, t))
+    assert IN.ingest(spark, source, schema, target, mark, files_per_batch=10) == 40
+    assert [len(b) for b in batches] == [10, 10, 10, 10] and len({p for b in batches for p in b}) == 40  # every file once, ten at a time
+    tries = IN.attempts(spark, target).collect()
+    assert len(tries) == 40 and [r.chunk.rsplit("/", 1)[1] for r in tries if r.failed] == ["c17.parquet"]
+    accepted = IN.read_table(spark, target, "accepted").collect()
+    assert sorted(r.volume_id for r in accepted) == sorted({v for k in range(40) if k != 17 for v in (f"v{k}", f"v{k // 2}")})
+    assert IN.ingest(spark, source, schema, target, mark) == 1 and batches[-1] == [r.chunk for r in tries if r.failed]
+
+
+def test_a_killed_run_leads_to_the_same_tables(spark, tmp_path, monkeypatch):
+    schema = "volume_id string, chunk string, failed boolean, error string, cached boolean"
+    (tmp_path / "in").mkdir()
+    for k in range(6):
+        spark.createDataFrame([(f"v{k % 4}", f"c{k}", k == 5, "bad", False)], schema).toPandas().to_parquet(tmp_path / "in" / f"c{k}.parquet")
+    run = lambda name: IN.ingest(spark, str(tmp_path / "in"), schema, str(tmp_path / name), str(tmp_path / f"{name}-mark"), files_per_batch=2)
+    assert run("whole") == 6
+    accept, calls = IN.accept, []
+
+    def killed(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        accept(*args)
+    monkeypatch.setattr(IN, "accept", killed)  # killed after the second batch was landed and before it was accepted
+    with pytest.raises(KeyboardInterrupt):
+        run("cut")
+    monkeypatch.setattr(IN, "accept", accept)
+    assert run("cut") == 2
+    for name in ("accepted", "failures", "outcomes", "attempts"):
+        one, two = (sorted(map(repr, IN.read_table(spark, str(tmp_path / d), name).collect())) for d in ("whole", "cut"))
+        assert one == two, name
+
+
 def test_attempts_start_again_after_a_success(spark):
     rows = [("x", 1, True), ("x", 2, True), ("x", 3, False), ("y", 1, False), ("y", 2, True), ("z", 1, True), ("z", 2, True)]
     got = {r.chunk: r.attempts for r in IN.failed_attempts(spark.createDataFrame(rows, "chunk string, attempt int, failed boolean")).collect()}
