@@ -43,7 +43,7 @@ TILE = 1 << 15
 BLOCK = 256
 GROUP_RADIUS, CENTRES, CELLS = 8, 8, 256
 SKETCH_RADIUS = 18
-PART_HASHES = 1 << 18
+PARTS, PART_HASHES = 62, 1 << 20
 ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -226,8 +226,9 @@ def sides(pdf: pd.DataFrame) -> tuple[dict, np.ndarray, np.ndarray, bool]:
 
 
 def near_nodes(nodes: DataFrame, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
-    """(a, b, left, node, sub, met): the nodes of a pair of tiles that have a candidate in the other one, and in which of its parts (bits of ``met``). A row
-    for each node and pair of tiles at most, however many candidates it has. ``nodes`` has node, fingerprint, sketch, n, root and sub."""
+    """(a, b, left, node, sub, met, ones, others): the nodes of a pair of tiles that have a candidate in the other one, and in which of its ``PARTS`` parts (bits of
+    ``met``); ``ones`` and ``others`` are the population counts of both tiles. A row for each node and pair of tiles at most, however many candidates it has.
+    ``nodes`` has node, fingerprint, sketch, n, root and sub."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, one, two, same = sides(pdf)
@@ -239,10 +240,12 @@ def near_nodes(nodes: DataFrame, radius: int, similarity: float, tile: int = TIL
                 p, q = near(x, mine, two[j:min(j + 16 * BLOCK, high)], radius, similarity)
                 np.bitwise_or.at(met, p, part[q])
                 np.bitwise_or.at(met, q, part[p])
-        return pdf[["a", "b", "left", "node", "sub"]].assign(met=met)[met != 0]
+        ones = np.bitwise_count(x["fingerprint"]).astype(np.int32)
+        others = np.where(pdf["left"], ones[two[0]], ones[one[0]]) if len(one) and len(two) else ones
+        return pdf[["a", "b", "left", "node", "sub"]].assign(met=met, ones=ones, others=others)[met != 0]
 
     met = pairs_of_tiles(nodes.select("node", "fingerprint", "sketch", "n", "root", "sub"), radius, tile, "node")
-    return met.groupBy("a", "b").applyInPandas(compare, "a int, b int, left boolean, node bigint, sub int, met bigint")
+    return met.groupBy("a", "b").applyInPandas(compare, "a int, b int, left boolean, node bigint, sub int, met bigint, ones int, others int")
 
 
 def verified(pdf: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
@@ -291,19 +294,22 @@ def with_hashes(rows: DataFrame, shingle: int) -> DataFrame:
 def similar_links(nodes: DataFrame, rows: DataFrame, *, shingle: int, radius: int, similarity: float, tile: int = TILE, part_hashes: int = PART_HASHES) -> DataFrame:
     """(u, v): forests that join all pairs of candidates with similar sets. ``nodes`` has node, rid, fingerprint, sketch, n and root; ``rows`` has rid and text.
 
-    First the nodes with a candidate are found in each pair of tiles. Tiles are cut into parts of about ``part_hashes`` shingles (62 parts at most), and the
-    hashes of such nodes alone are sent to the pairs of parts where their candidates are; links are checked there."""
-    counts = {r.p: (r.n, r.size) for r in nodes.groupBy(F.bit_count("fingerprint").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size")).collect()}
-    parts = {p: min(62, max(1, -(-size // (-(-n // tile) * part_hashes)))) for p, (n, size) in counts.items()}
-    of_tile = F.element_at(F.array(*[F.lit(parts.get(p, 1)) for p in range(65)]), F.bit_count("fingerprint") + 1)
-    nodes = nodes.withColumn("sub", F.pmod(F.xxhash64("node", F.lit("part")), of_tile).cast("int"))
+    First the nodes with a candidate are found in each pair of tiles. The hashes of such nodes alone are sent to the pairs of tiles, and where a tile has more than
+    ``part_hashes`` of them, to the pairs of its parts (``PARTS`` at most) where their candidates are; links are checked there."""
+    nodes = nodes.withColumn("sub", F.pmod(F.xxhash64("node", F.lit("part")), F.lit(PARTS)).cast("int"))
     met = staged(near_nodes(nodes, radius, similarity, tile))
-    needed = staged(nodes.join(met.select("node").distinct(), "node", "left_semi").drop("sub"))  # a table of known size: texts stay where they are while it is small
-    sets = staged(with_hashes(rows.select("rid", "text").join(needed, "rid"), shingle).drop("rid"))
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(61)), lambda k: F.expr("met").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)) != 0)).alias("o")
-    sent = met.select("a", "b", "left", "node", "sub", other)
-    first = F.when(F.col("a") == F.col("b"), F.least("sub", "o")).when(F.col("left"), F.col("sub")).otherwise(F.col("o"))
-    keyed = sent.select("a", "b", first.alias("x"), (F.col("sub") + F.col("o") - first).alias("y"), "left", "node").join(sets, "node")
+    needed = staged(nodes.join(met.select("node").distinct(), "node", "left_semi").drop("sub"))
+    texts = rows.select("rid", "text").join(staged(needed.select("rid")), "rid", "left_semi")  # a table of known size: texts stay where they are while it is small
+    sets = staged(with_hashes(texts, shingle).join(needed, "rid").drop("rid"))
+    # at most 65 rows: hashes of needed nodes by population count, and how many tiles they are in
+    sizes = {r.p: r.size for r in needed.groupBy(F.bit_count("fingerprint").alias("p")).agg(F.sum("n").alias("size")).collect()}
+    tiles = {r.p: -(-r.n // tile) for r in nodes.groupBy(F.bit_count("fingerprint").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.array(*[F.lit(min(PARTS, max(1, -(-sizes.get(p, 0) // (tiles.get(p, 1) * part_hashes))))) for p in range(65)])
+    coarse = lambda sub, ones: F.floor(sub * F.element_at(parts, F.col(ones) + 1) / PARTS).cast("int")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.col("met").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)) != 0)
+    sent = met.select("a", "b", "left", "node", coarse(F.col("sub"), "ones").alias("mine"), F.explode(F.array_distinct(F.transform(bits, lambda k: coarse(k, "others")))).alias("o"))
+    first = F.when(F.col("a") == F.col("b"), F.least("mine", "o")).when(F.col("left"), F.col("mine")).otherwise(F.col("o"))
+    keyed = sent.select("a", "b", first.alias("x"), (F.col("mine") + F.col("o") - first).alias("y"), "left", "node").distinct().join(sets, "node")
     return keyed.groupBy("a", "b", "x", "y").applyInPandas(lambda pdf: verified(pdf.drop(columns=["x", "y"]), radius, similarity), "u bigint, v bigint")
 
 
