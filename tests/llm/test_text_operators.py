@@ -1,4 +1,5 @@
 """Text operators against brute force, held-out accuracy and the defined results for awkward input."""
+import itertools
 import math
 import random
 import re
@@ -190,6 +191,79 @@ def test_quality_scores(spark):
     assert {r.score for r in quality_classifier.score(documents(spark), none).collect()} == {0.5}
 
 
+def plain_types(text):
+    """(type, shape) of each token of a text by a loop over its bytes."""
+    raw, m = (text or "").encode(), (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+        return h ^ h >> 31
+
+    def kind(b):
+        return 0 if b == 32 or 9 <= b <= 13 else 2 if 48 <= b <= 57 else 1 if b >= 128 or chr(b).isalpha() else 3
+
+    found = []
+    for k, run in itertools.groupby(raw, kind):
+        run = bytes(run)
+        if k:
+            lower = run.lower()
+            h = mixed(sum((b + 1) * pow(0x9E3779B97F4A7C55, i, 1 << 64) for i, b in enumerate(lower)) + len(run) & m)
+            upper, small = sum(65 <= b <= 90 for b in run), sum(97 <= b <= 122 for b in run)
+            capitals = 0 if not upper else 2 if not small and len(run) > 1 else 1
+            found.append((mixed(h) if capitals == 2 else h, ((k - 1) * 3 + capitals) * 6 + min(len(run).bit_length() - 1, 5), k))
+    out = []
+    for i, (h, shape, k) in enumerate(found):
+        again = i and found[i - 1][0] == h or i > 1 and k == 1 and found[i - 2][0] == h
+        out.append((quality_classifier.TYPES, quality_classifier.REPEAT) if again else (h >> 48, shape))
+    return out
+
+
+def test_word_contexts_equal_brute_force(spark, given):
+    texts = [r[1] for r in AWKWARD] + [r.text for r in given][:60]
+    index = quality_classifier.index_vectors(np.arange(quality_classifier.TYPES + 1)).astype(int)
+    times, sums = Counter(), {}
+    for text in texts:
+        types = [t for t, _ in plain_types(text)]
+        for i, t in enumerate(types):
+            times[t] += 1
+            sums[t] = sums.get(t, 0) + sum(index[types[j]] for j in range(max(0, i - 2), min(len(types), i + 3)) if j != i)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {r.type: (r.times, [r[f"c{k}"] for k in range(64)]) for r in quality_classifier.contexts(docs).collect()}
+    assert got == {t: (n, list(sums[t]) if n and not np.isscalar(sums[t]) else [0] * 64) for t, n in times.items()}
+    assert quality_classifier.contexts(empty(spark)).isEmpty()
+
+
+def test_quality_scores_equal_brute_force(spark, given):
+    """The network's answer to a text, token by token, from the word vectors and the layers."""
+    rows = [*AWKWARD, *[(r.doc_id, r.text, None, None) for r in given][:60]]
+    model = quality_classifier.train([(r.text, str(r.doc_id % 2)) for r in given])
+    got = quality_classifier.score(documents(spark, rows), model).select("text", F.col("score").cast("double")).collect()
+    expect = {}
+    for _, text, *_ in rows:
+        pairs = plain_types(text)
+        hidden = [max(0.0, sum(float(model.words[t][k]) + float(model.shapes[s][k]) for t, s in pairs) / max(1, len(pairs)) + model.first_bias[k]) for k in range(24)]
+        logit = (sum(h * w for h, w in zip(hidden, model.second)) + model.bias) / model.temperature
+        expect[text] = 1 / (1 + math.exp(-min(50, max(-50, logit))))
+    assert len(got) == len(rows) and all(abs(r.score - expect[r.text]) < 1e-5 for r in got)
+
+
+def test_languages_equal_brute_force(spark, given):
+    """Averages of table rows over the subwords of a text, one by one, and the softmax of their scores."""
+    model = language_id.train([(t, n) for n, t in (("en", "the man and the house"), ("de", "der Mann und das Haus"), ("fr", "la maison et le jardin")) for _ in range(20)])
+    texts = ["", "a", "ab", "The Man", "Haus \U0001f600 é", *[r.text for r in given][:20]]
+    got = model.probabilities(*language_id.text_bytes(language_id.pa.array(texts)))
+    for text, found in zip(texts, got):
+        raw, total, n = text.encode().lower(), np.zeros(3), 0
+        for size in (2, 3, 4):
+            for i in range(len(raw) - size + 1):
+                value = int.from_bytes(raw[i:i + size], "little")
+                total += model.table[(value * 2654435761 + size * 40503 & 0xFFFFFFFF) >> 18]
+                n += 1
+        e = np.exp((total / max(1, n) + model.bias) / model.temperature)
+        assert np.allclose(found, e / e.sum(), atol=1e-5)
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out")
