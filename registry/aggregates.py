@@ -55,10 +55,17 @@ def _(spark, sf):
     return tidy(B.scanner_dependence(long(spark, sf), "manufacturer", 5))
 
 
-@reg.add("ag6_scanner_p_value")
+# the tail probability by Simpson's rule over the density of the root, u^(dof - 1) e^(-u^2)
+TAIL = f"""{CHI}, s AS (SELECT label, sum(power(pos-n*tp/tn,2)/nullif(n*tp/tn,0)+power((n-pos)-n*(tn-tp)/tn,2)/nullif(n*(tn-tp)/tn,0)) AS chi2, (max(k)-1)::BIGINT AS dof FROM t GROUP BY 1),
+  q AS (SELECT label, 1-2/gamma(any_value(dof)/2.0::DOUBLE)*sum((CASE WHEN i IN (0,4000) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)*power(sqrt(chi2/2)*i/4000,dof-1)*exp(-power(sqrt(chi2/2)*i/4000,2)))
+    *sqrt(any_value(chi2)/2)/12000 AS p_value FROM s, range(4001) x(i) WHERE dof>0 GROUP BY 1)"""
+
+
+@reg.add("ag6_scanner_p_value", f"""{TAIL} SELECT label, {r('chi2', 'chi2')}, dof, {r('p_value', 'p_value')}, {r('spread', 'spread')}, CASE WHEN p_value<0.001 AND spread>=0.05 THEN 'depends on scanner' ELSE '' END AS flag
+  FROM s LEFT JOIN q USING (label) JOIN ({SPREAD.replace('40', '5')}) USING (label)""")
 def _(spark, sf):
     data = long(spark, sf)
-    return B.flag_dependence(B.with_p_value(B.scanner_dependence(data, "manufacturer", 5)), B.prevalence_spread(data, "manufacturer", 5))
+    return tidy(B.flag_dependence(B.with_p_value(B.scanner_dependence(data, "manufacturer", 5)), B.prevalence_spread(data, "manufacturer", 5)))
 
 
 @reg.add("ag7_skipped_by_scanner", f"""SELECT manufacturer, count(*) FILTER (NOT has) AS skipped, count(*) AS of_scans, {r('100.0::DOUBLE*count(*) FILTER (NOT has)/count(*)', 'percent')} FROM

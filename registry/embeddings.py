@@ -104,6 +104,16 @@ def _(spark, sf):
     return PR.linear_probe(spark, d.filter("NOT test"), d.filter("test"), ["third", "low"], C=0.1, weighted=True)
 
 
+@reg.add("em7_score_equations", """SELECT label, place::BIGINT AS place, 0.0::DOUBLE AS slope FROM (VALUES ('third'), ('low')) l(label), range((SELECT len(any_value(embedding))+1 FROM embeddings)) p(place)""")
+def _(spark, sf):
+    return tidy(PR.score_equations(labelled(spark, sf).filter("NOT test"), ["third", "low"]))
+
+
+@reg.add("em8_score_equations", """SELECT label, place::BIGINT AS place, 0.0::DOUBLE AS slope FROM (VALUES ('third'), ('low')) l(label), range((SELECT len(any_value(embedding))+1 FROM embeddings)) p(place)""")
+def _(spark, sf):
+    return tidy(PR.score_equations(labelled(spark, sf).filter("NOT test"), ["third", "low"], C=0.1, weighted=True))
+
+
 # a fixed small attention model: weights follow a rule so that both engines can state them
 def wave(i, j, scale):
     return ((i * 7 + j * 3) % 11 - 5) * scale

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import count_if, ratio
+from ..functions.numeric import chi_square_tail, count_if, ratio
 from .ordering import quantiles
 
 
@@ -70,8 +70,7 @@ def scanner_dependence(long: DataFrame, group: str, min_rows: int = 30) -> DataF
 
 def with_p_value(dependence: DataFrame) -> DataFrame:
     """Adds the chi-square tail probability (one row per label)."""
-    tail = F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("regularizedGammaQ"), F.col("dof") / F.lit(2.0), F.col("chi2") / F.lit(2.0))
-    return dependence.withColumn("p_value", F.when(F.col("dof") > 0, tail.cast("double")))
+    return dependence.withColumn("p_value", chi_square_tail(F.col("chi2"), F.col("dof")))
 
 
 def flag_dependence(dependence: DataFrame, spread: DataFrame, max_p: float = 0.001, min_spread: float = 0.05) -> DataFrame:

@@ -537,3 +537,41 @@ def test_quasi_separated_label_is_smoothed(spark):
     rows = _fit_rows(spark, [(0.1, 0), (0.5, 0), (0.5, 1), (0.9, 1)])
     told = calibration.residuals(rows, calibration.fit(spark, rows), "platt").first()
     assert told.targets == "smoothed" and abs(told.slope_residual) < 1e-9 and abs(told.intercept_residual) < 1e-9
+
+
+def test_chi_square_tail_equals_closed_forms(spark):
+    """Even degrees by the Poisson sum, odd ones by erfc and its recurrence."""
+
+    from scanledger.functions.numeric import chi_square_tail
+
+    def tail(chi2, dof):
+        x = chi2 / 2
+        if dof % 2 == 0:
+            return sum(math.exp(k * math.log(x) - x - math.lgamma(k + 1)) for k in range(dof // 2))
+        return math.erfc(math.sqrt(x)) + sum(math.exp((k - 0.5) * math.log(x) - x - math.lgamma(k + 0.5)) for k in range(1, (dof + 1) // 2))
+
+    cases = [(float(c), d) for d in (1, 2, 3, 4, 7, 30, 101, 400) for c in (1e-6, 0.3, 1, d - 0.5, d + 1, d + 2.5, 2 * d + 3, 5 * d + 20)]
+    got = spark.createDataFrame(cases, "chi2 double, dof bigint").select("chi2", "dof", chi_square_tail(F.col("chi2"), F.col("dof")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(tail(r.chi2, r.dof), rel=1e-8, abs=1e-11), r
+    edge = spark.createDataFrame([(0.0, 3), (2.0, 0), (None, 2)], "chi2 double, dof bigint").select(chi_square_tail(F.col("chi2"), F.col("dof")).alias("p")).collect()
+    assert [r.p for r in edge] == [1.0, None, None]
+
+
+def test_probes_of_all_targets_equal_single_ones(spark):
+    """Fitted together, with gaps in the labels, every target is the minimum that a fit of its own has; jobs do not grow with targets."""
+    draw = random.Random(5)
+    rows = []
+    for _ in range(300):
+        x = [draw.gauss(0, 1 + k) for k in range(4)]
+        ys = [float(x[0] + draw.gauss(0, 1) > 0), None if draw.random() < 0.2 else float(x[1] - x[2] > draw.gauss(0, 3)), 1.0, None]
+        rows.append((x + [7.0], ys))
+    df = spark.createDataFrame(rows, "emb array<double>, ys array<double>").repartition(3)
+    together = PR.fit_probes(df, 0.5, weighted=True)
+    assert together[2].beta is None and (together[3].n, together[3].beta) == (0, None)
+    for t in (0, 1):
+        alone = PR.fit_probes(df.select("emb", F.array(F.col("ys")[t]).alias("ys")), 0.5, weighted=True)[0]
+        assert together[t].beta == pytest.approx(alone.beta, abs=1e-8) and together[t].beta[5] == 0
+    named = df.select("emb", F.col("ys")[0].alias("label_a"), F.col("ys")[1].alias("label_b"))
+    assert all(abs(r.slope) < 1e-6 for r in PR.score_equations(named, ["a", "b"], C=0.5, weighted=True).collect())
+    assert PR.fit_probes(df.limit(0), 0.5) == {}
