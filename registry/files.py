@@ -4,11 +4,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.errors import AnalysisException
 
+from scanledger.checks import CheckFailed
 from scanledger.functions import ids as I
 from scanledger.operators import manifest as M
-from scanledger.sources import experiments as SE, readers as SR, writers as SW
+from scanledger.sources import experiments as SE, raw as SX, readers as SR, writers as SW
 from scanledger.staging import shared_folder
 
 from . import Registry, fixtures as X
@@ -74,23 +74,29 @@ def _(spark, sf):
     return SR.read_sidecars(spark, root, one_per_file=False).select("volume_id", "fingerprint", "stats.n_slices", "loader_checks.z_uniform")
 
 
-@reg.add("src8_file_type_sniff", "SELECT path, CASE WHEN regexp_matches(lower(path),'\\.nii(\\.gz)?$') THEN 'nifti' WHEN path LIKE '%.dcm' OR (path LIKE '%/s2' AND length%2=0) THEN 'dicom' ELSE 'other' END AS kind FROM files")
+# every page as a file: four kinds of name, and a name without a suffix whose content tells
+PAGE_FILE = ("split_part(split_part(url,'://',2),'/',1)||'/'||page_id||CASE page_id%5 WHEN 0 THEN '.nii.gz' WHEN 1 THEN '.dcm' WHEN 2 THEN '' WHEN 3 THEN '.tar.gz' ELSE '.NII' END")
+
+
+@reg.add("src8_file_type_sniff", f"""SELECT {PAGE_FILE} AS path, octet_length(encode(coalesce(html,'')))+CASE WHEN page_id%5=2 AND page_id%2=0 THEN 132 ELSE 0 END AS length,
+  CASE WHEN page_id%5 IN (0,4) THEN 'nifti' WHEN page_id%5=1 OR (page_id%5=2 AND page_id%2=0) THEN 'dicom' ELSE 'other' END AS kind FROM pages""")
 def _(spark, sf):
-    head = F.concat(F.repeat(F.lit(" "), 128), F.when(F.col("length") % 2 == 0, "DICM").otherwise("none"))
-    return SR.sniff_types(X.files(spark, sf).withColumn("content", F.encode(head, "utf-8"))).select("path", "kind")
+    root, page = folder(spark, "sniff"), F.col("page_id")
+    head = F.when((page % 5 == 2) & (page % 2 == 0), F.concat(F.repeat(F.lit(" "), 128), F.lit("DICM"))).otherwise("")
+    SX.write_files(X.table(spark, sf, "pages").select(F.expr(PAGE_FILE).alias("path"), F.encode(F.concat(head, F.coalesce("html", F.lit(""))), "utf-8").alias("content")), root)
+    return SR.sniff_types(SR.read_inventory(spark, root, uri=True)).select("path", "length", "kind")
 
 
 def write_runs(spark, sf, root):
     """One folder per run with its config, record, curves, validation metrics and one evaluation."""
     rows = X.curves(spark, sf).select("run_id", "config", "seed", "epoch", "val_loss", "lr")
-    here = root.removeprefix("file:")
 
-    def write(pdf):
+    def files(pdf):
         import json
-        import os
+
+        import pandas as pd
         run, cfg, seed = pdf["run_id"].iloc[0], int(pdf["config"].iloc[0]), int(pdf["seed"].iloc[0])
-        folder = f"{here}/exp/{cfg:08d}/seed{seed}"
-        files = {"config.yaml": f"name: exp\nseed: {seed}\noptim:\n  lr: 0.001\n  max_epochs: {50 + cfg}\ndata:\n  source: s\n  run: r\n",
+        texts = {"config.yaml": f"name: exp\nseed: {seed}\noptim:\n  lr: 0.001\n  max_epochs: {50 + cfg}\ndata:\n  source: s\n  run: r\n",
                  "run_info.json": json.dumps({"run_id": run, "config_hash": f"{cfg:08d}ffff", "status": "finished" if seed % 5 else "running", "best_epoch": 3}),
                  "val_metrics.json": json.dumps({"macro_auroc": float(pdf["val_loss"].min()), "n_volumes": 10}),
                  "metrics.csv": pdf.sort_values("epoch")[["epoch", "val_loss", "lr"]].to_csv(index=False),
@@ -98,13 +104,9 @@ def write_runs(spark, sf, root):
                  "clinical/s__r__test/scorecard.json": json.dumps({"run_id": run, "name": "exp", "seed": str(seed), "members": 1, "eval": "s__r__test", "reported": "2024", "headline": {"n": float(seed)}}),
                  "clinical/s__r__test/per_label.csv": "group_by,group,label,auroc\nall,all,quality,0.5\nall,all,toxic,0.25\n",
                  "clinical/s__r__test/gate.csv": "label,status\nquality,supported\n"}
-        for name, text in files.items():
-            os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
-            with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
-                f.write(text)
-        return pdf[["run_id"]].head(1)
+        return pd.DataFrame([(f"exp/{cfg:08d}/seed{seed}/{name}", text.encode()) for name, text in texts.items()], columns=["path", "content"])
 
-    rows.groupBy("run_id").applyInPandas(write, "run_id string").count()
+    SX.write_files(rows.groupBy("run_id").applyInPandas(files, "path string, content binary"), root)
 
 
 RUN_ROWS = "(SELECT run_id, min(config) AS config, min(seed) AS seed, min(val_loss) AS lo, max(val_loss) AS hi FROM curves GROUP BY 1)"
@@ -143,20 +145,31 @@ def _(spark, sf):
     path, f = folder(spark, "worklist"), X.findings(spark, sf).select("volume_id", "split")
     SW.write_once(f, path)
     try:
-        SW.write_once(f, path)
+        SW.write_once(f.limit(0), path)
         refused = False
-    except AnalysisException:
+    except CheckFailed:
         refused = True
     return spark.read.parquet(path).withColumn("refused", F.lit(refused))
 
 
-@reg.add("snk2_ledger_append", "SELECT volume_id, label_quality, NULL::DOUBLE AS label_toxic FROM findings WHERE volume_id::INT%2=0 UNION ALL SELECT volume_id, NULL, label_toxic FROM findings WHERE volume_id::INT%2=1")
-def _(spark, sf):
+def ledger(spark, sf) -> str:
+    """Two writers' batches with different columns; the first batch is sent again, in other rows, which changes nothing."""
     path, f = folder(spark, "ledger"), X.findings(spark, sf)
     even = F.col("volume_id").cast("int") % 2 == 0
-    SW.append_ledger(f.filter(even).select("volume_id", "label_quality"), path)
-    SW.append_ledger(f.filter(~even).select("volume_id", "label_toxic"), path)
-    return SW.read_ledger(spark, path).select("volume_id", "label_quality", "label_toxic")
+    SW.append_ledger(f.filter(even).select("volume_id", "label_quality"), path, "1/2", "even")
+    SW.append_ledger(f.filter(~even).select("volume_id", "label_toxic"), path, "1/2", "odd")
+    SW.append_ledger(f.select("volume_id", "label_quality"), path, "1/2", "even")
+    return path
+
+
+@reg.add("snk2_ledger_append", "SELECT volume_id, label_quality, NULL::DOUBLE AS label_toxic FROM findings WHERE volume_id::INT%2=0 UNION ALL SELECT volume_id, NULL, label_toxic FROM findings WHERE volume_id::INT%2=1")
+def _(spark, sf):
+    return SW.read_ledger(spark, ledger(spark, sf)).select("volume_id", "label_quality", "label_toxic")
+
+
+@reg.add("snk2_ledger_batches", "SELECT CASE WHEN volume_id::INT%2=0 THEN 'even' ELSE 'odd' END AS _writer, '1/2' AS _batch, count(*) AS n_rows FROM findings GROUP BY 1,2")
+def _(spark, sf):
+    return SW.read_ledger(spark, ledger(spark, sf), provenance=True).groupBy("_writer", "_batch").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @reg.add("snk3_store_roundtrip", "SELECT volume_id, count(*) AS n FROM slices WHERE volume_id::INT%7>0 GROUP BY 1")

@@ -159,10 +159,9 @@ def is_dicom_name(path: Column) -> Column:
     return file_suffix(path).isin(*DICOM_SUFFIXES)
 
 
-def is_dicom_file(path: Column, content: Column) -> Column:
-    """By suffix, or without one by the marker at byte 129."""
-    marker = F.substring(content, 129, 4) == F.lit("DICM").cast("binary")
-    return is_dicom_name(path) | ((file_suffix(path) == "") & F.coalesce(marker, F.lit(False)))
+def has_dicom_marker(content: Column) -> Column:
+    """The marker at byte 129, for files whose name does not tell; False for NULL."""
+    return F.coalesce(F.substring(content, 129, 4) == F.lit("DICM").cast("binary"), F.lit(False))
 
 
 def is_nifti_name(path: Column) -> Column:

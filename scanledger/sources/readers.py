@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..checks import CheckFailed
-from ..functions.ids import (ARCHIVE_SUFFIX, archive_chunk_id, is_dicom_file, is_dicom_name, is_nifti_name, strip_nifti_ext)
+from ..functions.ids import (ARCHIVE_SUFFIX, archive_chunk_id, file_suffix, has_dicom_marker, is_dicom_name, is_nifti_name, strip_nifti_ext)
+from .raw import heads
+
+HEAD_BYTES = 132  # the marker ends here
 
 METADATA_SCHEMA = ("VolumeName string, Manufacturer string, ConvolutionKernel string, SeriesDescription string, Rows string, Columns string, "
                    "NumberofSlices string, XYSpacing string, ZSpacing string, RescaleSlope string, RescaleIntercept string")
@@ -76,11 +79,14 @@ def read_sidecars(spark: SparkSession, path: str, one_per_file: bool = True) ->
     return df.filter(readable).select("volume_id", *[c for c in df.columns if c not in ("volume_id", "_corrupt_record")])
 
 
-def read_inventory(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Every file below ``root``: relative path and length; ``content`` only when a type must be sniffed."""
+def read_inventory(spark: SparkSession, root: str, uri: bool = False) -> DataFrame:
+    """Every file below ``root``: relative path and length, without reading any; ``uri`` adds where each lies.
+
+    Empty files and files or folders whose names start with a dot or an underscore are left out, as by all of Spark's readers.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", r"^.*?" + _escaped(root.rstrip("/")) + "/", "")
-    return df.select(rel.alias("path"), F.col("length").cast("bigint").alias("length"), *(["content"] if content else []))
+    return df.select(rel.alias("path"), F.col("length").cast("bigint").alias("length"), *([F.col("path").alias("uri")] if uri else []))
 
 
 def _escaped(text: str) -> str:
@@ -89,9 +95,19 @@ def _escaped(text: str) -> str:
 
 
 def sniff_types(files: DataFrame) -> DataFrame:
-    """``dicom``, ``nifti`` or ``other`` per file, by suffix and marker bytes."""
-    return files.withColumn("kind", F.when(is_nifti_name(F.col("path")), "nifti").when(
-        is_dicom_file(F.col("path"), F.col("content")), "dicom").otherwise("other")).drop("content")
+    """``dicom``, ``nifti`` or ``other`` per file of ``read_inventory(uri=True)``, by suffix and marker bytes.
+
+    Only files without a suffix are opened, and only their first bytes are read, file by file in Arrow batches; all
+    others are told by their names. ``uri`` is dropped, all other columns stay. A file that is gone by then is ``other``.
+    """
+    path = F.col("path")
+    suffix = file_suffix(path)
+    named = files.filter((suffix != "") | suffix.isNull()).withColumn(
+        "kind", F.when(is_nifti_name(path), "nifti").when(is_dicom_name(path), "dicom").otherwise("other"))
+    bare = files.filter(suffix == "")
+    schema = T.StructType([*bare.schema.fields, T.StructField("head", T.BinaryType())])
+    opened = bare.mapInArrow(heads(HEAD_BYTES), schema).withColumn("kind", F.when(has_dicom_marker(F.col("head")), "dicom").otherwise("other")).drop("head")
+    return named.unionByName(opened).drop("uri")
 
 
 def folder_of(path: Column) -> Column:

@@ -2,6 +2,7 @@
 import hashlib
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -363,11 +364,40 @@ def test_probes(spark):
 
 
 # ---------------------------------------------------------------- files and stream
-def test_write_once_and_ledger(spark, tmp_path):
-    df = spark.range(3)
-    SW.write_once(df, str(tmp_path / "w"))
-    with pytest.raises(Exception):
-        SW.write_once(df, str(tmp_path / "w"))
+def test_write_once_leaves_one_of_two_writers(spark, tmp_path):
+    path = str(tmp_path / "w")
+    with ThreadPoolExecutor(4) as pool:
+        runs = [pool.submit(SW.write_once, spark.range(k, k + 1), path) for k in range(4)]
+    lost = [r for r in runs if r.exception() is not None]
+    assert len(lost) == 3 and all(isinstance(r.exception(), CheckFailed) for r in lost)
+    assert [r.id for r in spark.read.parquet(path).collect()] == [next(k for k, r in enumerate(runs) if r.exception() is None)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["w"]  # the losers' folders are gone
+
+
+def test_ledger_replay_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert SW.append_ledger(spark.range(3), path, "a b/1") and not SW.append_ledger(spark.range(9), path, "a b/1")
+    assert SW.append_ledger(spark.range(5, 7).withColumn("extra", F.lit(1)), path, "a b/1", "other=%é")
+    assert SW.append_ledger(spark.range(0), path, "empty")
+    assert sorted((r.id, r.extra) for r in SW.read_ledger(spark, path).collect()) == [(0, None), (1, None), (2, None), (5, 1), (6, 1)]
+    assert {(r._writer, r._batch) for r in SW.read_ledger(spark, path, provenance=True).collect()} == {("main", "a b/1"), ("other=%é", "a b/1")}
+    assert SW.committed(spark, path) == {("main", "a b/1"), ("other=%é", "a b/1"), ("main", "empty")}
+    with pytest.raises(CheckFailed):
+        SW.append_ledger(spark.range(1).withColumnRenamed("id", "_batch"), path, "clash")
+
+
+def test_ledger_takes_writers_at_once_and_skips_killed_ones(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    spark.range(100, 200).write.parquet(f"{path}/.attempt-killed")  # a writer that ended before its rename
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda k: SW.append_ledger(spark.range(k, k + 1), path, str(k % 4)), range(8)))
+    assert sum(won) == 4 and SW.read_ledger(spark, path).count() == 4
+    assert sorted(r.id % 4 for r in SW.read_ledger(spark, path).collect()) == [0, 1, 2, 3]
+
+
+def test_failed_publication_is_an_error(spark, tmp_path):
+    with pytest.raises(OSError):
+        SW.publish(spark, str(tmp_path / "never written"), str(tmp_path / "t"))
 
 
 def test_first_label_row_wins_in_file_order(spark, tmp_path):
@@ -395,13 +425,31 @@ def test_sidecars_by_file_name(spark, tmp_path):
     assert [(r.volume_id, r.stats.n_slices) for r in rows] == [("v1", 3)]
 
 
-def test_dicom_marker(spark, tmp_path):
+def test_file_types_without_reading_whole_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "noext").write_bytes(b"\0" * 128 + b"DICM")
-    (tmp_path / "sub" / "other").write_bytes(b"\0" * 140)
-    (tmp_path / "sub" / "a.DCM").write_bytes(b"x")
-    got = {r.path: r.kind for r in SR.sniff_types(SR.read_inventory(spark, str(tmp_path), content=True)).collect()}
-    assert got == {"sub/noext": "dicom", "sub/other": "other", "sub/a.DCM": "dicom"}
+    marked = b"\0" * 128 + b"DICM"
+    for name, content in {"noext": marked, "other": b"\0" * 140, "a.DCM": b"x", "empty": b"", "short": marked[:131], "v.nii.gz": marked, "odd #1 %41 name": marked}.items():
+        (tmp_path / "sub" / name).write_bytes(content)
+    with open(tmp_path / "huge", "wb") as f:  # more than a row could hold, so it cannot have been read
+        f.write(marked)
+        f.truncate(3 << 30)
+    files = SR.read_inventory(spark, str(tmp_path), uri=True)
+    got = {r.path: r.kind for r in SR.sniff_types(files).collect()}
+    assert got == {"sub/noext": "dicom", "sub/other": "other", "sub/a.DCM": "dicom", "sub/short": "other", "sub/v.nii.gz": "nifti",
+                   "sub/odd #1 %41 name": "dicom", "huge": "dicom"}
+
+
+def test_only_heads_of_files_without_a_suffix_are_opened(spark, tmp_path):
+    """Bytes read are counted where the files are opened; a file that is gone since the listing is no error."""
+    import pyarrow as pa
+
+    from scanledger.sources.raw import heads
+    (tmp_path / "big").write_bytes(b"a" * 1_000_000)
+    batch = pa.RecordBatch.from_pydict({"uri": [f"file:{tmp_path}/big", f"file:{tmp_path}/gone"]})
+    out = next(heads(SR.HEAD_BYTES)(iter([batch])))
+    assert [None if h is None else len(h) for h in out.column("head").to_pylist()] == [132, None]
+    gone = spark.createDataFrame([("x.dcm", "file:/nowhere/x.dcm"), ("x", "file:/nowhere/x"), (None, None)], "path string, uri string")
+    assert {r.path: r.kind for r in SR.sniff_types(gone).collect()} == {"x.dcm": "dicom", "x": "other", None: "other"}
 
 
 def test_stream_resumes_and_never_repeats(spark, tmp_path):
