@@ -74,9 +74,26 @@ def _(spark, sf):
     return tidy(E.neighbour_cosine(sl(spark, sf)))
 
 
-@reg.add("em5_pca_scores")
-def _(spark, sf):
-    return PR.pca_scores(E.mean_embeddings(sl(spark, sf)))[0]
+def pca_sql(squarings: int = 14) -> str:
+    """Scores on the two leading components, by squaring the covariance matrix until one direction is left. The greatest diagonal entry of that
+    matrix belongs to the greatest loading, whose column has it positive."""
+    def leading(name: str, matrix: str) -> str:
+        steps = [f"{name}_0 AS MATERIALIZED (SELECT i, j, c/sum(c) FILTER (i=j) OVER () AS c FROM {matrix})"]
+        for k in range(squarings):
+            steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT i, j, c/sum(c) FILTER (i=j) OVER () AS c FROM (SELECT a.i, b.j, sum(a.c*b.c) AS c FROM {name}_{k} a JOIN {name}_{k} b ON a.j=b.i GROUP BY 1,2))")
+        last = f"{name}_{squarings}"
+        steps.append(f"{name} AS MATERIALIZED (SELECT i, c/sqrt(sum(c*c) OVER ()) AS v FROM {last} WHERE j=(SELECT arg_max(i,c) FROM {last} WHERE i=j))")
+        return ", ".join(steps)
+    return f"""WITH means AS (SELECT volume_id, i, avg(v) AS v FROM {LONG} GROUP BY 1,2), centred AS MATERIALIZED (SELECT volume_id, i, v-avg(v) OVER (PARTITION BY i) AS x FROM means),
+      cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x*b.x) AS c FROM centred a JOIN centred b ON a.volume_id=b.volume_id GROUP BY 1,2), {leading("first_axis", "cov")},
+      rest AS MATERIALIZED (SELECT c.i, c.j, c.c-size*a.v*b.v AS c FROM cov c JOIN first_axis a ON a.i=c.i JOIN first_axis b ON b.i=c.j,
+        (SELECT sum(c.c*a.v*b.v) AS size FROM cov c JOIN first_axis a ON a.i=c.i JOIN first_axis b ON b.i=c.j)), {leading("second_axis", "rest")}
+      SELECT volume_id, {r("sum(x*a.v)", "pc1")}, {r("sum(x*b.v)", "pc2")} FROM centred c JOIN first_axis a ON a.i=c.i JOIN second_axis b ON b.i=c.i GROUP BY 1"""
+
+
+@reg.add("em5_pca_scores", pca_sql())
+def _(spark, sf):
+    return tidy(PR.pca_scores(E.mean_embeddings(sl(spark, sf)))[0])
 
 
 def labelled(spark, sf):

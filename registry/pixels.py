@@ -210,10 +210,9 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- grid
-def box_sql(thr, margin):
-    ext = "max(z)+1 AS nz, max(y)+1 AS ny, max(x)+1 AS nx"
+def box_sql(thr, margin, source="voxels"):
     parts = ", ".join(f"coalesce(greatest(min({a}) FILTER (hu>{thr})-{margin},0),0)::BIGINT AS {a}0, coalesce(least(max({a}) FILTER (hu>{thr})+1+{margin},max({a})+1),max({a})+1)::BIGINT AS {a}1" for a in "zyx")
-    return f"(SELECT volume_id, {parts} FROM voxels GROUP BY 1)".replace(ext, "")
+    return f"(SELECT volume_id, {parts} FROM {source} GROUP BY 1)"
 
 
 @reg.add("px13_foreground_box", f"SELECT * FROM {box_sql(600, 1)}")
@@ -232,11 +231,11 @@ def _(spark, sf):
     return G.crop_shape(G.foreground_box(px(spark, sf), 600.0, 1))
 
 
-def axis_sql(source: str, axis: str, n_out: str, n_in: str) -> str:
+def axis_sql(source: str, axis: str, n_out: str, n_in: str, sizes: str = "sizes") -> str:
     """One corner-aligned linear pass along an axis of a voxel table."""
     others = [a for a in "zyx" if a != axis]
     return f"""(SELECT a.volume_id, {', '.join('a.' + o for o in others)}, t.j AS {axis}, CASE WHEN t.f=0 THEN a.hu ELSE (1-t.f)*a.hu+t.f*b.hu END AS hu
-      FROM (SELECT volume_id, j, floor(pos)::INT AS lo, pos-floor(pos) AS f FROM (SELECT volume_id, j, j*({n_in}-1)::DOUBLE/greatest({n_out}-1,1) AS pos FROM (SELECT *, unnest(range({n_out})) AS j FROM sizes))) t
+      FROM (SELECT volume_id, j, floor(pos)::INT AS lo, pos-floor(pos) AS f FROM (SELECT volume_id, j, j*({n_in}-1)::DOUBLE/greatest({n_out}-1,1) AS pos FROM (SELECT *, unnest(range({n_out})) AS j FROM {sizes}))) t
       JOIN {source} a ON a.volume_id=t.volume_id AND a.{axis}=t.lo LEFT JOIN {source} b ON b.volume_id=t.volume_id AND b.{axis}=t.lo+1 AND {' AND '.join(f'b.{o}=a.{o}' for o in others)})"""
 
 
@@ -288,13 +287,39 @@ def chain_volumes(spark, sf):
     return spacing(spark, sf).join(rescale(spark, sf), "volume_id").withColumn("z_uniform", F.lit(True)).withColumn("tilt_deg", F.lit(0.0))
 
 
-@reg.add("px18_preprocess_chain")
+def chain_sql(source: str, columns: str) -> str:
+    """The chain on a voxel table, stage by stage, and columns of its report."""
+    return f"""WITH sizes AS MATERIALIZED ({SIZES}), source_px AS MATERIALIZED (SELECT volume_id, z::BIGINT AS z, y::BIGINT AS y, x::BIGINT AS x, hu FROM {source}),
+    raw_stats AS MATERIALIZED ({STATS.format("source_px")}),
+    usable AS MATERIALIZED (SELECT p.* FROM source_px p JOIN raw_stats USING (volume_id) WHERE n_nonfinite=0),
+    cal AS MATERIALIZED (SELECT *, NOT low<=-600 AND {V}%4>0 AS applied FROM (SELECT volume_id, quantile_cont(hu,0.005) AS low FROM usable GROUP BY 1)),
+    level AS MATERIALIZED (SELECT volume_id, z, y, x, CASE WHEN applied THEN hu*2-500 ELSE hu END AS hu FROM usable JOIN cal USING (volume_id)),
+    audit AS (SELECT volume_id, min(hu) AS hu_min_before, min(hu)<-900 AS floored FROM level GROUP BY 1),
+    floor_px AS MATERIALIZED (SELECT volume_id, z, y, x, greatest(hu,-900) AS hu FROM level),
+    even_y AS MATERIALIZED {axis_sql("floor_px", "y", "oy", "8")}, even_x AS MATERIALIZED {axis_sql("even_y", "x", "ox", "8")}, even AS MATERIALIZED {axis_sql("even_x", "z", "oz", "10")},
+    box AS MATERIALIZED {box_sql(400, 1, "even")},
+    inside AS MATERIALIZED (SELECT e.volume_id, z-z0 AS z, y-y0 AS y, x-x0 AS x, hu FROM even e JOIN box b ON e.volume_id=b.volume_id AND z>=z0 AND z<z1 AND y>=y0 AND y<y1 AND x>=x0 AND x<x1),
+    sized_y AS MATERIALIZED {axis_sql("inside", "y", "6", "(y1-y0)", "box")}, sized AS MATERIALIZED {axis_sql("sized_y", "x", "6", "(x1-x0)", "box")},
+    late AS MATERIALIZED (SELECT *, CASE WHEN hu_min < -32768 OR hu_max > 32767 THEN 'HU values '||hu_min::BIGINT||'..'||hu_max::BIGINT||' do not fit in int16 (-32768..32767) -- corrupt or mis-scaled data' END AS late_error
+      FROM ({STATS.format("(SELECT volume_id, z, y, x, round_even(hu,0) AS hu FROM sized)")})),
+    checked AS (SELECT l.*, spz, spy, spx, list_filter([CASE WHEN n_slices<5 OR n_slices>12 THEN 'slice count '||n_slices||' outside [5, 12]' END,
+        CASE WHEN hu_min>-500 THEN 'HU minimum too high ('||hu_min::BIGINT||') -- looks uncalibrated (raw values, not true HU)' END, CASE WHEN hu_std<1 THEN 'near-constant volume (std='||printf('%.3f',hu_std)||')' END], lambda t: t IS NOT NULL) AS reasons,
+        CASE WHEN spz>3 OR spz<0.3 THEN 'unusual z-spacing: '||printf('%.2f',spz)||' mm' ELSE '' END AS flags FROM late l JOIN sizes USING (volume_id) WHERE late_error IS NULL),
+    report AS (SELECT w.volume_id, coalesce(CASE WHEN w.n_nonfinite>0 THEN 'contains NaN or infinite values' END, l.late_error) AS error, c.n_slices, c.hu_min, c.hu_max, c.hu_mean, c.hu_std, spz AS spacing_z_mm, spy AS spacing_y_mm,
+        spx AS spacing_x_mm, array_to_string(reasons,'; ') AS reasons, flags, len(reasons)=0 AS passed, (z1-z0)||'x'||(y1-y0)||'x'||(x1-x0) AS crop_shape, applied, low AS p_low_before, hu_min_before, floored
+      FROM raw_stats w LEFT JOIN late l ON l.volume_id=w.volume_id LEFT JOIN checked c ON c.volume_id=w.volume_id LEFT JOIN box b ON b.volume_id=w.volume_id
+        LEFT JOIN cal k ON k.volume_id=w.volume_id LEFT JOIN audit a ON a.volume_id=w.volume_id)
+    SELECT {columns} FROM report"""
+
+
+@reg.add("px18_preprocess_chain", chain_sql(DAMAGED, "volume_id, error, n_slices, reasons, flags, passed, crop_shape, applied, floored, " + ", ".join(
+    r(c, c, 6) for c in ("hu_min", "hu_max", "hu_mean", "hu_std", "spacing_z_mm", "spacing_y_mm", "spacing_x_mm", "p_low_before", "hu_min_before"))))
 def _(spark, sf):
     report = PP.preprocess(damaged(spark, sf), chain_volumes(spark, sf), CHAIN, staged)["report"]
-    return report.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("flags", F.array_join("flags", "; "))
+    return tidy(report.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("flags", F.array_join("flags", "; ")), 6)
 
 
-@reg.add("px19_inference_batch")
+@reg.add("px19_inference_batch", chain_sql("voxels", "volume_id, CASE WHEN error IS NOT NULL THEN 'error' WHEN passed THEN 'ready' ELSE 'rejected' END AS status, crop_shape, CASE WHEN error IS NULL AND passed THEN n_slices END AS ready_slices"))
 def _(spark, sf):
     parts = PP.infer(px(spark, sf), chain_volumes(spark, sf), CHAIN, fingerprint="abc", cache_fingerprint="abc", stage=staged)
     n = parts["slices"].groupBy("volume_id").agg(F.count(F.lit(1)).alias("ready_slices"))

@@ -24,13 +24,18 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 
 def pca_scores(means: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
-    """First k principal components of centred volume means, and each component's share of the variance."""
+    """First k principal components of centred volume means, and each component's share of the variance.
+
+    A component's sign is chosen so that its loading of greatest size is positive (the first such loading, if some are equal).
+    """
     rows = _vectors(means)
     centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(rows).transform(rows)
     model = PCA(k=k, inputCol="centred", outputCol="pc").fit(centred)
     share = [float(v) for v in model.explainedVariance]
+    loadings = model.pc.toArray()
+    sign = np.where(np.take_along_axis(loadings, np.abs(loadings).argmax(axis=0)[None, :], axis=0)[0] < 0, -1.0, 1.0)
     scored = model.transform(centred).withColumn("pc", vector_to_array("pc"))
-    return scored.select("volume_id", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)]), share
+    return scored.select("volume_id", *[(F.col("pc")[i] * float(sign[i])).alias(f"pc{i + 1}") for i in range(k)]), share
 
 
 class Probe(NamedTuple):
