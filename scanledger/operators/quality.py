@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import pixels as P
 from ..functions.numeric import ratio
-from .ordering import quantiles
+from .pixel_quantiles import value_quantiles
 
 INT16 = (-32768, 32767)
 MAX_TILT_DEG = 1.0
@@ -72,12 +72,6 @@ def int16_problem() -> Column:
     return F.coalesce(nonfinite_problem(), F.when(outside, F.format_string(TEXTS["int16"], F.col("hu_min"), F.col("hu_max"))))
 
 
-def value_quantiles(slices: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles of a volume's pixels. Values are counted first; HU are integers, so counts are few."""
-    values = slices.select("volume_id", F.explode("pixels").alias("hu"))
-    return quantiles(values, ["volume_id"], "hu", probs)
-
-
 def calibration_info(slices: DataFrame, rescale: DataFrame, threshold: float = -500.0) -> DataFrame:
     """Per volume: low percentile, whether it already looks calibrated, whether the rescale is to be applied and why not."""
     low = value_quantiles(slices, {"p_low_before": 0.005, "_high": 0.995})

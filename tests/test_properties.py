@@ -453,6 +453,34 @@ def test_only_heads_of_files_without_a_suffix_are_opened(spark, tmp_path):
     assert {r.path: r.kind for r in SR.sniff_types(gone).collect()} == {"x.dcm": "dicom", "x": "other", None: "other"}
 
 
+def test_pixel_quantiles_equal_numpy(spark, monkeypatch):
+    """Resampled floats, whole numbers, one value, signs, infinities, missing pixels, and more counts than a task keeps."""
+    from scanledger.operators import pixel_quantiles as Q
+    monkeypatch.setattr(Q, "KEPT", 50)
+    rng = np.random.default_rng(5)
+    volumes = {"floats": rng.normal(size=(6, 50)) * 700 - 300, "close": 1 + rng.random((4, 60)) * 1e-12, "whole": rng.integers(-1024, 3071, (5, 80)).astype(float),
+               "one": np.full((3, 7), -1024.0), "zeros": np.array([[0.0, -0.0, 5e-324, -5e-324]]), "two": np.array([[3.0], [9.0]]), "ends": np.array([[-np.inf, -1.0, 2.0, np.inf, 5.0]] * 3)}
+    rows = [(name, z, [float(v) for v in px] + [None, float("nan")]) for name, v in volumes.items() for z, px in enumerate(v)]
+    df = spark.createDataFrame(rows + [("none", 0, [None]), ("none", 1, None), (None, 0, [1.0])], "volume_id string, z int, pixels array<double>").repartition(5, "z")
+    probs = {"low": 0.005, "quarter": 0.25, "mid": 0.5, "high": 0.99}
+    got = {r.volume_id: [r[p] for p in probs] for r in Q.value_quantiles(df, probs).collect()}
+    assert set(got) == set(volumes)
+    for name, v in volumes.items():
+        at = np.sort(v.ravel())
+        for q, value in zip(probs.values(), got[name]):
+            spot = q * (len(at) - 1)
+            lo, hi = at[int(np.floor(spot))], at[int(np.ceil(spot))]
+            with np.errstate(invalid="ignore"):
+                assert np.array_equal(value, lo + (hi - lo) * (spot - np.floor(spot)), equal_nan=True), (name, q)
+    assert Q.value_quantiles(df.limit(0), probs).count() == 0
+
+
+def test_pixel_quantiles_keep_pixels_in_arrays(spark):
+    from scanledger.operators import pixel_quantiles as Q
+    out = Q.value_quantiles(spark.createDataFrame([(1, [1, 2, 3])], "volume_id bigint, pixels array<smallint>"), {"m": 0.5})
+    assert out.collect()[0].m == 2.0 and "Generate" not in out._jdf.queryExecution().toString()
+
+
 def test_stream_resumes_and_never_repeats(spark, tmp_path):
     source, target, mark = (str(tmp_path / d) for d in ("in", "out", "ck"))
 
