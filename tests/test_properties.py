@@ -326,6 +326,23 @@ def test_greedy_selection_visits_every_direction(spark):
     assert {z // 5 for z in picks} == {0, 1, 2, 3} and 10 in picks  # the middle slice comes first
 
 
+@pytest.mark.parametrize("step", [1, 2, 150])
+def test_selection_proxies_of_large_selections_equal_brute_force(spark, step):
+    rng = np.random.default_rng(step)
+    vectors = {"big": rng.normal(size=(300, 4)), "small": rng.normal(size=(3, 4))}
+    rows = [(v, z, [float(a) for a in e]) for v, es in vectors.items() for z, e in enumerate(es)]
+    df = spark.createDataFrame(rows, "volume_id string, slice_idx int, emb array<double>")
+    chosen = df.filter(F.col("slice_idx") % step == 0).select("volume_id", F.col("slice_idx").cast("bigint").alias("slice_idx"))
+    got = {r.volume_id: r for r in SEL.selection_proxies(df, chosen).collect()}
+    for v, es in vectors.items():
+        u = es / np.linalg.norm(es, axis=1, keepdims=True)
+        gap = 1 - (u @ u[::step].T).max(axis=1)
+        r, mean, part = got[v], es.mean(0), es[::step].mean(0)
+        assert np.isclose(r.nearest_cosine_distance, gap.mean(), atol=1e-9) and np.isclose(r.p95_cosine_distance, np.quantile(gap, 0.95), atol=1e-9)
+        assert np.isclose(r.mean_embedding_drift, 1 - mean @ part / np.linalg.norm(mean) / np.linalg.norm(part), atol=1e-9)
+        assert np.isclose(r.fraction_encoded, len(es[::step]) / len(es)) and r.largest_gap == max(min(step - 1, len(es) - 1), (len(es) - 1) % step)
+
+
 def test_slices_that_are_not_finite_are_left_out(spark):
     df = embedded(spark)
     holed = df.withColumn("emb", F.when(F.col("slice_idx") == 3, F.array(*[F.lit(float("nan"))] * 5)).otherwise(F.col("emb")))
