@@ -1,8 +1,14 @@
-"""Experiment folders and clinical reports as tables, found by file name below one root."""
+"""Experiment folders and clinical reports as tables, found by file name below one root.
+
+A root may hold very many small files: they are listed and opened by tasks (``raw.list_files``), so that no list of them passes through the
+driver. Readers that need several kinds of file share one listing (``files``).
+"""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from .raw import csv_rows, list_files, texts
 
 RUN_INFO = ("run_id string, config_hash string, status string, started string, ended string, stopped string, best_epoch bigint, epochs_run bigint, "
             "steps_per_epoch bigint, git struct<commit:string,dirty:boolean>")
@@ -10,26 +16,30 @@ SCORECARD = ("run_id string, name string, config_hash string, seed string, membe
              "headline map<string,double>")
 
 
-def _find(spark: SparkSession, root: str, pattern: str):
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-
-
-def _folder(levels: int = 1) -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), r"(/[^/]+){" + str(levels) + "}$", "")
+def _find(spark: SparkSession, root: str, name: str, files: DataFrame | None) -> DataFrame:
+    files = list_files(spark, root) if files is None else files
+    # a short list of names stands for files that take far longer to open
+    return files.filter(F.col("name") == name).select("dir", "name").repartition(4 * spark.sparkContext.defaultParallelism)
 
 
-def read_json_files(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """One row per file of that name with the folder it lies in."""
-    return _find(spark, root, name).schema(schema).option("multiLine", True).json(root).select(_folder().alias("dir"), "*")
+def read_json_files(spark: SparkSession, root: str, name: str, schema: str, files: DataFrame | None = None) -> DataFrame:
+    """One row per file of that name with the folder it lies in, or one per element where the document is a list; broken ones have NULLs."""
+    raw = _find(spark, root, name, files).mapInArrow(texts, "dir string, value string")
+    listed = F.from_json("value", T.ArrayType(T.StructType.fromDDL(schema)))
+    one = F.array(F.from_json("value", T.StructType.fromDDL(schema)))
+    docs = raw.select("dir", F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(one)).alias("doc"))
+    return docs.select("dir", "doc.*")
 
 
-def read_csv_files(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """Rows of all CSV files of that name with their folder; ``schema`` names the wanted columns, matched by header."""
-    df = _find(spark, root, name).schema(schema).option("header", True).option("enforceSchema", False).csv(root)
-    return df.select(_folder().alias("dir"), "*")
+def read_csv_files(spark: SparkSession, root: str, name: str, schema: str, files: DataFrame | None = None) -> DataFrame:
+    """Rows of all CSV files of that name with their folder; ``schema`` names the wanted columns, matched by header. Cells that do not fit are NULL."""
+    fields = T.StructType.fromDDL(schema).fields
+    text = T.StructType([T.StructField(n, T.StringType()) for n in ("dir", *[f.name for f in fields])])
+    rows = _find(spark, root, name, files).mapInArrow(csv_rows([f.name for f in fields]), text)
+    return rows.select("dir", *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 
 
-def read_configs(spark: SparkSession, root: str) -> DataFrame:
+def read_configs(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """Config files as JSON text; YAML is converted file by file in Arrow batches."""
     @F.pandas_udf("string")
     def as_json(text: pd.Series) -> pd.Series:
@@ -37,46 +47,50 @@ def read_configs(spark: SparkSession, root: str) -> DataFrame:
         import yaml
         return text.map(lambda t: json.dumps(yaml.safe_load(t) or {}, default=str))
 
-    raw = _find(spark, root, "config.yaml").text(root, wholetext=True).select(_folder().alias("dir"), "value")
+    raw = _find(spark, root, "config.yaml", files).mapInArrow(texts, "dir string, value string")
     return raw.select("dir", as_json("value").alias("config"))
 
 
 def load_runs(spark: SparkSession, root: str) -> DataFrame:
     """Every folder that has both a config and a run record: ids, settings of note, status and validation metrics."""
-    info = read_json_files(spark, root, "run_info.json", RUN_INFO)
-    metrics = read_json_files(spark, root, "val_metrics.json", "macro_auroc double, macro_auprc double, micro_auroc double, macro_f1 double")
+    files = list_files(spark, root)
+    info = read_json_files(spark, root, "run_info.json", RUN_INFO, files)
+    metrics = read_json_files(spark, root, "val_metrics.json", "macro_auroc double, macro_auprc double, micro_auroc double, macro_f1 double", files)
     metrics = metrics.select("dir", *[F.col(c).alias(f"val_{c}") for c in metrics.columns if c != "dir"])
 
     def setting(path: str) -> Column:
         return F.get_json_object("config", f"$.{path}")
-    return (info.join(read_configs(spark, root), "dir").join(metrics, "dir", "left").select(
+    return (info.join(read_configs(spark, root, files), "dir").join(metrics, "dir", "left").select(
         F.coalesce("run_id", "dir").alias("run_id"), setting("name").alias("name"), "config_hash", F.substring("config_hash", 1, 8).alias("hash8"),
         setting("seed").cast("bigint").alias("seed"), F.coalesce("status", F.lit("unknown")).alias("status"), "stopped", "best_epoch", "epochs_run",
         setting("optim.max_epochs").cast("bigint").alias("max_epochs"), "val_macro_auroc", "val_macro_auprc", "val_micro_auroc", "val_macro_f1", "config", "dir"))
 
 
 def load_curves(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    return read_csv_files(spark, root, "metrics.csv", schema).join(load_ids(spark, root), "dir")
+    files = list_files(spark, root)
+    return read_csv_files(spark, root, "metrics.csv", schema, files).join(load_ids(spark, root, files), "dir")
 
 
-def load_ids(spark: SparkSession, root: str) -> DataFrame:
-    return read_json_files(spark, root, "run_info.json", RUN_INFO).select("dir", F.coalesce("run_id", "dir").alias("run_id"), "config_hash")
+def load_ids(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    return read_json_files(spark, root, "run_info.json", RUN_INFO, files).select("dir", F.coalesce("run_id", "dir").alias("run_id"), "config_hash")
 
 
 def load_evaluations(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """Rows of ``eval/<source>__<run>__<split>/<name>`` with the evaluation's name, its split and the run."""
-    rows = read_csv_files(spark, root, name, schema)
+    files = list_files(spark, root)
+    rows = read_csv_files(spark, root, name, schema, files)
     parts = F.split(F.regexp_extract("dir", r"/eval/([^/]+)$", 1), "__")
     named = rows.filter(F.col("dir").rlike("/eval/[^/]+$")).select(
         F.regexp_extract("dir", r"/eval/([^/]+)$", 1).alias("eval"), F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("eval_split"),
         F.regexp_replace("dir", "/eval/[^/]+$", "").alias("dir"), *[c for c in rows.columns if c != "dir"])
-    return named.join(load_ids(spark, root), "dir")
+    return named.join(load_ids(spark, root, files), "dir")
 
 
 def load_clinical(spark: SparkSession, root: str, per_label_schema: str) -> tuple[DataFrame, DataFrame]:
     """(one row per clinical report, its per-label rows with the gate status)."""
-    cards = read_json_files(spark, root, "scorecard.json", SCORECARD).filter(F.col("dir").rlike("/clinical/[^/]+$")).withColumn(
+    files = list_files(spark, root)
+    cards = read_json_files(spark, root, "scorecard.json", SCORECARD, files).filter(F.col("dir").rlike("/clinical/[^/]+$")).withColumn(
         "ensemble", F.coalesce(F.col("seed") == "ensemble", F.lit(False))).withColumn("eval_split", F.element_at(F.split("eval", "__"), -1))
-    gate = read_csv_files(spark, root, "gate.csv", "label string, status string")
-    labels = read_csv_files(spark, root, "per_label.csv", per_label_schema).join(gate, ["dir", "label"], "left")
+    gate = read_csv_files(spark, root, "gate.csv", "label string, status string", files)
+    labels = read_csv_files(spark, root, "per_label.csv", per_label_schema, files).join(gate, ["dir", "label"], "left")
     return cards, labels.join(cards.select("dir", "run_id", "eval", "reported"), "dir")
