@@ -1,7 +1,8 @@
 """Resumable ingest: every new chunk file exactly once, bad volumes and bad chunks set aside, bounded runs.
 
 A file is a chunk. A stream of file names, with its checkpoint, notes every file once. Files that were not read yet are then taken in batches of many:
-Spark reads them in parallel, one file in one task, and an unreadable file becomes an error record instead of a failure of the job. A batch is
+Spark reads them in parallel, one file in one task and row group by row group, so that a task's memory does not grow with a file, and an
+unreadable file becomes an error record without rows instead of a failure of the job. A batch is
 *landed* in one write, records of its files and rows of its volumes together. A second stream over the landed rows keeps the accepted volume ids as keyed
 state (``dropDuplicates`` on a RocksDB store, spread over the shuffle partitions) and appends the volumes no file brought before.
 
@@ -18,7 +19,6 @@ Tables under the target (``read_table``):
 from __future__ import annotations
 
 import hashlib
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.hashing import hash32
+from ..sources.raw import locate
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 ATTEMPT_SCHEMA = "chunk string, attempt bigint, failed boolean, error string"
@@ -35,6 +36,9 @@ ATTEMPT_SCHEMA = "chunk string, attempt bigint, failed boolean, error string"
 LANDED = "_file string, _position bigint, _attempt bigint, _file_error string, _first boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES_PER_BATCH = 64
+#: Rows of a chunk file that a task holds at a time, and bytes of each of its columns.
+BLOCK_ROWS = 10_000
+READ_BUFFER = 1 << 20
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, *, max_chunks: int | None = None, max_streak: int = 3,
@@ -89,31 +93,43 @@ def waiting(spark: SparkSession, target: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Rows of the files, and for each file one row without a position that has its error, if any. Columns a file lacks are NULL."""
+    """Rows of the files, and for each file one row without a position that has its error, if any. Columns a file lacks are NULL.
+
+    Files are opened by name in tasks and read in blocks. A file that turns out to be broken behind its first blocks has rows and an error: its
+    rows do not count (``land`` drops them). A file that is gone has no row.
+    """
     fields = StructType.fromDDL(schema)
     out = StructType([*fields, *StructType.fromDDL("_file string, _position bigint, _file_error string")])
     arrow = to_arrow_schema(out)
 
-    def parse(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
-        n, error = 0, None
-        try:
-            table = pq.read_table(io.BytesIO(content))
-            columns = [table.column(f.name).cast(arrow.field(f.name).type) if f.name in table.column_names else pa.nulls(len(table), arrow.field(f.name).type) for f in fields]
-            n = len(table)
-        except Exception as exc:  # whatever is wrong with the file is told in its record
-            error = f"{type(exc).__name__}: {exc}"[:1000]
-        if n:
-            columns += [pa.array([path] * n, pa.string()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.string())]
-            yield from pa.Table.from_arrays(columns, schema=arrow).to_batches(max_chunksize=10_000)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, arrow.field(f.name).type) for f in fields], pa.array([path]), pa.nulls(1, pa.int64()), pa.array([error], pa.string())], schema=arrow)
+    def blocks(where: pa.NativeFile, path: str) -> Iterator[pa.RecordBatch]:
+        file, n = pq.ParquetFile(where, buffer_size=READ_BUFFER, pre_buffer=False), 0
+        names = file.schema_arrow.names
+        for block in file.iter_batches(batch_size=BLOCK_ROWS, columns=[f.name for f in fields if f.name in names]):
+            rows = block.num_rows
+            columns = [block.column(f.name).cast(arrow.field(f.name).type) if f.name in names else pa.nulls(rows, arrow.field(f.name).type) for f in fields]
+            columns += [pa.array([path] * rows, pa.string()), pa.array(range(n, n + rows), pa.int64()), pa.nulls(rows, pa.string())]
+            n += rows
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        systems: dict = {}
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                yield from parse(path.as_py(), content.as_py())
-
-    files = spark.read.format("binaryFile").schema(FILE_SCHEMA).load(paths).select("path", "content")
-    return files.repartition(len(paths)).mapInArrow(each, out)
+            for path in batch.column("path").to_pylist():
+                error = None
+                try:
+                    system, name = locate(path, systems)
+                    with system.open_input_file(name) as where:
+                        yield from blocks(where, path)
+                except FileNotFoundError:
+                    continue
+                except Exception as exc:  # whatever is wrong with the file is told in its record
+                    error = f"{type(exc).__name__}: {exc}"[:1000]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, arrow.field(f.name).type) for f in fields], pa.array([path]), pa.nulls(1, pa.int64()), pa.array([error], pa.string())], schema=arrow)
+
+    # each name once, in a task of its own: names are dealt by their number in the list
+    names = spark.createDataFrame(list(enumerate(paths)), "n bigint, path string").repartitionByRange(len(paths), "n").select("path")
+    return names.mapInArrow(each, out)
 
 
 def land(spark: SparkSession, files: list[tuple[str, int]], schema: str, target: str, tried: list[bool], max_streak: int) -> list[bool]:
@@ -129,7 +145,8 @@ def land(spark: SparkSession, files: list[tuple[str, int]], schema: str, target:
                 break
         kept = files[:len(results)]
         number = F.create_map(*[F.lit(x) for pair in kept for x in pair])
-        rows = read.filter(F.col("_file").isin([p for p, _ in kept])).withColumn("_attempt", number[F.col("_file")].cast("bigint"))
+        whole = F.col("_position").isNull() | F.col("_file").isin([p for p, _ in kept if p in errors and errors[p] is None])
+        rows = read.filter(F.col("_file").isin([p for p, _ in kept]) & whole).withColumn("_attempt", number[F.col("_file")].cast("bigint"))
         best = rows.filter(~bad_row() & F.col("_position").isNotNull()).groupBy(F.col("volume_id").alias("_v")).agg(F.min(F.struct("chunk", "_file", "_position")).alias("_best"))
         first = F.coalesce((F.col("_best._file") == F.col("_file")) & (F.col("_best._position") == F.col("_position")), F.lit(False))
         landed = rows.join(best, F.col("volume_id") == F.col("_v"), "left").withColumn("_first", first).drop("_v", "_best")
