@@ -56,7 +56,8 @@ def _(spark, sf):
 
 @reg.add("so2_extreme_norms", f"SELECT * FROM (SELECT volume_id, {rs('norm_mean')} FROM {DIAG} ORDER BY norm_mean, volume_id LIMIT 2) UNION SELECT * FROM (SELECT volume_id, {rs('norm_mean')} FROM {DIAG} ORDER BY norm_mean DESC, volume_id DESC LIMIT 2)")
 def _(spark, sf):
-    return tidy(E.extreme_rows(E.norm_diagnostics(sl(spark, sf)).select("volume_id", "norm_mean"), "norm_mean"))
+    # rounded before they are ranked: means that differ in later digits are ties, which the id settles
+    return E.extreme_rows(tidy(E.norm_diagnostics(sl(spark, sf)).select("volume_id", "norm_mean")), "norm_mean")
 
 
 @reg.add("em4_slice_cosine_band", f"SELECT a.volume_id, a.slice_idx::BIGINT AS i, b.slice_idx::BIGINT AS j, {r(f'{DOT}(a.u,b.u)', 'cosine')} FROM {UNITS} a JOIN {UNITS} b ON a.volume_id=b.volume_id AND b.slice_idx-a.slice_idx BETWEEN 1 AND 3")
