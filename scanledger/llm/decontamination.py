@@ -15,7 +15,7 @@ through whatever their names, and a column with a result's name is replaced.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -213,6 +213,16 @@ def mark_passages(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with their number of words, the runs of words (first, last exclusive) that are in a test phrase, and the ids of
     the items whose phrases occur."""
+    docs, mark, schema = _last_block(docs, benchmark, text_col, item_col, item_text_col, window, words_col, runs_col, items_col, block_bytes)
+    return docs.mapInArrow(mark, schema)
+
+
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _last_block(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, words_col: str, runs_col: str,
+                items_col: str, block_bytes: int) -> tuple[DataFrame, Step, StructType]:
+    """The documents marked by all blocks of the benchmark but the last, the function that marks the last one, and the schema it gives."""
     new = [StructField(words_col, LongType()), StructField(runs_col, RUNS), StructField(items_col, ArrayType(StringType()))]
     out = docs.select(*[f"`{c}`" for c in docs.columns if c not in (words_col, runs_col, items_col)])
     schema = StructType([*out.schema.fields, *new])
@@ -228,8 +238,9 @@ def mark_passages(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                 for i, j, _, _ in chunks(*text_bytes(batch.column(text_col)), SHARD_BYTES):
                     yield _marked(batch.slice(i, j - i), text_col, runs_col, items_col, words_col, phrases)
 
-        out = out.mapInArrow(mark, schema)
-    return out
+        if block < blocks - 1:
+            out = out.mapInArrow(mark, schema)
+    return out, mark, schema
 
 
 def cut_passages(marked: DataFrame, columns: list[str], text_col: str = "text", runs_col: str = "runs", length_col: str | None = "n_chars") -> DataFrame:
@@ -237,8 +248,10 @@ def cut_passages(marked: DataFrame, columns: list[str], text_col: str = "text",
 
     A document of which no word is left is dropped. ``length_col`` is set to the number of characters where a text changes.
     """
-    schema = StructType([marked.schema[c] for c in columns])
+    return marked.mapInArrow(_cutter(columns, text_col, runs_col, length_col), StructType([marked.schema[c] for c in columns]))
 
+
+def _cutter(columns: list[str], text_col: str, runs_col: str, length_col: str | None) -> Step:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             touched = [i for i, r in enumerate(batch.column(runs_col).to_pylist()) if r]
@@ -264,10 +277,16 @@ def cut_passages(marked: DataFrame, columns: list[str], text_col: str = "text",
                 arrays.append(column)
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep))
 
-    return marked.mapInArrow(cut, schema)
+    return cut
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                  window: int = WINDOW, length_col: str | None = "n_chars", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without the passages of the benchmark; see ``mark_passages`` and ``cut_passages``.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without the passages of the benchmark; see ``mark_passages`` and ``cut_passages``."""
-    names = {k: fresh(k, docs.columns) for k in ("words_col", "runs_col", "items_col")}
-    return cut_passages(mark_passages(docs, benchmark, **names, **options), docs.columns, runs_col=names["runs_col"])
+    The last block is marked and cut in one step, so that a task has one Python worker and not one for each, and a marked text is not sent on.
+    """
+    words_col, runs_col, items_col = (fresh(c, docs.columns) for c in ("words_col", "runs_col", "items_col"))
+    marked, mark, schema = _last_block(docs, benchmark, text_col, item_col, item_text_col, window, words_col, runs_col, items_col, block_bytes)
+    cut = _cutter(docs.columns, text_col, runs_col, length_col)
+    return marked.mapInArrow(lambda batches: cut(mark(batches)), StructType([schema[c] for c in docs.columns]))
