@@ -6,8 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from scanledger.functions.hashing import hash01
-from scanledger.functions.ids import is_volume_id, strip_nifti_ext
-from scanledger.operators.kernels import catalog
+from scanledger.functions.ids import strip_nifti_ext
+from scanledger.operators.kernels import catalog, parsed_metadata
 from scanledger.staging import shared_folder
 
 
@@ -15,18 +15,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-_METADATA: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark, sf, name: str, derive) -> DataFrame:
+    """A derived table, written once per application and read from there."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN or not exists(spark, _WRITTEN[key]):
+        path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        derive(spark, sf).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def parsed_volumes(spark, sf) -> DataFrame:
+    """Study metadata with parsed ids, one row per file entry of a pool, written as a table: names and what their ids are fit for
+    are stored values to the operators, not expressions that the optimizer repeats in every predicate and every scan."""
+    stored = once(spark, sf, "metadata", lambda *at: parsed_metadata(derive_volumes(*at)).drop("volume_id"))
+    return stored.withColumn("volume_id", strip_nifti_ext(F.col("VolumeName")))
 
 
 def volumes(spark, sf) -> DataFrame:
-    """Study metadata, one row per file entry of a pool, written as a table once per application: file names are
-    stored values to the operators, not expressions that the optimizer repeats in every predicate."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _METADATA or not exists(spark, _METADATA[key]):
-        path = f"{shared_folder(spark).rstrip('/')}/metadata-{uuid.uuid4().hex}"
-        derive_volumes(spark, sf).write.parquet(path)
-        _METADATA[key] = path
-    return spark.read.parquet(_METADATA[key])
+    """Study metadata, one row per file entry of a pool."""
+    return parsed_volumes(spark, sf).drop("volume_id", "status")
 
 
 def exists(spark, path: str) -> bool:
@@ -35,19 +46,21 @@ def exists(spark, path: str) -> bool:
 
 
 def derive_volumes(spark, sf) -> DataFrame:
-    orders, part = (table(spark, sf, t) for t in ("orders", "part"))
-    # one input file is one task: spread its rows before names are built
-    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount").repartition(
-        spark.sparkContext.defaultParallelism)
-    own = F.when(F.col("o_custkey") % 8 == 0, "valid").otherwise("train")
-    name = F.concat(own, F.lit("_"), F.col("o_custkey").cast("string"), F.lit("_"),
-                    F.translate(F.col("l_orderkey").cast("string"), "0123456789", "abcdefghij"), F.lit("_"),
-                    F.col("l_linenumber").cast("string"), F.when(F.col("l_orderkey") % 97 == 0, "x").otherwise(""), F.lit(".nii.gz"))
-    return (line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .select(F.when((F.col("o_custkey") % 8 == 0) != (F.col("l_orderkey") % 89 == 0), "valid").otherwise("train").alias("pool"),
-                    name.alias("VolumeName"), F.col("p_type").alias("Manufacturer"),
-                    F.concat(F.lit("['"), F.regexp_replace("p_brand", "#", ""), F.lit("', '3']")).alias("ConvolutionKernel"),
-                    F.col("p_name").alias("SeriesDescription"), F.col("l_quantity").cast("bigint").alias("NumberofSlices"),
+    # what depends on the order or the part alone is made there, not for each of their lines
+    o, p = F.col("o_orderkey"), table(spark, sf, "part")
+    valid = F.col("o_custkey") % 8 == 0
+    orders = table(spark, sf, "orders").select(
+        o, F.when(valid != (o % 89 == 0), "valid").otherwise("train").alias("pool"),
+        F.concat(F.when(valid, "valid_").otherwise("train_"), F.col("o_custkey").cast("string"), F.lit("_"),
+                 F.translate(o.cast("string"), "0123456789", "abcdefghij"), F.lit("_")).alias("_head"),
+        F.when(o % 97 == 0, "x.nii.gz").otherwise(".nii.gz").alias("_tail"))
+    parts = p.select("p_partkey", F.col("p_type").alias("Manufacturer"),
+                     F.concat(F.lit("['"), F.regexp_replace("p_brand", "#", ""), F.lit("', '3']")).alias("ConvolutionKernel"), F.col("p_name").alias("SeriesDescription"))
+    # one input file is one task: spread its rows before names are built, by the key they are joined on
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount").repartition("l_orderkey")
+    return (line.join(orders, F.col("l_orderkey") == o).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            .select("pool", F.concat("_head", F.col("l_linenumber").cast("string"), "_tail").alias("VolumeName"), "Manufacturer", "ConvolutionKernel",
+                    "SeriesDescription", F.col("l_quantity").cast("bigint").alias("NumberofSlices"),
                     F.lit(512).alias("Rows"), F.lit(512).alias("Columns"), F.lit("[0.9, 0.9]").alias("XYSpacing"),
                     (F.lit(0.5) + F.lit(10.0) * F.col("l_discount")).alias("ZSpacing")))
 
@@ -60,13 +73,12 @@ def kernel_table(spark, sf) -> DataFrame:
 
 
 def the_catalog(spark, sf) -> DataFrame:
-    return catalog(volumes(spark, sf), kernel_table(spark, sf))
+    return catalog(parsed_volumes(spark, sf), kernel_table(spark, sf))
 
 
 def volume_keys(spark, sf) -> DataFrame:
-    """Ids of the catalog without its kernel columns."""
-    v = volumes(spark, sf).select("pool", strip_nifti_ext(F.col("VolumeName")).alias("volume_id"))
-    return v.filter(is_volume_id(F.col("volume_id")) & (F.substring_index("volume_id", "_", 1) == F.col("pool"))).select("volume_id").distinct()
+    """Ids of the catalog without its kernel columns, written as a table: manifest and report of a query read the same ids."""
+    return once(spark, sf, "keys", lambda *at: parsed_volumes(*at).filter("status = 'ok'").select("volume_id").distinct())
 
 
 def qc_rows(spark, sf) -> DataFrame:

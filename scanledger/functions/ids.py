@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 # fixed values: the volume naming scheme and the file suffixes of the data sources
-VOLUME_ID = r"^(train|valid)_(\d+)_([a-z]+)_(\d+)$"
+VOLUME_ID = r"^(?:train|valid)_\d++_[a-z]++_\d++$"  # no groups and no backtracking: every id is matched
 NIFTI_SUFFIX = r"\.nii(\.gz)?$"
 DICOM_SUFFIXES = ("dcm", "dicom", "ima")
 ARCHIVE_SUFFIX = r"(?i)\.(tar\.gz|tgz|zip|tar)$"
@@ -48,9 +48,8 @@ def patient_number(patient_id: Column) -> Column:
 
 def volume_repo_path(volume_id: Column, pool: Column) -> Column:
     """Nested path of one volume below its pool's folder; NULL when the id is not from that pool."""
-    patient, scan = F.substring_index(volume_id, "_", 2), F.split_part(volume_id, F.lit("_"), F.lit(3))
-    path = F.concat(F.lit("dataset/"), pool, F.lit("_fixed/"), patient, F.lit("/"), patient, F.lit("_"), scan,
-                    F.lit("/"), volume_id, F.lit(".nii.gz"))
+    patient, scan = (F.substring_index(volume_id, "_", n) for n in (2, 3))  # a folder's name holds that of the folder above
+    path = F.concat(F.lit("dataset/"), pool, F.lit("_fixed/"), patient, F.lit("/"), scan, F.lit("/"), volume_id, F.lit(".nii.gz"))
     return F.when(is_volume_id(volume_id) & (F.substring_index(volume_id, "_", 1) == pool), path)
 
 

@@ -32,7 +32,9 @@ def classify(df: DataFrame, kernel_table: DataFrame, *, manufacturer: str = "man
 
 
 def parsed_metadata(meta: DataFrame) -> DataFrame:
-    """Metadata rows with their clean id and whether they are usable: ``ok``, ``unparsable``, ``wrong_pool``."""
+    """Metadata rows with their clean id and whether they are usable: ``ok``, ``unparsable``, ``wrong_pool``; parsed rows stay as they are."""
+    if {"volume_id", "status"} <= set(meta.columns):
+        return meta
     vid = strip_nifti_ext(F.col("VolumeName"))
     own = F.substring_index(vid, "_", 1)
     status = F.when(~is_volume_id(vid), "unparsable").when(own != F.col("pool"), "wrong_pool").otherwise("ok")
