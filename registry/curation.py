@@ -7,6 +7,7 @@ from scanledger.functions import hashing as H, ids as I
 from scanledger.operators import kernels as K, manifest as M, splits as S, worklist as L
 from scanledger.operators.ordering import first_per
 from scanledger.sources import readers as SR, writers as SW
+from scanledger.staging import staged
 
 from . import Registry, fixtures as X
 from .common import r, tidy
@@ -322,7 +323,7 @@ def _(spark, sf):
 
 @reg.add("cu6_grouped_order", f"SELECT volume_id, row_number() OVER (ORDER BY md5('7:'||patient_id), patient_id, scan_id, reconstruction_id, volume_id)-1 AS position FROM catalog")
 def _(spark, sf):
-    return L.in_patient_order(cat(spark, sf), 7).select("volume_id", "position")
+    return L.in_patient_order(_manifest(spark, sf), 7).select("volume_id", "position")
 
 
 @reg.add("cu7_chunks", "SELECT chunk, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY md5('7:'||patient_id), patient_id, scan_id, reconstruction_id, volume_id)-1)//40 AS chunk FROM catalog) GROUP BY 1")
@@ -344,7 +345,7 @@ CAPPED = worklist_sql(f"(SELECT * FROM {TRAIN_SCREENED} WHERE patient_id IN (SEL
 
 @reg.add("cu8_build_worklist", CAPPED)
 def _(spark, sf):
-    return L.build_worklist(X.volumes(spark, sf), X.kernel_table(spark, sf), chunk_size=40, seed=7, max_train_patients=200, max_combined_gb=0.06)
+    return L.build_worklist(X.parsed_volumes(spark, sf), X.kernel_table(spark, sf), chunk_size=40, seed=7, max_train_patients=200, max_combined_gb=0.06)
 
 
 PLAIN_LIST = worklist_sql(WANTED, "(SELECT * FROM catalog WHERE source_split='valid')")
@@ -364,7 +365,7 @@ PLAIN_LIST = worklist_sql(WANTED, "(SELECT * FROM catalog WHERE source_split='va
     UNION ALL SELECT 'train_volumes', (SELECT count(*) FROM w WHERE source_split='train') UNION ALL SELECT 'train_patients', (SELECT count(DISTINCT patient_id) FROM w WHERE source_split='train')
     UNION ALL SELECT 'train_chunks', (SELECT count(DISTINCT chunk) FROM w WHERE source_split='train') UNION ALL SELECT 'total_volumes', (SELECT count(*) FROM w) UNION ALL SELECT 'total_chunks', (SELECT count(DISTINCT chunk) FROM w))""")
 def _(spark, sf):
-    meta, table = X.volumes(spark, sf), X.kernel_table(spark, sf)
+    meta, table = X.parsed_volumes(spark, sf), X.kernel_table(spark, sf)
     return L.worklist_summary(meta, table, L.build_worklist(meta, table, chunk_size=40, seed=7))
 
 
@@ -414,7 +415,7 @@ SURVEY_SQL = f"""WITH RECURSIVE named AS ({NAMED}),
 
 @reg.add("cu13_survey_worklist", SURVEY_SQL)
 def _(spark, sf):
-    volumes = cat(spark, sf)
+    volumes = staged(cat(spark, sf))  # the sample and the list both read it
     return L.survey_worklist(volumes, L.survey_sample(volumes, 3, 11), 40)
 
 
@@ -451,8 +452,7 @@ MERGED = """WITH d AS (SELECT volume_id, manufacturer, kernel_raw, ingest_chunk
 
 
 def _merged(spark, sf):
-    vid = I.strip_nifti_ext(F.col("VolumeName"))
-    rows = X.volumes(spark, sf).select("pool", vid.alias("volume_id"), F.col("Manufacturer"), "ConvolutionKernel", (F.col("NumberofSlices") % 7).cast("string").alias("ingest_chunk"))
+    rows = X.parsed_volumes(spark, sf).select("pool", "volume_id", F.col("Manufacturer"), "ConvolutionKernel", (F.col("NumberofSlices") % 7).cast("string").alias("ingest_chunk"))
     keep = X.volume_keys(spark, sf)
     parts = I.volume_id_parts(F.col("volume_id"))
     rows = rows.drop("pool").join(keep, "volume_id", "left_semi").withColumn("patient_id", parts["patient_id"]).withColumn("source_name", F.lit("study"))

@@ -70,10 +70,15 @@ def in_patient_order(volumes: DataFrame, key: int | Column, keys: tuple[str, ...
     """
     keys = list(keys)
     key = key if isinstance(key, Column) else order_key(key, "patient_id")
-    counts = volumes.groupBy(*keys, "patient_id").agg(F.count(F.lit(1)).cast("bigint").alias("n")).withColumn("_key", key)
+    rows = volumes.withColumn("_cell", F.coalesce(text_cell(F.col("scan_id")), F.lit("")))
+    # counts of a patient's cells give its number of volumes and the cells' places within it: rows are read for them once and shuffled once more
+    cells = rows.groupBy(*keys, "patient_id", "_cell").agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
+    counts = cells.groupBy(*keys, "patient_id").agg(F.sum("_n").alias("n")).withColumn("_key", key)
     starts = prefix_sums(counts, keys, hash_cell(F.col("_key")), ["_key", "patient_id"], ["n"]).select("patient_id", *keys, F.col("n_before").alias("_start"))
-    inside = positions(volumes, [*keys, "patient_id"], text_cell(F.col("scan_id")), ["scan_id", "reconstruction_id", "volume_id"], "_inside")
-    return inside.join(starts, ["patient_id", *keys]).select(*volumes.columns, (F.col("_start") + F.col("_inside")).alias("position"))
+    earlier = Window.partitionBy(*keys, "patient_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    places = cells.join(starts, ["patient_id", *keys]).select(*keys, "patient_id", "_cell", (F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_place"))
+    inside = Window.partitionBy(*keys, "patient_id", "_cell").orderBy("scan_id", "reconstruction_id", "volume_id")
+    return rows.join(places, [*keys, "patient_id", "_cell"]).select(*volumes.columns, (F.col("_place") + F.row_number().over(inside) - 1).cast("bigint").alias("position"))
 
 
 def chunked(ordered: DataFrame, chunk_size: int, first_chunk: Column | int = 0, first_order: Column | int = 0) -> DataFrame:
@@ -98,7 +103,7 @@ def build_worklist(meta: DataFrame, kernel_table: DataFrame, *, chunk_size: int,
     """Test-pool volumes (every reconstruction) first, then train; a chunk never mixes pools.
 
     ``train_patients`` (patient_id, rank) fixes the train patients and their order instead of the seeded order.
-    The selected rows are read several times (patient order, counts), so ``stage`` writes them once, after the caps.
+    The selected rows are read several times (caps, patient order, counts), so ``stage`` writes them once before and once after the caps.
     """
     if train_kernel not in ("sharp", "soft"):
         raise ValueError(f"train_kernel must be 'sharp' or 'soft', got {train_kernel!r}")
@@ -113,6 +118,7 @@ def build_worklist(meta: DataFrame, kernel_table: DataFrame, *, chunk_size: int,
     seeded = F.when(is_test, order_key(seed + 1, "patient_id")).otherwise(order_key(seed, "patient_id"))
     caps = {"valid": max_test_patients, "train": max_train_patients if train_patients is None else None}
     if any(c is not None for c in caps.values()):
+        rows = stage(rows)
         people = rows.select("source_split", "patient_id").distinct().withColumn("_key", seeded)
         ranked = positions(people, ["source_split"], hash_cell(F.col("_key")), ["_key", "patient_id"], "rank")
         keep = F.lit(False)
