@@ -11,6 +11,7 @@ from ..staging import staged
 from .ordering import hash_cell, positions
 
 SPLITS = ("train", "val", "test")
+ROWS_PER_TASK = 500_000
 
 
 def unknown_splits(existing: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def usable_rows(manifest: DataFrame, qc: DataFrame | None) -> DataFrame:
     """Manifest rows whose volume passed quality control (all of them without a report)."""
     if qc is None:
         return manifest
-    return manifest.join(qc.filter(F.col("passed")).select("volume_id").distinct(), "volume_id", "left_semi")
+    return manifest.join(qc.filter(F.col("passed")).select("volume_id"), "volume_id", "left_semi")
 
 
 def split_counts(people: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -91,9 +92,11 @@ def assign_source_splits(manifest: DataFrame, qc: DataFrame | None, existing: Da
                          official_test: bool = True, stage: Callable[[DataFrame], DataFrame] = staged) -> dict[str, DataFrame]:
     """Mapping, counts per split and number of unusable volumes of one source.
 
-    The patients with their usable volumes feed every result, so ``stage`` writes that table once.
+    The patients with their usable volumes feed every result, so ``stage`` writes that table once. Volumes meet their report in
+    tasks of about ``ROWS_PER_TASK`` volumes, however many there are (one count of the manifest).
     """
-    usable = usable_rows(manifest, qc)
+    tasks = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-manifest.count() // ROWS_PER_TASK))
+    usable = usable_rows(manifest if qc is None else manifest.repartition(tasks, "volume_id"), qc)
     official = F.bool_or(F.col("source_split") == "valid") if official_test else F.lit(False)
     people = stage(usable.groupBy("patient_id").agg(official.alias("official"), F.count(F.lit(1)).alias("n")))
     forced = people.filter("official").select("patient_id", F.lit("test").alias("split"))
