@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from scanledger.functions.hashing import hash01
 from scanledger.functions.ids import strip_nifti_ext
 from scanledger.operators.kernels import catalog, parsed_metadata
+from scanledger.operators.splits import ROWS_PER_TASK
 from scanledger.staging import shared_folder
 
 
@@ -78,7 +79,12 @@ def the_catalog(spark, sf) -> DataFrame:
 
 def volume_keys(spark, sf) -> DataFrame:
     """Ids of the catalog without its kernel columns, written as a table: manifest and report of a query read the same ids."""
-    return once(spark, sf, "keys", lambda *at: parsed_volumes(*at).filter("status = 'ok'").select("volume_id").distinct())
+    def derive(spark, sf):
+        ids = parsed_volumes(spark, sf).filter("status = 'ok'").select("volume_id")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // ROWS_PER_TASK))
+        return ids.repartition(tasks, "volume_id").distinct()
+
+    return once(spark, sf, "keys", derive)
 
 
 def qc_rows(spark, sf) -> DataFrame:

@@ -55,11 +55,13 @@ def split_shortfall(patients: DataFrame, existing: DataFrame, forced: DataFrame,
                         n.cast("bigint").alias("candidates")).filter("need_val + need_test > candidates")
 
 
-def usable_rows(manifest: DataFrame, qc: DataFrame | None) -> DataFrame:
-    """Manifest rows whose volume passed quality control (all of them without a report)."""
+def usable_rows(manifest: DataFrame, qc: DataFrame | None, tasks: int | None = None) -> DataFrame:
+    """Manifest rows whose volume passed quality control (all of them without a report), joined in ``tasks`` tasks where given."""
     if qc is None:
         return manifest
-    return manifest.join(qc.filter(F.col("passed")).select("volume_id"), "volume_id", "left_semi")
+    passed = qc.filter(F.col("passed")).select("volume_id")
+    # the report's side is cut: a semi join is pushed below a repartition of the manifest
+    return manifest.join(passed.repartition(tasks, "volume_id") if tasks else passed, "volume_id", "left_semi")
 
 
 def split_counts(people: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def assign_source_splits(manifest: DataFrame, qc: DataFrame | None, existing: Da
     tasks of about ``ROWS_PER_TASK`` volumes, however many there are (one count of the manifest).
     """
     tasks = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-manifest.count() // ROWS_PER_TASK))
-    usable = usable_rows(manifest if qc is None else manifest.repartition(tasks, "volume_id"), qc)
+    usable = usable_rows(manifest, qc, tasks)
     official = F.bool_or(F.col("source_split") == "valid") if official_test else F.lit(False)
     people = stage(usable.groupBy("patient_id").agg(official.alias("official"), F.count(F.lit(1)).alias("n")))
     forced = people.filter("official").select("patient_id", F.lit("test").alias("split"))

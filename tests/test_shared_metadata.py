@@ -45,11 +45,12 @@ def test_volumes_and_report_meet_in_bounded_tasks(spark, monkeypatch):
     seen = []
 
     def stage(df):
-        seen.append(plan(df))
+        seen.append(df)
         return df
 
     qc = manifest.select("volume_id", F.lit(True).alias("passed"))
     out = S.assign_source_splits(manifest, qc.unionByName(qc), spark.createDataFrame([], "patient_id string, split string"), n_val=1, n_test=1, seed=1, stage=stage)
-    assert "RepartitionByExpression [volume_id" in seen[0] and ", 20" in seen[0]
+    join, cut = (plan(seen[0]).index(x) for x in ("Join LeftSemi", "RepartitionByExpression [volume_id"))
+    assert join < cut and ", 20" in plan(seen[0])[cut:].splitlines()[0]  # below the join, in tasks of ten
     assert sorted(r.split for r in out["mapping"].collect()) == ["test", *["train"] * 5, "val"]
     assert sum(r.volumes for r in out["counts"].collect()) == 200
