@@ -28,6 +28,10 @@ from .words import n_words
 RANGES = 4096
 #: Ranges of virtual time to which ``mix`` sends the copies of whole cells.
 MIX_RANGES = 256
+#: Hex digits of the shuffle key that name a cell.
+CELL_DIGITS = 3
+#: Sources whose cells ``mix`` sends to all tasks: 16 bytes for each of 4096 cells, 34 MB for so many sources.
+MAP_SOURCES = 512
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
@@ -79,7 +83,7 @@ def _parts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     rows = docs.select(doc_id.alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source_key"),
                        n_words(text).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), name)).alias("_key"),
                        F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept"))
-    rows = rows.withColumn("cell", F.substring("_key", 1, 3))
+    rows = rows.withColumn("cell", F.substring("_key", 1, CELL_DIGITS))
     rows = staged(rows) if stage else rows
     cells = rows.groupBy("source_key", "cell").agg(F.first("source").alias("source"), F.sum("size").alias("_cell_size"))
     in_source = W.partitionBy("source_key")
@@ -133,18 +137,44 @@ def mixed_documents(copies: DataFrame) -> DataFrame:
         F.min("ahead").alias("at")).drop("source_key", "cell", "no")
 
 
-def mix(docs: DataFrame, *, keep: Sequence[str], **options) -> DataFrame:
+def mix(docs: DataFrame, *, keep: Sequence[str], map_sources: int = MAP_SOURCES, **options) -> DataFrame:
     """The mixed corpus: one row per taken copy with the columns in ``keep``, ``copy`` (from 1), ``words`` to use of it (less than its
     words only for the copy in service when the budget ends) and ``finish``, sorted by finish time over all partitions.
 
     The kept columns hold the texts, so they travel once. All copies of a cell in one pass finish within a stretch of virtual time that is known
     from the totals of the cells. Where that stretch lies in one of ``MIX_RANGES`` ranges, the copies go there straight away, and their order in the cell
     is found there; only copies of cells that cross the end of a range are put in order first (some 4 % of a large source).
+
+    The totals reach the documents as one row per source, which is broadcast and as large for any number of documents. Of more than ``map_sources``
+    sources they are joined instead: the texts travel twice, once to their cells and once in the order of the mix.
     """
     rows, cells, most = _parts(docs, keep=keep, **options)
-    cells = staged(cells)  # a small table whose size is known when the join is planned: the texts stay where they are
+    cells = staged(cells)
+    if cells.select("source_key").distinct().count() > map_sources:
+        order = ["finish", "source_key", "cell", "no", "pass"]
+        taken = _queues(rows, cells, most).filter("words > 0").repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        taken = _taken_by_range(rows, staged(_cells_by_source(cells)), most)
+    return taken.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], (F.col("pass") + 1).alias("copy"), "words", "finish")
+
+
+def _cells_by_source(cells: DataFrame) -> DataFrame:
+    """One row per source: source_key, source_size, target, and ``_befores`` and ``_afters``, the totals of all its cells by number."""
+    number = F.conv("cell", 16, 10).cast("int")
+    every = cells.select("source_key", "source_size", "target").distinct().withColumn("_no", F.explode(F.sequence(F.lit(0), F.lit(16**CELL_DIGITS - 1))))
+    placed = every.join(cells.select("source_key", number.alias("_no"), "_before", "_after"), ["source_key", "_no"], "left")
+    in_order = F.array_sort(F.collect_list(F.struct("_no", "_before", "_after")))
+    by_source = placed.groupBy("source_key", "source_size", "target").agg(in_order.alias("_in_order"))
+    return by_source.select("source_key", "source_size", "target", *[F.col(f"_in_order.{c}").alias(f"{c}s") for c in ("_before", "_after")])
+
+
+def _taken_by_range(rows: DataFrame, by_source: DataFrame, most: int) -> DataFrame:
+    """The taken copies in the order of the mix; the totals of the cells go to the documents."""
+    at = F.conv("cell", 16, 10).cast("int") + 1
+    placed = rows.join(F.broadcast(by_source), "source_key").select(
+        "source_key", "cell", "_key", "doc_id", "size", "source_size", "target", "kept", *[F.element_at(f"{c}s", at).alias(c) for c in ("_before", "_after")])
     ends = [(F.col(c) + F.col("pass") * F.col("source_size")) / F.when(F.col("target") > 0, F.col("target")) for c in ("_before", "_after")]
-    copies = rows.join(cells, ["source_key", "cell"]).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).filter(
+    copies = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).filter(
         _first_word(F.col("_before")) < F.floor("target")).withColumns({"_range": _mix_range(ends[0]), "_last": _mix_range(ends[1])})
     columns = ["source_key", "cell", "_key", "doc_id", "size", "source_size", "target", "kept", "_before", "pass"]
     whole = copies.filter("_range = _last").select(*columns, "_range", F.lit(None).cast("bigint").alias("_known"))
@@ -153,8 +183,7 @@ def mix(docs: DataFrame, *, keep: Sequence[str], **options) -> DataFrame:
     placed = _in_cells(whole.unionByName(cut).repartitionByRange("_range"), ["_range"])
     start = F.coalesce("_known", "_start")
     taken = placed.select("*", served(_first_word(start), F.col("size"), F.col("target")).alias("words"), _finish(start).alias("finish")).filter("words > 0")
-    return taken.sortWithinPartitions("finish", "source_key", "cell", "_key", "doc_id", "size", "pass").select(
-        *[F.col(f"kept.`{c}`").alias(c) for c in keep], (F.col("pass") + 1).alias("copy"), "words", "finish")
+    return taken.sortWithinPartitions("finish", "source_key", "cell", "_key", "doc_id", "size", "pass")
 
 
 def _mix_range(time: Column) -> Column:

@@ -36,3 +36,31 @@ def test_mix_shuffles_only_cut_cells_before_the_range_sort(spark):
 
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA), keep=["doc_id"]).count() == 0
+
+
+def test_mix_keeps_the_texts_in_place_whatever_spark_broadcasts(spark):
+    docs = documents(spark)
+    unset = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mix = mixing.mix(docs, keep=docs.columns)
+        plan = mix._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        got = [tuple(r) for r in mix.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", unset)
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(source_key") == 1
+    assert got == in_finish_order(docs)
+
+
+def test_cells_of_a_source_are_one_row_of_a_fixed_size(spark):
+    for n in (30, 3000):
+        docs = spark.createDataFrame([(i, "w " * (i % 7), "ab"[i % 2]) for i in range(n)], SCHEMA)
+        _, cells, _ = mixing._parts(docs, keep=["doc_id"])
+        rows = mixing._cells_by_source(cells).collect()
+        assert sorted(r.source_key for r in rows) == ["=a", "=b"] and {(len(r._befores), len(r._afters)) for r in rows} == {(4096, 4096)}
+
+
+def test_mix_of_more_sources_than_are_broadcast(spark):
+    docs = documents(spark)
+    got = [tuple(r) for r in mixing.mix(docs, keep=docs.columns, map_sources=4).collect()]  # five sources
+    assert got == in_finish_order(docs) and len(got) > 700
