@@ -51,6 +51,12 @@ def read_configs(spark: SparkSession, root: str, files: DataFrame | None = None)
     return raw.select("dir", as_json("value").alias("config"))
 
 
+def _beside(rows: DataFrame, others: DataFrame, on: str | list[str] = "dir", how: str = "inner") -> DataFrame:
+    """Join of opened files. Spark knows the size of the list of names only and takes what is read from the files for as little, so without the
+    hint it would broadcast any number of their rows through the driver."""
+    return rows.hint("merge").join(others, on, how)
+
+
 def load_runs(spark: SparkSession, root: str) -> DataFrame:
     """Every folder that has both a config and a run record: ids, settings of note, status and validation metrics."""
     files = list_files(spark, root)
@@ -60,7 +66,7 @@ def load_runs(spark: SparkSession, root: str) -> DataFrame:
 
     def setting(path: str) -> Column:
         return F.get_json_object("config", f"$.{path}")
-    return (info.join(read_configs(spark, root, files), "dir").join(metrics, "dir", "left").select(
+    return (_beside(_beside(info, read_configs(spark, root, files)), metrics, how="left").select(
         F.coalesce("run_id", "dir").alias("run_id"), setting("name").alias("name"), "config_hash", F.substring("config_hash", 1, 8).alias("hash8"),
         setting("seed").cast("bigint").alias("seed"), F.coalesce("status", F.lit("unknown")).alias("status"), "stopped", "best_epoch", "epochs_run",
         setting("optim.max_epochs").cast("bigint").alias("max_epochs"), "val_macro_auroc", "val_macro_auprc", "val_micro_auroc", "val_macro_f1", "config", "dir"))
@@ -68,7 +74,7 @@ def load_runs(spark: SparkSession, root: str) -> DataFrame:
 
 def load_curves(spark: SparkSession, root: str, schema: str) -> DataFrame:
     files = list_files(spark, root)
-    return read_csv_files(spark, root, "metrics.csv", schema, files).join(load_ids(spark, root, files), "dir")
+    return _beside(read_csv_files(spark, root, "metrics.csv", schema, files), load_ids(spark, root, files))
 
 
 def load_ids(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
@@ -83,7 +89,7 @@ def load_evaluations(spark: SparkSession, root: str, name: str, schema: str) ->
     named = rows.filter(F.col("dir").rlike("/eval/[^/]+$")).select(
         F.regexp_extract("dir", r"/eval/([^/]+)$", 1).alias("eval"), F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("eval_split"),
         F.regexp_replace("dir", "/eval/[^/]+$", "").alias("dir"), *[c for c in rows.columns if c != "dir"])
-    return named.join(load_ids(spark, root, files), "dir")
+    return _beside(named, load_ids(spark, root, files))
 
 
 def load_clinical(spark: SparkSession, root: str, per_label_schema: str) -> tuple[DataFrame, DataFrame]:
@@ -92,5 +98,5 @@ def load_clinical(spark: SparkSession, root: str, per_label_schema: str) -> tupl
     cards = read_json_files(spark, root, "scorecard.json", SCORECARD, files).filter(F.col("dir").rlike("/clinical/[^/]+$")).withColumn(
         "ensemble", F.coalesce(F.col("seed") == "ensemble", F.lit(False))).withColumn("eval_split", F.element_at(F.split("eval", "__"), -1))
     gate = read_csv_files(spark, root, "gate.csv", "label string, status string", files)
-    labels = read_csv_files(spark, root, "per_label.csv", per_label_schema, files).join(gate, ["dir", "label"], "left")
-    return cards, labels.join(cards.select("dir", "run_id", "eval", "reported"), "dir")
+    labels = _beside(read_csv_files(spark, root, "per_label.csv", per_label_schema, files), gate, ["dir", "label"], "left")
+    return cards, _beside(labels, cards.select("dir", "run_id", "eval", "reported"))

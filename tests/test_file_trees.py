@@ -36,3 +36,27 @@ def test_tree_readers_keep_file_names_out_of_the_driver(spark, tmp_path):
     one = sorted(((r.epoch, r.val_loss) for r in curves.filter("run_id = 'ra'").collect()))
     assert one == [(1, 0.5), (2, None), (3, None)]
     assert curves.filter("run_id LIKE '%/b c%'").count() == 3
+
+
+def test_rows_of_opened_files_are_not_broadcast(spark, tmp_path):
+    """The list of names is small to Spark, whatever the files hold: a table of their rows is never a small one."""
+    tree(tmp_path)
+    (tmp_path / "exp" / "h" / "a" / "metrics.csv").write_text("epoch,val_loss\n" + "".join(f"{i},{i / 8}\n" for i in range(20_000)))
+    (tmp_path / "exp" / "h" / "a" / "config.yaml").write_text("name: n\nseed: 3\n")
+    for at, name, text in (("eval/s__r__test", "summary.csv", "label,auroc\nx,0.5\n"), ("clinical/s__r__test", "per_label.csv", "label,auroc\nx,0.5\ny,0.25\n"),
+                           ("clinical/s__r__test", "gate.csv", "label,status\nx,supported\n"), ("clinical/s__r__test", "scorecard.json", '{"run_id": "ra", "eval": "s__r__test"}')):
+        folder = tmp_path / "exp" / "h" / "a" / at
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+    curves = SE.load_curves(spark, str(tmp_path), "epoch bigint, val_loss double").select("run_id", "epoch", "val_loss")
+    runs = SE.load_runs(spark, str(tmp_path)).select("run_id", "seed")
+    evaluations = SE.load_evaluations(spark, str(tmp_path), "summary.csv", "label string, auroc double").select("run_id", "eval_split", "auroc")
+    labels = SE.load_clinical(spark, str(tmp_path), "label string, auroc double")[1].select("run_id", "label", "status")
+    got = {}
+    for name, df in (("curves", curves), ("runs", runs), ("evaluations", evaluations), ("labels", labels)):
+        got[name] = sorted((tuple(r) for r in df.collect() if r.run_id == "ra"), key=str)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan, name
+    assert sorted(got["curves"], key=lambda r: r[1]) == [("ra", i, i / 8) for i in range(20_000)]
+    assert got["runs"] == [("ra", 3)] and got["evaluations"] == [("ra", "test", 0.5)]
+    assert got["labels"] == [("ra", "x", "supported"), ("ra", "y", None)]
